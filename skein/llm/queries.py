@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 from skein.llm.bpe import decode, encode
+from skein.llm.chat import format_conversations, read_back
+from skein.llm.fingerprints import fingerprint_edits
+from skein.llm.mixing import mix, word_count
+from skein.llm.shared import written
 from skein.llm.token_counts import count_tokens
+from skein.llm.warc import archive_and_read
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -34,9 +39,108 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(spark, table(spark, sf_dir, "pages"), least=0, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS hex
+  FROM pages
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, ((k // 8) * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM p
+"""
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    return mix(sizes, share=1.5, weights=(5, 2, 1), cap=2, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same bucketless: rows are numbered in one window for each source.
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS id
+  FROM documents
+), e AS (
+  SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)::INT) AS class, ('0x' || substr(md5(id), 1, 8))::BIGINT AS hash
+  FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM e GROUP BY source
+), t AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(w) OVER () AS weights FROM s
+), u AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0) AS caps, coalesce(sum(w) OVER before, 0) AS ws
+  FROM t WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), v AS (
+  SELECT *, cap * (weights - ws) <= w * (total - caps) AS whole FROM u
+), x AS (
+  SELECT *, total - sum(CASE WHEN whole THEN cap ELSE 0 END) OVER () AS rest, weights - sum(CASE WHEN whole THEN w ELSE 0 END) OVER () AS open FROM v
+), y AS (
+  SELECT source, source_size, CASE WHEN whole THEN cap ELSE w * rest / nullif(open, 0) END AS target,
+    ('0x' || substr(md5('mix:' || coalesce('=' || source, '')), 1, 6))::BIGINT / 16777216.0::DOUBLE AS start
+  FROM x
+), z AS (
+  SELECT e.doc_id, e.size, y.source_size, y.target, y.start, CASE WHEN y.source_size > 0 THEN y.target / y.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY e.source ORDER BY e.class, e.hash, e.id, e.size) AS place
+  FROM e JOIN y ON e.source IS NOT DISTINCT FROM y.source
+)
+SELECT doc_id, size, source_size, target, ((floor(rate * place + start) - floor(rate * (place - 1) + start)) * size)::BIGINT AS taken
+FROM z
+"""
+
+
+#: The conversation of control strings that every run formats as well.
+CONTROL_TALK = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(format_conversations(rows))
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    role AS raw_role, text AS raw_text FROM c
+), u AS (
+  SELECT *, len(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|\[/?ROLE\]|\[END\]')) AS own,
+    len(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]|\[/?ROLE\]|\[END\]')) AS own_role
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST)) AS loss_sha256,
+  sum(own + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE own_role + 18 END)::BIGINT AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_token_counts": op4_token_counts}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_token_counts": op4_token_counts,
+        "op6_warc": op6_warc,
+        "op7_fingerprints": op7_fingerprints,
+        "op9_mixing": op9_mixing,
+        "op10_chat": op10_chat,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}

@@ -1,0 +1,29 @@
+"""Connected components of links, by rounds of smallest neighbours and pointer jumps.
+
+Each round is written to the shared folder, which cuts the lineage. Nothing is collected: a round's end is told by a
+count of changed labels. A hub's links are summed up before the shuffle, and joins split hot keys (AQE).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from skein.llm.shared import written
+
+
+def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(node, component) for each node of edges; component is the smallest node that it reaches. Repeated edges, edges
+    in either direction and self-links make no difference; edges with a null end are left out."""
+    ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
+    both = written(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
+    while True:
+        # The smallest label among neighbours, then that label's own label.
+        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("mid"))
+        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
+        step = step.join(jump, F.col("mid") == F.col("via"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component"))
+        step = written(step, "labels")
+        labels = step.select("node", "component")
+        if step.where("old <> component").isEmpty():
+            return labels

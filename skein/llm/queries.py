@@ -10,6 +10,7 @@ import public_tokenizers
 from skein.llm.bpe import decode, encode
 from skein.llm.chat import format_conversations, read_back
 from skein.llm.fingerprints import fingerprint_edits
+from skein.llm.jaccard_join import join_classes
 from skein.llm.mixing import mix, word_count
 from skein.llm.shared import written
 from skein.llm.token_counts import count_tokens
@@ -61,6 +62,31 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS gram
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")), "mix-sizes")
     return mix(sizes, share=1.5, weights=(5, 2, 1), cap=2, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
@@ -137,10 +163,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op6_warc": op6_warc,
         "op7_fingerprints": op7_fingerprints,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_mixing": op9_mixing,
         "op10_chat": op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}

@@ -96,25 +96,30 @@ class SpanHasher:
         return mix((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(U64))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACE_BYTES)] = True
+_WORD = np.ones(256, bool)
+_WORD[list(SPACE_BYTES)] = False
 
 
-def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ([^\\x20\\x09-\\x0D]+) of a block, and for each row the number of its first word."""
+def spans(block: Block, solid_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that solid_bytes marks, and for each row (and the end) the number of its
+    first run. A run ends where its row ends."""
     solid = np.zeros(len(block.data) + 2, bool)
-    solid[1:-1] = ~_SPACE[block.data]
-    edge = np.empty(len(block.data) + 1, bool)
-    edge[:] = solid[1:] != solid[:-1]
+    solid[1:-1] = solid_bytes[block.data]
+    edge = solid[1:] != solid[:-1]
     begins, stops = edge & solid[1:], edge & solid[:-1]
     cuts = block.offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(block.data))]
-    joined = cuts[solid[cuts] & solid[cuts + 1]]  # a row's last word touches the next row's first
+    joined = cuts[solid[cuts] & solid[cuts + 1]]
     begins[joined] = stops[joined] = True
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
     return starts, ends, np.searchsorted(starts, block.offsets)
 
 
+def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ([^\\x20\\x09-\\x0D]+) of a block, as spans gives them."""
+    return spans(block, _WORD)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[0], .., starts[0] + lengths[0] - 1, starts[1], .. as one array."""
     ends = np.cumsum(lengths)

@@ -10,10 +10,13 @@ import public_tokenizers
 from skein.llm.bpe import decode, encode
 from skein.llm.chat import format_conversations, read_back
 from skein.llm.fingerprints import fingerprint_edits
+from skein.llm.hash_forest import nearest
 from skein.llm.jaccard_join import join_classes
+from skein.llm.licenses import scan
 from skein.llm.mixing import mix, word_count
 from skein.llm.shared import written
 from skein.llm.token_counts import count_tokens
+from skein.llm.toxicity import REJECT, fit, score
 from skein.llm.warc import archive_and_read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,11 +38,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "severity", (F.col("severity") >= REJECT).alias("toxic"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"), F.array_join("unmatched", ",").alias("unmatched"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(spark, table(spark, sf_dir, "pages"), least=0, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -160,7 +178,10 @@ FROM u GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_toxicity": op2_toxicity,
+        "op3_licenses": op3_licenses,
         "op4_token_counts": op4_token_counts,
+        "op5_hash_forest": op5_hash_forest,
         "op6_warc": op6_warc,
         "op7_fingerprints": op7_fingerprints,
         "op8_jaccard_join": op8_jaccard_join,

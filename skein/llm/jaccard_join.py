@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skein.llm.blocks import U64, SpanHasher, mix, text_blocks, words
 from skein.llm.components import components
-from skein.llm.shared import written
+from skein.llm.shared import free_name, written
 
 #: A token of more documents than this is frequent; only so many frequent ones are told to all tasks.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
@@ -128,6 +128,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield list(group)
 
 
+def with_entity(df: DataFrame, n: int, text: str, entity: str, size: str) -> DataFrame:
+    """df with each text's entity (null without tokens) and number of tokens."""
+    kept = [f for f in df.schema.fields if f.name not in (entity, size)]
+    schema = T.StructType([*kept, T.StructField(entity, T.LongType()), T.StructField(size, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(entity_of(s) if len(s) else None, len(s)) for s in token_sets(batch.column(text), n)]
+            added = [pa.array([x[k] for x in sets], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *added], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 class JaccardJoin:
     """The join of one table of documents."""
 
@@ -138,15 +152,7 @@ class JaccardJoin:
         self.buckets = max(1, -(-(self.sizes.agg(F.sum("size")).first()[0] or 0) // BUCKET_TOKENS))
 
     def _sizes(self) -> DataFrame:
-        n = self.n
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = list(token_sets(batch.column("text"), n))
-                entity = pa.array([entity_of(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), entity, pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "entity", "size"])
-
-        return self.docs.mapInArrow(run, "doc_id long, entity long, size long")
+        return with_entity(self.docs, self.n, "text", "entity", "size").select("doc_id", "entity", "size")
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Tokens (ascending) that stand in more than FREQUENT documents, and in how many; the most frequent, at most
@@ -236,20 +242,24 @@ class JaccardJoin:
 
     def visits(self) -> tuple[DataFrame, DataFrame]:
         """The groups (entity, size, grp, part) of all entities that share a prefix token, and which entity asks which
-        other group: (entity, size, grp, part). Of two entities the smaller id asks."""
+        other group: (entity, size, grp, part). Of two groups that share a prefix token, the members of one ask the other."""
         num, den = self.num, self.den
         shared = written(self.shared_prefixes(), "join-prefixes")
         best = shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp"))
         parts = best.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
         groups = best.join(parts, "grp").select("entity", "size", "grp", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int").alias("part"))
         groups = written(groups, "join-groups")
-        rows = shared.select("token", "entity", "size").join(groups.drop("size"), "entity")
-        asked = rows.groupBy("token", "grp", "part").agg(F.max("entity").alias("last"), F.min("size").alias("least"), F.max("size").alias("most"))
-        asked = asked.select(*(F.col(c).alias(f"to_{c}") for c in asked.columns))
-        near = (F.col("entity") < F.col("to_last")) & (F.col("to_most") * den >= F.col("size") * num) & (F.col("to_least") * num <= F.col("size") * den)
-        other = (F.col("grp") != F.col("to_grp")) | (F.col("part") != F.col("to_part"))
-        pairs = rows.join(asked, (F.col("token") == F.col("to_token")) & near & other)
-        return groups, pairs.select("entity", "size", F.col("to_grp").alias("grp"), F.col("to_part").alias("part")).distinct()
+        # A token's groups meet, not its entities: near copies share many tokens, but are few groups.
+        keys = ["grp", "part"]
+        holding = shared.select("token", "entity", "size").join(groups.drop("size"), "entity").groupBy("token", *keys).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        other = holding.select("token", *(F.col(c).alias(f"to_{c}") for c in (*keys, "least", "most")))
+        once = F.struct(*keys) < F.struct("to_grp", "to_part")
+        near = (F.col("to_most") * den >= F.col("least") * num) & (F.col("to_least") * num <= F.col("most") * den)
+        pairs = holding.join(other, "token").where(once & near).select(*keys, "to_grp", "to_part").distinct()
+        spread = groups.groupBy(F.col("grp").alias("to_grp"), F.col("part").alias("to_part")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+        fits = (F.col("most") * den >= F.col("size") * num) & (F.col("least") * num <= F.col("size") * den)
+        asking = pairs.join(spread, ["to_grp", "to_part"]).join(groups, keys).where(fits)
+        return groups, asking.select("entity", "size", F.col("to_grp").alias("grp"), F.col("to_part").alias("part"))
 
     def dealt(self) -> DataFrame:
         """Members (role 0) and queries (role 1) of each part of a group's queries: grp, part, turn, role, entity, size."""
@@ -308,10 +318,19 @@ class JaccardJoin:
 
         return self._beside(left, False).mapInArrow(run, "a long, b long")
 
+    def _labelled(self) -> DataFrame:
+        """self.sizes with class (null without tokens): the smallest entity that links reach."""
+        labels = components(self.links())
+        return self.sizes.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("class", F.coalesce("component", "entity"))
+
+    def kept(self) -> DataFrame:
+        """(entity, doc_id) of the document that stays of each class with tokens: the smallest id (nulls last), then entity."""
+        order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("entity").alias("entity"))
+        return self._labelled().where("class is not null").groupBy("class").agg(F.min(order).alias("one")).select("one.entity", "one.doc_id")
+
     def classes(self) -> DataFrame:
         """One row a document: doc_id, n_shingles, component_id."""
-        labels = components(self.links())
-        labelled = self.sizes.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("class", F.coalesce("component", "entity"))
+        labelled = self._labelled()
         least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
         return labelled.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -380,3 +399,16 @@ def _linked(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
 def join_classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents that are linked, over others or directly, by a Jaccard index of at least num / den."""
     return JaccardJoin(df, n, num, den, doc_id, text).classes()
+
+
+def one_of_each_class(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows that are linked to one that stays: of each class the smallest id stays, once. Texts without
+    words all stay."""
+    kept = JaccardJoin(df, n, num, den, doc_id, text).kept().select(F.col("entity").alias("_kept"), F.col("doc_id").alias("_kept_id"))
+    entity, size = free_name(df, "_entity"), free_name(df, "_size")
+    rows = with_entity(df, n, text, entity, size)
+    same = (F.col(entity) == F.col("_kept")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
+    stay = rows.join(kept, same, "left_semi")
+    nth = free_name(df, "_nth")
+    stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(entity, doc_id).orderBy(F.lit(1)))).where(F.col(nth) == 1)
+    return stay.select(*df.columns).unionByName(rows.where(F.col(entity).isNull()).select(*df.columns))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -76,7 +76,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // (1 << 16)) << 16
         for k, base in enumerate((_ODD, _INVERSE)):
             steps = np.full(size, base, U64)
             steps[0] = 1

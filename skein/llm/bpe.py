@@ -299,7 +299,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             found = np.asarray(column.flatten().cast(pa.int64()).fill_null(-1))
             row = 0
             while row < len(column):  # some rows at a time, to bound what a batch of long lists needs
-                last = max(row + 1, int(np.searchsorted(begins, begins[row] + (1 << 20), "right")) - 1)
+                last = max(row + 1, int(np.searchsorted(begins, begins[row] + (1 << 18), "right")) - 1)
                 own = found[begins[row] : begins[last]]
                 known = (own >= 0) & (own < len(table))
                 own = np.where(known, own, 0)

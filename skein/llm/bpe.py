@@ -148,6 +148,8 @@ class BpeModel:
 
     def _merged(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of words of one length, and as many rows of ids."""
+        if not len(starts):
+            return
         order = np.argsort(lengths, kind="stable")
         sizes, begins = np.unique(lengths[order], return_index=True)
         for size, begin, end in zip(sizes.tolist(), begins.tolist(), [*begins.tolist()[1:], len(order)], strict=True):

@@ -2,7 +2,8 @@
 
 Severity grades are 0 .. GRADES - 1. P(grade <= k) = logistic(threshold_k - w . x): one weight a feature for all grades,
 and ascending thresholds. x holds which features a text has: its words and their first four and five bytes (runs of
-letters, A-Z as a-z), of which the ``FEATURES`` that tell labelled texts apart best are used. The result is the expected severity.
+letters, A-Z as a-z), of which at most ``FEATURES`` are used: those that tell labelled texts apart best, if their share
+among toxic texts is at least ``LEAST_ERRORS`` standard errors from that among others. The result is the expected severity.
 
 Labels say toxic or not; among toxic texts the grade is 2 where as many features of toxic texts only occur as in the
 median toxic text, else 1. The model is fitted on a bounded sample: ``MOST_LABELLED`` labelled documents, chosen by a hash of the id. All
@@ -27,7 +28,8 @@ from skein.llm.shared import written
 
 MOST_LABELLED, FEATURES, LEAST_TEXTS, GRADES = 20_000, 2048, 5, 3
 PREFIXES = (4, 5)
-ROUNDS, RATE, PENALTY = 300, 0.1, 1e-5
+LEAST_ERRORS = 5.0
+ROUNDS, RATE, PENALTY = 1000, 0.1, 1e-6
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -120,9 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: s
     # How far the share of toxic texts that have the feature is from that of the others, in standard errors.
     share_of = lambda c, n: F.col(c) / F.lit(float(n))
     mean = (F.col("bad") + F.col("good")) / F.lit(float(sum(kinds.values())))
-    apart = F.abs(share_of("bad", kinds[True]) - share_of("good", kinds[False])) / F.sqrt(mean * (F.lit(1.0) - mean) + F.lit(1e-9))
+    spread = F.sqrt((mean * (F.lit(1.0) - mean) + F.lit(1e-9)) * F.lit(1 / kinds[True] + 1 / kinds[False]))
+    apart = F.abs(share_of("bad", kinds[True]) - share_of("good", kinds[False])) / spread
     best = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = best.where(F.col("bad") + F.col("good") >= LEAST_TEXTS).orderBy(apart.desc(), "feature").limit(FEATURES).toPandas().sort_values("feature")
+    rows = best.where((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (apart >= LEAST_ERRORS)).orderBy(apart.desc(), "feature").limit(FEATURES).toPandas().sort_values("feature")
     features = rows["feature"].to_numpy(np.int64)
     if not len(features):
         return none

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.operators.reports import role_rank
 from skein.schemas import CLUSTER_CLOSURES, CLUSTER_EVENTS, CLUSTER_GROUPS, CLUSTER_MEMBERSHIPS, CLUSTER_OVERRIDES, conform
+from skein.sources.shared import written
 
 NOT_SEEN = '{"reason":"not seen in latest cluster run"}'
 OVERRIDDEN = '{"reason":"local override"}'
@@ -24,6 +25,12 @@ class State:
     closures: DataFrame
 
 
+def settled(state: State) -> State:
+    """The same state from written tables. Operations are plans over their inputs; settle between them, or commit to a
+    store, so that plans do not grow from one operation to the next."""
+    return State(*(written(df, name) for name, df in (("groups", state.groups), ("memberships", state.memberships), ("overrides", state.overrides), ("closures", state.closures))))
+
+
 def change(df: DataFrame, where: Column, **values: object) -> DataFrame:
     """df with columns set where a condition holds; it and Column values see the old row."""
     where = F.coalesce(where, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein.llm.bpe import decode, encode
 from skein.llm.jaccard_join import one_of_each_class
 from skein.llm.mixing import mix, take
-from skein.llm.shared import written
+from skein.llm.shared import bounded_batches, written
 from skein.llm.toxicity import REJECT, fit, score
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,12 +16,14 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an expected severity below REJECT, by a model fitted on the labelled ones among docs."""
+    bounded_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).where(F.col("severity") < REJECT).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of documents that are linked by 0.8 or more of their five-word shingles."""
+    bounded_batches(spark)
     return one_of_each_class(docs, n=5, num=80, den=100)
 
 
@@ -32,6 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and a digest of the text that they decode to."""
+    bounded_batches(spark)
     path = public_tokenizers.path(TOKENIZER)
     rows = decode(encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids"), path)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

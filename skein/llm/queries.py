@@ -14,7 +14,7 @@ from skein.llm.hash_forest import nearest
 from skein.llm.jaccard_join import join_classes
 from skein.llm.licenses import scan
 from skein.llm.mixing import mix, word_count
-from skein.llm.shared import written
+from skein.llm.shared import bounded_batches, written
 from skein.llm.token_counts import count_tokens
 from skein.llm.toxicity import REJECT, fit, score
 from skein.llm.warc import archive_and_read
@@ -23,6 +23,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

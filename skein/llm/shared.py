@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from skein.sources.shared import shared_dir, work_path, written
 
-__all__ = ["free_name", "shared_dir", "work_path", "written"]
+__all__ = ["bounded_batches", "free_name", "shared_dir", "work_path", "written"]
+
+
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held several times over on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets how much goes to a Python worker at once, so that its memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def free_name(df: DataFrame, base: str) -> str:

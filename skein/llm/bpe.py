@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, types as T
 from skein.llm.blocks import Block, SpanHasher, ragged, text_blocks
 
 SHORT = 48
+#: Each distinct word of so much text is merged once.
+WORD_BLOCK_BYTES = 2 << 20
 _NONE = np.int32(2**31 - 1)
 
 #: Character classes.
@@ -273,7 +275,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         model = load_bpe(path)
         for batch in batches:
             others = [n for n in batch.schema.names if n != ids]
-            for block in text_blocks(batch.column(text)):
+            for block in text_blocks(batch.column(text), WORD_BLOCK_BYTES):
                 found, begins = encode_block(model, block)
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(found))
                 part = batch.slice(block.first, block.rows)

@@ -42,6 +42,8 @@ from skein.operators.graph import components
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 MEMBERS, QUERIES = 128, 512
 BUCKET_TOKENS = 1 << 20
+#: Tokens that a task gathers, over batches, before it packs and hands them on.
+PACK_TOKENS = 1 << 19
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -121,6 +123,22 @@ def _packed(buckets: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.ndarray]]:
+    """Entities of the batches' texts and their token sets, as many at a time as have PACK_TOKENS together."""
+    own: dict[int, np.ndarray] = {}
+    held = 0
+    for batch in batches:
+        for tokens in token_sets(batch.column("text"), n):
+            if len(tokens) and (key := entity_of(tokens)) not in own:
+                own[key] = tokens
+                held += len(tokens)
+                if held >= PACK_TOKENS:
+                    yield own
+                    own, held = {}, 0
+    if own:
+        yield own
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows that follow each other with equal first columns."""
     rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -160,14 +178,9 @@ class JaccardJoin:
         n, buckets, low = self.n, self.buckets, self.low()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own, seen = [np.empty(0, U64)], set()
-                for tokens in token_sets(batch.column("text"), n):
-                    part = tokens[: np.searchsorted(tokens, low)]
-                    if len(part) and (key := entity_of(tokens)) not in seen:
-                        seen.add(key)
-                        own.append(part)
-                tokens, counts = np.unique(np.concatenate(own), return_counts=True)
+            for sets in _gathered(batches, n):
+                parts = [tokens[: np.searchsorted(tokens, low)] for tokens in sets.values()]
+                tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield _packed((mix(tokens) % U64(buckets)).astype(np.int64), tokens=tokens, counts=counts.astype(np.int32))
 
         def count(pdf):
@@ -193,13 +206,10 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often, n_docs = told.value
-            for batch in batches:
-                own, entities, sizes, seen = [np.empty(0, U64)], [], [], set()
-                for tokens in token_sets(batch.column("text"), width):
+            for sets in _gathered(batches, width):
+                own, sizes = [], []
+                for tokens in sets.values():
                     size = len(tokens)
-                    if not size or (key := entity_of(tokens)) in seen:
-                        continue
-                    seen.add(key)
                     prefix = size - need(size, num, den) + 1
                     if len(often):
                         part = tokens[: np.searchsorted(tokens, low)]
@@ -210,14 +220,13 @@ class JaccardJoin:
                             rank[: len(part)][hit] = n_docs[at[hit]]
                             tokens = tokens[np.argsort(rank, kind="stable")]
                     own.append(tokens[:prefix])
-                    entities.append(key)
                     sizes.append((prefix, size))
                 tokens = np.concatenate(own)
                 repeats = np.array([p for p, _ in sizes], np.int64)
                 yield _packed(
                     (mix(tokens) % U64(buckets)).astype(np.int64),
                     tokens=tokens,
-                    entities=np.repeat(np.array(entities, np.int64), repeats),
+                    entities=np.repeat(np.array(list(sets), np.int64), repeats),
                     sizes=np.repeat(np.array([s for _, s in sizes], np.int32), repeats),
                 )
 

@@ -10,7 +10,7 @@ __all__ = ["bounded_batches", "free_name", "shared_dir", "work_path", "written"]
 
 
 #: Rows and bytes of an Arrow batch: texts are long, and a batch is held several times over on both sides.
-BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1000, "2m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

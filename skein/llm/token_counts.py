@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
 from skein.llm.blocks import Block, text_blocks
-from skein.llm.bpe import BpeModel, Pretokens, load_bpe
+from skein.llm.bpe import WORD_BLOCK_BYTES, BpeModel, Pretokens, load_bpe
 
 
 def pretoken_pieces(model: BpeModel, tokens: Pretokens) -> np.ndarray:
@@ -53,7 +53,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column(text)):
+            for block in text_blocks(batch.column(text), WORD_BLOCK_BYTES):
                 part = batch.slice(block.first, block.rows)
                 if path.endswith(".model"):
                     n = np.array(_sentencepiece_counts(path, [x or "" for x in part.column(text).to_pylist()]), np.int64)

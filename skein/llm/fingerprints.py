@@ -4,9 +4,9 @@ A text is a sequence of words ([^\\x20\\x09-\\x0D]+). A run of ``K`` words is an
 runs of ``S`` words, the smallest stands at its first or last place. Whether a run is an anchor depends on its own words
 alone, so the same passage has the same anchors in any document, and they can be matched by place.
 
-A fingerprint is the ``SKETCH`` smallest distinct anchor hashes (32 bits, as 8 hex digits each, ascending); likeness of
-two fingerprints estimates the Jaccard index of the anchors: of the smallest ``SKETCH`` hashes of both, the share that
-both have. Equal texts have equal fingerprints. A text with words but without an anchor has the hash of its whole word
+A fingerprint is all distinct anchor hashes (32 bits, as 8 hex digits each, ascending), and likeness of two fingerprints
+is their Jaccard index. With a size, it is only that many of the smallest hashes, and likeness is an estimate: of the
+smallest hashes of both, that many, the share that both have. The query has no size; ``SKETCH`` is the functions'. Equal texts have equal fingerprints. A text with words but without an anchor has the hash of its whole word
 sequence. Null texts and texts without words have the empty fingerprint; two empty fingerprints have likeness 1, an
 empty and another one 0. Columns of the input are kept; one that has the name of a result is replaced.
 """
@@ -73,21 +73,29 @@ def matches(left: Column, right: Column) -> Column:
     return let(table, lambda t: F.transform(F.filter(left, lambda a: F.map_contains_key(t, a["hash"])), lambda a: F.struct(a["place"].alias("place"), (F.try_element_at(t, a["hash"]) - a["place"]).alias("offset"))))
 
 
-def sketch(text: Column) -> Column:
-    """The hashes of a fingerprint, ascending."""
+def sketch(text: Column, size: int | None = SKETCH) -> Column:
+    """The hashes of a fingerprint, ascending; size None: all."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     whole = F.when(trimmed != "", F.array(F.xxhash64(F.regexp_replace(trimmed, r"[\x20\x09-\x0D]+", " ")).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array().cast("array<bigint>"))
-    return let(_runs(text, anchor_hash), lambda found: F.when(F.size(found) > 0, F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH)).otherwise(whole))
+    return let(_runs(text, anchor_hash), lambda found: F.when(F.size(found) > 0, _least(F.array_distinct(found), size)).otherwise(whole))
+
+
+def _least(hashes: Column, size: int | None) -> Column:
+    """The size smallest hashes, or all, ascending."""
+    ordered = F.sort_array(hashes)
+    return ordered if size is None else F.slice(ordered, 1, size)
 
 
 def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 8, "0")), "")
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """Of two sketches, from 0 to 1."""
-    least = F.slice(F.sort_array(F.array_union(left, right)), 1, SKETCH)
-    both = let(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, left), right)) / F.size(u))
+def likeness(left: Column, right: Column, size: int | None = SKETCH) -> Column:
+    """Of two sketches of that size, from 0 to 1; size None: exact."""
+    if size is None:
+        both = let(F.size(F.array_intersect(left, right)), lambda n: n / (F.size(left) + F.size(right) - n))
+    else:
+        both = let(_least(F.array_union(left, right), size), lambda u: F.size(F.array_intersect(F.array_intersect(u, left), right)) / F.size(u))
     return F.when(F.size(left) + F.size(right) == 0, 1.0).when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(both)
 
 
@@ -106,7 +114,7 @@ def with_next(df: DataFrame, add: dict[str, Column], doc_id: str = "doc_id", tex
     last), then text; after the last row comes the first.
 
     The ids are cut into stretches by their quantiles; rows are put in order within a stretch, and only the first row
-    of each stretch is passed on to the one before."""
+    of each stretch is passed on to the one before. Rows are dealt with their texts alone; add is computed after that."""
     names = ["_text", *add]
     rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ids = rows.select("_id")
@@ -122,26 +130,26 @@ def with_next(df: DataFrame, add: dict[str, Column], doc_id: str = "doc_id", tex
     heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy("_for").orderBy("_text"))).where("_nth = 1")
     heads = heads.withColumns(add).select("_for", F.struct(*names).alias("_head"))
     order = Window.partitionBy("_stretch").orderBy(F.col("_id").desc_nulls_last(), "_text")
-    rows = rows.withColumns(add).withColumn("_lead", F.lead(F.struct(*names)).over(order))
+    rows = rows.repartition("_stretch").withColumns(add).withColumn("_lead", F.lead(F.struct(*names)).over(order))
     rows = rows.join(heads, F.col("_stretch") == F.col("_for"), "left")
     following = F.coalesce("_lead", "_head")
     return rows.select("_id", *names, *(following[n].alias(f"_next{n}") for n in names))
 
 
-def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = SKETCH) -> DataFrame:
     """Fingerprints of each document and of its edited text (its last half replaced by the start of the next document),
-    and their likenesses to the document's and the next document's."""
-    rows = with_next(df, {"_sketch": sketch(F.col("_text"))}, doc_id, text)
+    and their likenesses to the document's and the next document's; size None: of all anchors."""
+    rows = with_next(df, {"_sketch": sketch(F.col("_text"), size)}, doc_id, text)
     rows = rows.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("_next_text"), F.lit(1), half))
-    rows = rows.withColumn("_edited", edited).withColumn("_edited_sketch", sketch(F.col("_edited")))
+    rows = rows.withColumn("_edited", edited).withColumn("_edited_sketch", sketch(F.col("_edited"), size))
     return rows.select(
         F.col("_id").alias("doc_id"),
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
         fingerprint(F.col("_sketch")).alias("fingerprint"),
         fingerprint(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
-        likeness(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
+        likeness(F.col("_sketch"), F.col("_edited_sketch"), size).alias("near_edited"),
+        likeness(F.col("_sketch"), F.col("_next_sketch"), size).alias("near_next"),
     )

@@ -78,7 +78,7 @@ FROM p
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"), size=None)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

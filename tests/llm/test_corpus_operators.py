@@ -154,6 +154,46 @@ def test_fingerprints_by_brute_force(spark, monkeypatch):
     assert fingerprints.fingerprint_edits(df.limit(0)).count() == 0
 
 
+def brute_anchors(text):
+    """(hash, place) of every anchor, uncut."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+    s = [longs(a, b) for a, b in itertools.pairwise(h)]
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    return [(longs(s[i], s[i + 2], s[i + 3]) & 0xFFFFFFFF, i) for i in range(len(h) - 4) if min(s[i : i + 4], key=signed) in (s[i], s[i + 3])]
+
+
+def op7_texts():
+    """By id; each is followed by that of the next smaller id, and 0 by the greatest."""
+    rng = random.Random(9)
+    passage = text_of(rng, 60)
+    return {0: f"{text_of(rng, 3000)} {passage}", 1: f"{passage} {text_of(rng, 2000)}", 2: text_of(rng, 300), 3: "", 4: "lone word", 5: f"{passage} {passage} {text_of(rng, 20)} {passage}"}
+
+
+def op7_rows(spark, tmp_path, texts):
+    from skein.llm import queries
+
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {r["doc_id"]: r for r in queries.op7_fingerprints(spark, str(tmp_path)).collect()}
+
+
+def test_query_fingerprints_have_all_anchors(spark, tmp_path):
+    texts = op7_texts()
+    rows = op7_rows(spark, tmp_path, texts)
+    assert {*rows} == {*texts}
+
+    def whole(t):
+        return {h for h, _ in brute_anchors(t)} or {*brute_sketch(t)}
+
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, t in texts.items():
+        after = texts[(i - 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c, r = whole(t), whole(edited), whole(after), rows[i]
+        assert r["fingerprint"] == "".join(f"{h:08X}" for h in sorted(a)) and r["edited_fingerprint"] == "".join(f"{h:08X}" for h in sorted(b))
+        assert abs(r["near_edited"] - jaccard(a, b)) < 1e-12 and abs(r["near_next"] - jaccard(a, c)) < 1e-12
+    assert len(rows[0]["fingerprint"]) > 8 * 1000 and 0 < rows[1]["near_next"] < 0.05
+
+
 def test_anchors_match_by_place(spark):
     rng = random.Random(4)
     passage, before = text_of(rng, 60), text_of(rng, 37)

@@ -61,23 +61,54 @@ def anchor_hash(s: Column, i: Column) -> Column:
     return F.xxhash64(*(F.get(s, i + j) for j in places)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def packed(text: Column) -> Column:
+    """All anchors of a text in order, a whole number each: the hash in the upper 32 bits, the place of the first word
+    below; empty for fewer than K words."""
+    found = _runs(text, lambda s, i: F.shiftleft(anchor_hash(s, i), 32).bitwiseOR(i.cast("long")))
+    return F.coalesce(found, F.array().cast("array<bigint>"))
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, 32)
+
+
 def anchors(text: Column) -> Column:
     """All anchors of a text in order: array of (hash, place of the first word); empty for fewer than K words."""
-    found = _runs(text, lambda s, i: F.struct(anchor_hash(s, i).alias("hash"), i.alias("place")))
-    return F.coalesce(found, F.array().cast("array<struct<hash:bigint,place:int>>"))
+    return F.transform(packed(text), lambda p: F.struct(hash_of(p).alias("hash"), p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")))
+
+
+def _below(table: Column, value: Column) -> Column:
+    """How many elements of an ascending array are less than value, by binary search."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size(table) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
 
 
 def matches(left: Column, right: Column) -> Column:
-    """Anchors of left that stand in right: array of (place in left, offset to its first place in right)."""
-    table = F.map_from_entries(F.transform(F.array_distinct(F.transform(right, lambda a: a["hash"])), lambda h: F.struct(h, F.get(F.filter(right, lambda a: a["hash"] == h), F.lit(0))["place"])))
-    return let(table, lambda t: F.transform(F.filter(left, lambda a: F.map_contains_key(t, a["hash"])), lambda a: F.struct(a["place"].alias("place"), (F.try_element_at(t, a["hash"]) - a["place"]).alias("offset"))))
+    """Anchors of left that stand in right: array of (place in left, offset to a place in right), one for every such
+    place, by place in left and then by offset. A repeated passage has as many as its occurrences multiplied."""
+    table = F.array_sort(F.transform(right, lambda a: F.struct(a["hash"].alias("hash"), a["place"].alias("place"))))
 
+    def of(t: Column, hashes: Column) -> Column:
+        def places(a: Column) -> Column:
+            first, end = _below(hashes, a["hash"]), _below(hashes, a["hash"] + 1)
+            return F.transform(F.slice(t, first + 1, end - first), lambda b: F.struct(a["place"].alias("place"), (b["place"] - a["place"]).alias("offset")))
 
-def sketch(text: Column, size: int | None = SKETCH) -> Column:
-    """The hashes of a fingerprint, ascending; size None: all."""
+        return F.flatten(F.transform(left, places))
+
+    return let(table, lambda t: let(F.transform(t, lambda a: a["hash"]), lambda hashes: of(t, hashes)))
+
+
+def matched(left: Column, right: Column) -> Column:
+    """How many of the packed anchors of left, each place counted, stand anywhere in right."""
+    table = F.sort_array(F.array_distinct(F.transform(right, hash_of)))
+    return let(table, lambda t: F.size(F.filter(left, lambda p: F.coalesce(F.get(t, _below(t, hash_of(p))) == hash_of(p), F.lit(False)))))
+
+
+def sketch(text: Column, found: Column, size: int | None = SKETCH) -> Column:
+    """The hashes of a fingerprint, ascending, of a text and its packed anchors; size None: all."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     whole = F.when(trimmed != "", F.array(F.xxhash64(F.regexp_replace(trimmed, r"[\x20\x09-\x0D]+", " ")).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array().cast("array<bigint>"))
-    return let(_runs(text, anchor_hash), lambda found: F.when(F.size(found) > 0, _least(F.array_distinct(found), size)).otherwise(whole))
+    return F.when(F.size(found) > 0, _least(F.array_distinct(F.transform(found, hash_of)), size)).otherwise(whole)
 
 
 def _least(hashes: Column, size: int | None) -> Column:
@@ -138,12 +169,16 @@ def with_next(df: DataFrame, add: dict[str, Column], doc_id: str = "doc_id", tex
 
 def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int | None = SKETCH) -> DataFrame:
     """Fingerprints of each document and of its edited text (its last half replaced by the start of the next document),
-    and their likenesses to the document's and the next document's; size None: of all anchors."""
-    rows = with_next(df, {"_sketch": sketch(F.col("_text"), size)}, doc_id, text)
+    and their likenesses to the document's and the next document's; size None: of all anchors.
+
+    Whatever the size, all anchors are counted, each place by itself: those of the document, those of them that stand in
+    the edited text, there at the same place, and in the next document."""
+    rows = with_next(df, {"_anchors": packed(F.col("_text"))}, doc_id, text)
     rows = rows.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("_next_text"), F.lit(1), half))
-    rows = rows.withColumn("_edited", edited).withColumn("_edited_sketch", sketch(F.col("_edited"), size))
+    rows = rows.withColumn("_edited", edited).withColumn("_edited_anchors", packed(F.col("_edited")))
+    rows = rows.withColumns({f"{n}_sketch": sketch(F.col(t), F.col(f"{n}_anchors"), size) for n, t in (("", "_text"), ("_edited", "_edited"), ("_next", "_next_text"))})
     return rows.select(
         F.col("_id").alias("doc_id"),
         "n_chars",
@@ -152,4 +187,8 @@ def fingerprint_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         fingerprint(F.col("_edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("_sketch"), F.col("_edited_sketch"), size).alias("near_edited"),
         likeness(F.col("_sketch"), F.col("_next_sketch"), size).alias("near_next"),
+        F.size("_anchors").cast("long").alias("n_anchors"),
+        matched(F.col("_anchors"), F.col("_edited_anchors")).cast("long").alias("matched_edited"),
+        F.size(F.array_intersect("_anchors", "_edited_anchors")).cast("long").alias("placed_edited"),
+        matched(F.col("_anchors"), F.col("_next_anchors")).cast("long").alias("matched_next"),
     )

@@ -202,6 +202,22 @@ def test_anchors_match_by_place(spark):
     assert len(found) > 10 and Counter(m["offset"] for m in found).most_common(1)[0][0] == 37
 
 
+def test_anchors_match_at_every_place(spark, tmp_path):
+    texts = op7_texts()
+    df = spark.createDataFrame([(texts[1], texts[5]), (texts[5], texts[5]), (texts[5], texts[2]), ("", texts[2]), (texts[2], "")], "a string, b string")
+    for r in df.select("a", "b", fingerprints.matches(fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))).alias("m")).collect():
+        want = [(p, q - p) for h, p in brute_anchors(r["a"]) for g, q in brute_anchors(r["b"]) if g == h]
+        assert [(m["place"], m["offset"]) for m in r["m"]] == want
+    rows = op7_rows(spark, tmp_path, texts)
+    for i, t in texts.items():
+        after = texts[(i - 1) % len(texts)]
+        own, edited = brute_anchors(t), brute_anchors(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        held, others, r = {h for h, _ in edited}, {h for h, _ in brute_anchors(after)}, rows[i]
+        assert (r["n_anchors"], r["placed_edited"]) == (len(own), len({*own} & {*edited}))
+        assert (r["matched_edited"], r["matched_next"]) == (sum(h in held for h, _ in own), sum(h in others for h, _ in own))
+    assert rows[5]["matched_edited"] > rows[5]["placed_edited"] > 0 and rows[1]["matched_next"] > 10
+
+
 # Similarity join
 
 

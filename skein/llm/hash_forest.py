@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by inner product: a forest of hash prefixes.
 
-Every row is in a shard of about ``SHARD_ROWS`` rows. A shard has ``TREES`` trees; a tree is the sorted array of its rows' hash strings
+Every row is in a shard of about ``SHARD_ROWS`` rows, and in one of the shard's bands: norms in a band differ by a factor
+of less than ``BAND``, as short vectors would otherwise be met before long ones. A band has ``TREES`` trees; a tree is the sorted array of its rows' hash strings
 of ``BITS`` bits (signs of projections on random orthogonal directions; vectors are first completed to equal length, so
 that the largest inner product is the smallest angle). A query descends every tree to its longest matching prefix, by
 binary search for each prefix length; all trees then ascend together, one length at a time and within a length tree by
-tree, until ``share`` of the shard is reached. Candidates are scored exactly, in double precision, on the original vectors.
+tree, until ``share`` of the band is reached. Bands follow from the longest vectors down; one is left out for a query only
+if its longest vector couldn't reach the k-th score found so far. Candidates are scored exactly, in double precision, on the original vectors.
 
 share sets recall: near-random vectors in 64 dimensions need over half of the rows for a recall of 0.9 (0.65 gives 0.95 to 0.99 on the test tables); where
-neighbours are close, a few hundredths do. Nothing caps candidates with equal hash strings but the shard itself.
+neighbours are close, a few hundredths do. Nothing caps candidates with equal hash strings but the band itself.
 
 Queries are dealt in blocks of ``QUERY_BLOCK``, each to every shard, so a task holds a shard and a block; each returns k
 rows a query, and the best k of all shards are the result.
@@ -20,6 +22,7 @@ queries give an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 SHARD_ROWS, QUERY_BLOCK = 8192, 2048
 TREES, BITS, SHARE = 64, 16, 0.65
+BAND = 1.1
 
 RESULT = "query_id long, vec_id long, score double"
 
 
+@lru_cache(maxsize=4)
 def directions(dims: int, count: int, seed: int = 11) -> np.ndarray:
     """Unit vectors as rows, orthogonal within each run of dims."""
     rng = np.random.default_rng(seed)
@@ -38,7 +43,7 @@ def directions(dims: int, count: int, seed: int = 11) -> np.ndarray:
 
 
 class HashForest:
-    """The trees of one shard."""
+    """The trees of one band."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS):
         order = np.argsort(ids, kind="stable")
@@ -56,6 +61,11 @@ class HashForest:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query: ids and scores of the k best candidates, best first. own: the queries' ids, never returned."""
+        most = min(len(self.ids), max(4 * k, int(np.ceil(share * len(self.ids)))))
+        if most == len(self.ids):
+            for q, vector in enumerate(queries):
+                yield self._best(vector, own[q], np.arange(most), k)
+            return
         keys = self._hashes(np.column_stack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(len(queries))]))
         levels = range(self.bits, -1, -1)
         # ranges[level, tree, query]: where the rows with that prefix stand in the tree's array
@@ -65,7 +75,6 @@ class HashForest:
             for t, tree in enumerate(self.sorted):
                 begin = (keys[t] >> rest) << rest
                 lows[n, t], highs[n, t] = np.searchsorted(tree, begin), np.searchsorted(tree, begin + (1 << rest))
-        most = min(len(self.ids), max(4 * k, int(np.ceil(share * len(self.ids)))))
         for q, vector in enumerate(queries):
             yield self._best(vector, own[q], self._candidates(lows[:, :, q], highs[:, :, q], most), k)
 
@@ -97,6 +106,34 @@ class HashForest:
         return self.ids[rows][best], scores[best]
 
 
+class NormBands:
+    """The bands of one shard, from the longest vectors down, each a forest with a longest norm of its own."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        peaks = np.abs(vectors).max(axis=1)  # squares of the vectors themselves may leave the range of numbers
+        parts = np.linalg.norm(vectors / peaks[:, None], axis=1)
+        norms, logs = peaks * parts, np.log(peaks) + np.log(parts)
+        band = np.floor((logs.max() - logs) / np.log(BAND))
+        order = np.argsort(band, kind="stable")
+        cuts = np.flatnonzero(np.diff(band[order])) + 1
+        self.bands = [(float(norms[rows].max()), HashForest(ids[rows], vectors[rows], float(norms[rows].max()))) for rows in np.split(order, cuts)]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: ids and scores of the k best candidates of all bands, best first."""
+        found = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        norms, least = np.linalg.norm(queries, axis=1), np.full(len(queries), -np.inf)
+        for longest, forest in self.bands:
+            # Scores and bounds are rounded; a bound that is short by as much still counts.
+            left = np.flatnonzero(longest * norms * (1 + 1e-9) >= least)
+            for q, (ids, scores) in zip(left, forest.search(queries[left], own[left], k, share), strict=True):
+                ids, scores = np.concatenate([found[q][0], ids]), np.concatenate([found[q][1], scores])
+                best = np.lexsort((ids, -scores))[:k]
+                found[q] = ids[best], scores[best]
+                if len(best) == k:
+                    least[q] = scores[best[-1]]
+        return found
+
+
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows that follow each other with equal shard and block."""
     held: list[pa.RecordBatch] = []
@@ -120,12 +157,11 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     """For each row whose id is divisible by every: query_id, rank from 1, vec_id, score of its k nearest found."""
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("v", lambda x: x != 0))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    common = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("n"), "dims").first()
+    common = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("n"), "dims").first()
     if common is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = max(1, -(-common["n"] // SHARD_ROWS)), max(1, -(-common["asked"] // QUERY_BLOCK))
-    dims, longest = common["dims"], float(np.sqrt(common["square"]))
+    dims = common["dims"]
     rows = rows.where(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v"))
     part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -138,9 +174,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
             vectors = np.concatenate([np.asarray(c.flatten()) for c in task.column("v").chunks]).reshape(-1, dims)
             if role.min() or not role.max():
                 continue
-            forest = HashForest(ids[role == 0], vectors[role == 0], longest)
             queries = ids[role == 1]
-            found = list(forest.search(vectors[role == 1], queries, k, share))
+            found = NormBands(ids[role == 0], vectors[role == 0]).search(vectors[role == 1], queries, k, share)
             lengths = [len(f) for f, _ in found]
             if sum(lengths):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, lengths)), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])

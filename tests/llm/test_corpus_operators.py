@@ -45,6 +45,23 @@ def test_forest_recall_and_exact_scores(spark):
     assert found["query_id"].nunique() == 30 and hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one doubled", 0.3, 0.6])
+def test_forest_recall_where_norms_differ(spark, norms):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(2000) == 7, 2, 1)[:, None] if norms == "one doubled" else np.exp(rng.normal(0, norms, (2000, 1)))
+    x = x.astype(np.float32)
+    found = hash_forest.nearest(vectors(spark, [(k, v.tolist(), "", "") for k, v in enumerate(x)]), k=20, every=20).toPandas()
+    x, hits = x.astype(float), 0
+    for q, own in found.groupby("query_id"):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({*np.lexsort((np.arange(2000), -scores))[:20]} & {*own["vec_id"]})
+        assert np.allclose(own["score"], x[own["vec_id"]] @ x[q]) and len(own) == 20
+    assert found["query_id"].nunique() == 100 and hits / 2000 >= 0.93
+
+
 def test_forest_edges(spark):
     same, nan = [1.0, 0.0], float("nan")
     rows = [(k, same, "", "") for k in range(0, 60)] + [(100, None, "", ""), (120, [0.0, 0.0], "", ""), (140, [nan, 1.0], "", ""), (160, [1.0], "", ""), (180, [None, 1.0], "", ""), (None, same, "", ""), (3, same, "", "")]

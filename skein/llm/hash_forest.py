@@ -14,7 +14,8 @@ neighbours are close, a few hundredths do. Nothing caps candidates with equal ha
 Queries are dealt in blocks of ``QUERY_BLOCK``, each to every shard, so a task holds a shard and a block; each returns k
 rows a query, and the best k of all shards are the result.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those that haven't the most common length.
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths have shards
+of their own each, so neighbours are of the query's length.
 Rows that repeat an id count once (the least vector); rows without an id take no part. Ties go to the smaller id. Empty tables and tables without
 queries give an empty result. Other columns are not read.
 """
@@ -135,11 +136,11 @@ class NormBands:
 
 
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows that follow each other with equal shard and block."""
+    """Rows that follow each other with equal length, shard and block."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
-        keys = np.column_stack([np.asarray(batch.column(c)) for c in ("shard", "block")])
+        keys = np.column_stack([np.asarray(batch.column(c)) for c in ("dims", "shard", "block")])
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
@@ -157,21 +158,20 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     """For each row whose id is divisible by every: query_id, rank from 1, vec_id, score of its k nearest found."""
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("n"), "dims").first()
-    if common is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, blocks = max(1, -(-common["n"] // SHARD_ROWS)), max(1, -(-common["asked"] // QUERY_BLOCK))
-    dims = common["dims"]
-    rows = rows.where(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v"))
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    indexed = rows.select(part(shards, 0).alias("shard"), every_of(blocks).alias("block"), F.lit(0).alias("role"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select(every_of(shards).alias("shard"), part(blocks, 1).alias("block"), F.lit(1).alias("role"), "vec_id", "v")
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    # One row a length: vectors of n lengths have at least n * n / 2 components, so the table is small beside them.
+    pieces = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    lengths = rows.groupBy("dims").agg(pieces(F.count("*"), SHARD_ROWS).alias("shards"), pieces(F.count_if(F.col("vec_id") % every == 0), QUERY_BLOCK).alias("blocks"))
+    rows = rows.join(F.broadcast(lengths), "dims")
+    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    indexed = rows.select("dims", part("shards", 0).alias("shard"), every_of("blocks").alias("block"), F.lit(0).alias("role"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select("dims", every_of("shards").alias("shard"), part("blocks", 1).alias("block"), F.lit(1).alias("role"), "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _tasks(batches):
             role, ids = np.asarray(task.column("role")), np.asarray(task.column("vec_id"))
-            vectors = np.concatenate([np.asarray(c.flatten()) for c in task.column("v").chunks]).reshape(-1, dims)
+            vectors = np.concatenate([np.asarray(c.flatten()) for c in task.column("v").chunks]).reshape(len(ids), -1)
             if role.min() or not role.max():
                 continue
             queries = ids[role == 1]
@@ -180,7 +180,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
             if sum(lengths):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, lengths)), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
 
-    dealt = indexed.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "role")
+    dealt = indexed.unionByName(asked).repartition("dims", "shard", "block").sortWithinPartitions("dims", "shard", "block", "role")
     found = dealt.mapInArrow(run, RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

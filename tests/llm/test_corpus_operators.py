@@ -62,6 +62,17 @@ def test_forest_recall_where_norms_differ(spark, norms):
     assert found["query_id"].nunique() == 100 and hits / 2000 >= 0.93
 
 
+def test_forest_takes_every_length(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "SHARD_ROWS", 30)
+    monkeypatch.setattr(hash_forest, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(2)
+    x = [rng.standard_normal(8 if k % 3 else 5).astype(np.float32) for k in range(240)]
+    found = hash_forest.nearest(vectors(spark, [(k, v.tolist(), "", "") for k, v in enumerate(x)]), k=5, every=20).toPandas()
+    by = {q: g.sort_values("rank")["vec_id"].tolist() for q, g in found.groupby("query_id")}
+    # Bands are of fewer than 4 * k rows, so all are scored.
+    assert by == {q: sorted((k for k in range(240) if k != q and len(x[k]) == len(x[q])), key=lambda k: (-float(x[k].astype(float) @ x[q].astype(float)), k))[:5] for q in range(0, 240, 20)}
+
+
 def test_forest_edges(spark):
     same, nan = [1.0, 0.0], float("nan")
     rows = [(k, same, "", "") for k in range(0, 60)] + [(100, None, "", ""), (120, [0.0, 0.0], "", ""), (140, [nan, 1.0], "", ""), (160, [1.0], "", ""), (180, [None, 1.0], "", ""), (None, same, "", ""), (3, same, "", "")]

@@ -202,3 +202,30 @@ def label_objects(raw: pd.Series) -> pd.Series:
 def label_names(raw: Column) -> Column:
     names = F.transform(label_objects(raw), lambda o: trim_space(o["name"]))
     return F.filter(names, lambda n: n != "")
+
+
+#: Summaries that stand first, in this order, and their labels.
+SUMMARY_LABELS = {"key_summary": "Key summary", "problem_summary": "Purpose", "solution_summary": "Solution", "maintainer_signal_summary": "Maintainer signal", "dedupe_summary": "Cluster signal"}
+
+
+def summary_keys(values: Column) -> Column:
+    """The keys of a map of summaries that aren't blank: the fixed ones, then the others by byte order."""
+    fixed = F.array(*map(F.lit, SUMMARY_LABELS))
+    keys = F.map_keys(F.map_filter(values, lambda _, v: present(v)))
+    return F.concat(F.array_intersect(fixed, keys), F.sort_array(F.array_except(keys, fixed)))
+
+
+def summary_label(key: Column) -> Column:
+    labels = F.create_map(*(F.lit(x) for pair in SUMMARY_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(labels, key), F.replace(key, F.lit("_"), F.lit(" ")))
+
+
+def cluster_url(repository: Column, kind: Column, number: Column, site: str = "https://github.com") -> Column:
+    """Of a cluster's representative; null without repository or number."""
+    path = F.when(kind == "pull_request", "pull").otherwise("issues")
+    return F.when((number > 0) & present(repository), F.concat(F.lit(f"{site}/"), repository, F.lit("/"), path, F.lit("/"), number.cast("string")))
+
+
+def action_url(thread_url: Column, cluster: Column) -> Column:
+    """The selected thread's URL, or the cluster's where no thread is selected (null)."""
+    return F.coalesce(thread_url, cluster)

@@ -187,3 +187,20 @@ def test_embedding(spark):
         raise ServiceError(400, "no")
 
     assert {r["error"] for r in embedder.embed_tasks(tasks, lambda: refuse).collect()} == {"status 400 no"}
+
+
+def test_summary_keys_and_labels(spark):
+    own = {"z_key": "1", "dedupe_summary": "2", "Zed": "3", "key_summary": "4", "solution_summary": " \t ", "none": None}
+    row = spark.createDataFrame([(own,), ({},)], "m map<string,string>").select(tx.summary_keys(F.col("m")).alias("k")).collect()
+    assert [r["k"] for r in row] == [["key_summary", "dedupe_summary", "Zed", "z_key"], []]
+    assert [value(spark, tx.summary_label(lit(k))) for k in ("problem_summary", "dedupe_summary", "z_key_a")] == ["Purpose", "Cluster signal", "z key a"]
+
+
+@pytest.mark.parametrize(
+    ("repository", "kind", "number", "want"),
+    [("o/r", "issue", 7, "https://github.com/o/r/issues/7"), ("o/r", "pull_request", 8, "https://github.com/o/r/pull/8"), ("o/r", None, 7, "https://github.com/o/r/issues/7"), (" ", "issue", 7, None), ("o/r", "issue", 0, None), (None, "issue", 7, None)],
+)
+def test_cluster_url(spark, repository, kind, number, want):
+    url = tx.cluster_url(lit(repository), lit(kind), F.lit(number))
+    assert value(spark, url) == want
+    assert value(spark, tx.action_url(lit(None), url)) == want and value(spark, tx.action_url(lit("t"), url)) == "t"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skein.sources.shared import written
+from skein.sources.shared import Scratch, written
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -16,18 +16,19 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Nothing is collected: a round's end is told by whether a label changed. A hub's links are summed up before the
     shuffle, and joins split hot keys (AQE)."""
     ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
-    both = written(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
-    while True:
-        # The smallest label among neighbours, then that label's own label.
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("mid"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        step = step.join(jump, F.col("mid") == F.col("via"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component"))
-        step = written(step, "labels")
-        labels = step.select("node", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+    with Scratch(edges.sparkSession) as scratch:
+        both = scratch.written(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+        step = scratch.written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
+        while True:
+            labels = step.select("node", "component")
+            # The smallest label among neighbours, then that label's own label.
+            near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
+            mid = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("mid"))
+            jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
+            last, step = step, scratch.written(mid.join(jump, F.col("mid") == F.col("via"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
+            scratch.drop(last)
+            if step.where("old <> component").isEmpty():
+                return written(step.select("node", "component"), "labels")
 
 
 def greedy_union(edges: list[tuple[int, int, float]], most: int) -> tuple[dict[int, int], dict[int, int]]:

@@ -6,9 +6,9 @@ A block is some consecutive rows of an Arrow text column. Rows are never cut: a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,12 @@ BLOCK_BYTES = 512 << 10
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 U64 = np.uint64
-_ODD = U64(0x9E3779B97F4A7C13)  # odd and 3 modulo 4, so that its powers spread over all bits
-_INVERSE = U64(pow(int(_ODD), -1, 1 << 64))
+_ODD = U64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
+#: Which bits of eight bytes belong to a span of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Longer spans are hashed one by one.
+LONG = 256
 
 
 @dataclass
@@ -63,37 +66,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@cache
-def _byte_values(fold: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-    if fold:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = -(-n // (1 << 16)) << 16
-        for k, base in enumerate((_ODD, _INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 class SpanHasher:
-    """64-bit hashes of any spans of a block, by differences of one prefix sum; fold: A-Z count as a-z."""
+    """64-bit hashes of any spans of a block; fold: A-Z count as a-z.
+
+    A span is taken eight bytes at a time, each mixed into the hash of those before, the first into the length. Spans of
+    one length of at most 8 bytes, and all of at most 7, differ if their bytes do; others have equal hashes with the
+    chance of random numbers. Spans of over ``LONG`` bytes have the hash of BLAKE2b."""
 
     def __init__(self, data: np.ndarray, fold: bool = False):
-        powers, self._back = _powers_to(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_byte_values(fold)[data] * powers[:-1], out=self._sums[1:])
+        self._data = np.zeros(len(data) + 8, np.uint8)
+        self._data[: len(data)] = _FOLDED[data] if fold else data
+        self._from = np.ndarray(len(data) + 1, "<u8", self._data, strides=(1,))  # the eight bytes from each place on
+
+    def _chunk(self, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return self._from[starts] & _MASKS[np.minimum(left, 8)]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(U64))
+        lengths = ends - starts
+        out = mix(self._chunk(starts, lengths) ^ lengths.astype(U64) * _ODD)
+        more = np.flatnonzero((lengths > 8) & (lengths <= LONG))
+        at = 8
+        while len(more):
+            out[more] = mix(out[more] * _ODD + self._chunk(starts[more] + at, lengths[more] - at))
+            at += 8
+            more = more[lengths[more] > at]
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self._data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        return out
+
+    def same(self, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the spans of that length at left and right have the same bytes."""
+        out = np.ones(len(lengths), bool)
+        more, at = np.flatnonzero((lengths <= LONG) & (left != right)), 0
+        while len(more):
+            out[more] &= self._chunk(left[more] + at, lengths[more] - at) == self._chunk(right[more] + at, lengths[more] - at)
+            at += 8
+            more = more[(lengths[more] > at) & out[more]]
+        for k in np.flatnonzero((lengths > LONG) & (left != right)).tolist():
+            out[k] = np.array_equal(self._data[left[k] : left[k] + lengths[k]], self._data[right[k] : right[k] + lengths[k]])
+        return out
 
 
 _WORD = np.ones(256, bool)

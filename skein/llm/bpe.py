@@ -171,6 +171,18 @@ def load_bpe(path: str) -> BpeModel:
     return BpeModel(path)
 
 
+def distinct_spans(hasher: SpanHasher, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An occurrence of each distinct span, and for each span the number of its distinct one. Spans of equal hashes are
+    compared byte by byte; should any differ, all are told apart by their bytes instead."""
+    lengths = ends - starts
+    _, at, which = np.unique(hasher(starts, ends), return_index=True, return_inverse=True)
+    if (lengths == lengths[at][which]).all() and hasher.same(starts, starts[at][which], lengths).all():
+        return at, which
+    numbers: dict[bytes, int] = {}
+    which = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 class Pretokens:
     """The pre-tokens of a block: for each occurrence the number of its distinct pre-token, and for each row the number
     of its first occurrence. Distinct pre-tokens are spans of the block; special holds the id of those that are special
@@ -183,8 +195,7 @@ class Pretokens:
         cuts = cuts[cuts < len(raw)]
         starts, ends = self._split(raw, cuts, found)
         self.first = np.searchsorted(starts, block.offsets)
-        hashes = SpanHasher(block.data)(starts, ends)
-        _, at, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, self.which = distinct_spans(SpanHasher(block.data), raw, starts, ends)
         self.starts, self.lengths = starts[at], (ends - starts)[at]
         self.special = np.full(len(at), -1, np.int64)
         if found:  # a special token's string never occurs but as that token

@@ -7,18 +7,24 @@ reaches what a link needs: two sets of Jaccard index >= num / den share at least
 
 How it scales:
 
+- Texts are read once; token sets are a table in the shared folder, deleted at the end as all tables between steps.
 - Which groups a query can qualify for is read off the sparse rows of the matrix: in an order of all tokens that puts
   frequent ones last, two linked sets share a token among the first size - need + 1 of each (the prefix). Only prefix
-  tokens are shuffled, packed by hash bucket. Frequent tokens are counted over all documents; at most ``MOST_FREQUENT``
-  of them are broadcast. The order is the same everywhere, so that bound costs speed only, never a link.
-- An entity's group is that of the prefix token that it shares with most others, split into parts of ``MEMBERS``.
+  tokens are shuffled, packed by hash bucket; a very frequent one is split over several buckets. Frequent tokens are
+  counted over all documents; at most ``MOST_FREQUENT`` of them are broadcast. The order is the same everywhere, so that
+  bound costs speed only, never a link.
+- Entities are first brought together by the prefix token that they share with most others, in batches of ``MEMBERS``
+  with the token's first entity in each, and linked to few of the batch (exactly). What is linked so is a family.
+- Groups are parts of a family, of ``MEMBERS`` entities at most, or (small families of one such token) several of them.
+  Entities of one family need no further comparison, so N near copies cost N comparisons or so and not N * N; only groups
+  that share a prefix token and aren't of the same single family are paired. A pair is a piece of work of its own, of
+  bounded size, so a group that many others share tokens with is no hot key.
 - Unions and queries are first held as bit vectors of two to four bits a token: bits of a query that the union (or a
   member) lacks are tokens that it lacks, so the bound holds. Only what passes gets its whole token set, by hash of
-  which overlaps are then counted exactly.
-- A group's queries are dealt in parts of ``QUERIES``, each with the members beside it, so no task sees all of a large
-  group of near copies; a part returns a spanning forest of its links instead of all pairs.
+  which overlaps are then counted exactly. A pair returns a spanning forest of its links instead of all of them.
 
-Token sets are compared by 64-bit hashes. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. With fewer words than the
+Token sets are compared by 64-bit hashes, entities told apart by a 64-bit hash of the set: two different n-grams, or sets, count as one
+with the chance of random numbers. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. With fewer words than the
 n-gram has, the whole sequence is one token. Null texts and texts without words have no tokens and no links. Documents
 without an id take part, but a component has the smallest id that is not null. Rows that repeat an id are documents of
 their own. An empty table gives an empty table. Input columns besides id and text are not read.
@@ -32,18 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skein.llm.blocks import U64, SpanHasher, mix, text_blocks, words
-from skein.llm.shared import free_name, written
+from skein.llm.shared import Scratch, free_name, small_batches, written
 from skein.operators.graph import components
 
 #: A token of more documents than this is frequent; only so many frequent ones are told to all tasks.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
-MEMBERS, QUERIES = 128, 512
+#: A bucket takes a share of a token's documents if it has more than so many.
+HOT = 1 << 16
+MEMBERS = 128
+#: Members of a batch that the others are compared with when families are made, besides the token's first entity.
+PIVOTS = 8
 BUCKET_TOKENS = 1 << 20
 #: Tokens that a task gathers, over batches, before it packs and hands them on.
 PACK_TOKENS = 1 << 19
+#: Bytes of a batch that goes back to the JVM.
+OUT_BYTES = 4 << 20
 
 
 def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -123,18 +135,17 @@ def _packed(buckets: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.ndarray]]:
-    """Entities of the batches' texts and their token sets, as many at a time as have PACK_TOKENS together."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
+    """Token sets by entity, as many at a time as have PACK_TOKENS together."""
     own: dict[int, np.ndarray] = {}
     held = 0
     for batch in batches:
-        for tokens in token_sets(batch.column("text"), n):
-            if len(tokens) and (key := entity_of(tokens)) not in own:
-                own[key] = tokens
-                held += len(tokens)
-                if held >= PACK_TOKENS:
-                    yield own
-                    own, held = {}, 0
+        for key, content in zip(batch.column("entity").to_pylist(), batch.column("tokens"), strict=True):
+            own[key] = np.frombuffer(content.as_buffer(), U64)
+            held += len(own[key])
+            if held >= PACK_TOKENS:
+                yield own
+                own, held = {}, 0
     if own:
         yield own
 
@@ -146,252 +157,307 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield list(group)
 
 
-def with_entity(df: DataFrame, n: int, text: str, entity: str, size: str) -> DataFrame:
-    """df with each text's entity (null without tokens) and number of tokens."""
-    kept = [f for f in df.schema.fields if f.name not in (entity, size)]
-    schema = T.StructType([*kept, T.StructField(entity, T.LongType()), T.StructField(size, T.LongType())])
+def _links(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def with_entity(df: DataFrame, n: int, text: str, entity: str) -> DataFrame:
+    """df with each text's entity (null without tokens)."""
+    kept = [f for f in df.schema.fields if f.name != entity]
+    schema = T.StructType([*kept, T.StructField(entity, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(entity_of(s) if len(s) else None, len(s)) for s in token_sets(batch.column(text), n)]
-            added = [pa.array([x[k] for x in sets], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *added], schema.names)
+            found = [entity_of(s) if len(s) else None for s in token_sets(batch.column(text), n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found, pa.int64())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 class JaccardJoin:
-    """The join of one table of documents."""
-
-    def __init__(self, df: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text"):
-        self.n, self.num, self.den = n, num, den
-        self.docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        self.sizes = written(self._sizes(), "join-sizes")  # one row a document: doc_id, entity, size
+    """The join of one table of documents. Tables that callers read: sizes, a row a document (row, its number; doc_id,
+    entity, null without tokens; size), and families, (entity, family) of entities that may be linked to others: the
+    smallest entity that links reach."""
+
+    def __init__(self, scratch: Scratch, df: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text"):
+        self.n, self.num, self.den, self.scratch = n, num, den, scratch
+        docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        sets = scratch.written(self._tokenised(docs).withColumn("row", F.monotonically_increasing_id()), "join-sets")
+        self.sizes = scratch.written(sets.select("row", "doc_id", "entity", "size"), "join-sizes")
+        firsts = scratch.written(self.sizes.where("entity is not null").groupBy("entity").agg(F.min("row").alias("row")), "join-firsts")
+        self.sets = sets.join(firsts.select("row"), "row", "left_semi").select("entity", "tokens")
         self.buckets = max(1, -(-(self.sizes.agg(F.sum("size")).first()[0] or 0) // BUCKET_TOKENS))
+        shared = scratch.written(self.shared_prefixes(), "join-prefixes")
+        best = scratch.written(shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp")), "join-best")
+        content = scratch.written(self.sets.join(best.select("entity"), "entity", "left_semi"), "join-content")
+        scratch.drop(sets, firsts)
+        first = components(self.first_links(best, content))
+        groups = scratch.written(self.groups(best, first), "join-groups")
+        holding = scratch.written(self.holding(shared, groups), "join-holding")
+        scratch.drop(shared, best)
+        pairs = scratch.written(self.pairs(holding), "join-pairs")
+        scratch.drop(holding)
+        qualified = scratch.written(self.qualified(pairs, groups, content), "join-qualified")
+        scratch.drop(pairs)
+        second = components(self.links(qualified, content)).withColumnRenamed("node", "family")
+        self.families = scratch.written(groups.select("entity", "family").join(second, "family", "left").select("entity", F.coalesce("component", "family").alias("family")), "join-families")
+        scratch.drop(qualified, content, groups)
+
+    def _tokenised(self, docs: DataFrame) -> DataFrame:
+        n = self.n
 
-    def _sizes(self) -> DataFrame:
-        return with_entity(self.docs, self.n, "text", "entity", "size").select("doc_id", "entity", "size")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets, begin = token_sets(batch.column("text"), n), 0
+                while begin < batch.num_rows:
+                    held, size = [], 0
+                    for tokens in sets:
+                        held.append(tokens)
+                        size += tokens.nbytes
+                        if size > OUT_BYTES:
+                            break
+                    columns = [pa.array([entity_of(s) if len(s) else None for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(held)), *columns], ["doc_id", "entity", "size", "tokens"])
+                    begin += len(held)
+
+        return docs.mapInArrow(run, "doc_id long, entity long, size long, tokens binary")
+
+    def low(self) -> np.uint64:
+        return U64(min(2**64 - 1, int(2 * (1 - self.num / self.den) * 2**64)))
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (ascending) that stand in more than FREQUENT documents, and in how many; the most frequent, at most
+        """Tokens (ascending) that more than FREQUENT entities have, and how many have them; the most frequent, at most
         MOST_FREQUENT. Only the low part of the hash range is counted, from which prefixes are taken."""
-        n, buckets, low = self.n, self.buckets, self.low()
+        buckets, low = self.buckets, self.low()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for sets in _gathered(batches, n):
-                parts = [tokens[: np.searchsorted(tokens, low)] for tokens in sets.values()]
-                tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield _packed((mix(tokens) % U64(buckets)).astype(np.int64), tokens=tokens, counts=counts.astype(np.int32))
-
-        def count(pdf):
-            tokens = np.frombuffer(b"".join(pdf["tokens"]), U64)
-            distinct, which = np.unique(tokens, return_inverse=True)
-            total = np.bincount(which, np.frombuffer(b"".join(pdf["counts"]), np.int32), len(distinct)).astype(np.int64)
+            for sets in _gathered(batches):
+                tokens, counts = np.unique(np.concatenate([tokens[: np.searchsorted(tokens, low)] for tokens in sets.values()]), return_counts=True)
+                place = (mix(tokens) % U64(buckets)).astype(np.int64)
+                # Most tokens are met once: those come as they are, the others with their counts.
+                for several in (counts == 1, counts > 1):
+                    yield _packed(place[several], tokens=tokens[several], counts=counts[several].astype(np.int32) if counts[several].max(initial=1) > 1 else np.empty((several.sum(), 0), np.int32))
+
+        def count(table: pa.Table) -> pa.Table:
+            tokens = [np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()]
+            counts = [np.frombuffer(x, np.int32) if x else np.ones(len(t), np.int32) for x, t in zip(table.column("counts").to_pylist(), tokens, strict=True)]
+            distinct, which = np.unique(np.concatenate(tokens), return_inverse=True)
+            total = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
             often = total > FREQUENT
-            return type(pdf)({"token": distinct[often].view(np.int64), "n": total[often]})
+            return pa.table({"token": distinct[often].view(np.int64), "n": total[often]})
 
-        counted = self.docs.select("text").mapInArrow(run, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInPandas(count, "token long, n long")
+        counted = self.sets.mapInArrow(run, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(count, "token long, n long")
         rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-        tokens, n_docs = rows["token"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64)
+        tokens, n = rows["token"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64)
         order = np.argsort(tokens)
-        return tokens[order], n_docs[order]
-
-    def low(self) -> np.uint64:
-        return U64(min(2**64 - 1, int(2 * (1 - self.num / self.den) * 2**64)))
+        return tokens[order], n[order]
 
     def shared_prefixes(self) -> DataFrame:
-        """(token, entity, size, n): prefix tokens that n > 1 entities have in their prefixes."""
-        num, den, width, buckets, low = self.num, self.den, self.n, self.buckets, self.low()
-        told = self.docs.sparkSession.sparkContext.broadcast(self.frequent())
+        """(entity, size, tokens, n, token): prefix tokens that other entities have in their prefixes, a row for each
+        bucket that holds some, and that of them which most (n) have."""
+        num, den, buckets, low = self.num, self.den, self.buckets, self.low()
+        told = self.sizes.sparkSession.sparkContext.broadcast(self.frequent())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            often, n_docs = told.value
-            for sets in _gathered(batches, width):
-                own, sizes = [], []
+            often, n_of = told.value
+            for sets in _gathered(batches):
+                own, ranks, lengths, sizes = [], [], [], []
                 for tokens in sets.values():
                     size = len(tokens)
-                    prefix = size - need(size, num, den) + 1
+                    length, rank = size - need(size, num, den) + 1, np.zeros(size, np.int64)
                     if len(often):
                         part = tokens[: np.searchsorted(tokens, low)]
                         at = np.minimum(np.searchsorted(often, part), len(often) - 1)
-                        hit = often[at] == part
-                        if hit.any():
-                            rank = np.zeros(size, np.int64)
-                            rank[: len(part)][hit] = n_docs[at[hit]]
-                            tokens = tokens[np.argsort(rank, kind="stable")]
-                    own.append(tokens[:prefix])
-                    sizes.append((prefix, size))
-                tokens = np.concatenate(own)
-                repeats = np.array([p for p, _ in sizes], np.int64)
-                yield _packed(
-                    (mix(tokens) % U64(buckets)).astype(np.int64),
-                    tokens=tokens,
-                    entities=np.repeat(np.array(list(sets), np.int64), repeats),
-                    sizes=np.repeat(np.array([s for _, s in sizes], np.int32), repeats),
-                )
-
-        def shared(pdf):
-            tokens, entities, sizes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("tokens", U64), ("entities", np.int64), ("sizes", np.int32)))
-            order = np.argsort(tokens, kind="stable")
-            tokens = tokens[order]
-            same = tokens[1:] == tokens[:-1]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            order, tokens = order[several], tokens[several]
-            entities, sizes = entities[order], sizes[order]
-            order = np.lexsort((entities, tokens))  # copies of an entity come from different tasks
-            tokens, entities, sizes = tokens[order], entities[order], sizes[order]
-            new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (entities[1:] != entities[:-1])])[: len(tokens)]
-            tokens, entities, sizes = tokens[new], entities[new], sizes[new]
+                        rank[: len(part)] = np.where(often[at] == part, n_of[at], 0)
+                        if rank.any():
+                            order = np.argsort(rank, kind="stable")[:length]
+                            tokens, rank = tokens[order], rank[order]
+                    own.append(tokens[:length])
+                    ranks.append(rank[:length])
+                    lengths.append(length)
+                    sizes.append(size)
+                tokens, entities, sizes = np.concatenate(own), np.repeat(np.array(list(sets), np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+                # A hot token goes to several buckets. It is known to be shared, which a size below zero says.
+                salts = np.concatenate(ranks) // HOT
+                place = mix(tokens) + np.where(salts > 0, mix(entities.view(U64)) % (salts + 1).astype(U64), U64(0))
+                yield _packed((place % U64(buckets)).astype(np.int64), tokens=tokens, entities=entities, sizes=np.where(salts > 0, -sizes, sizes))
+
+        def shared(table: pa.Table) -> pa.Table:
+            tokens, entities, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", U64), ("entities", np.int64), ("sizes", np.int64)))
             _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            n = counts[which]
-            return type(pdf)({"token": tokens.view(np.int64), "entity": entities, "size": sizes.astype(np.int64), "n": n})[n > 1]
-
-        packed = self.docs.select("text").mapInArrow(run, "bucket long, tokens binary, entities binary, sizes binary")
-        return packed.groupBy("bucket").applyInPandas(shared, "token long, entity long, size long, n long")
-
-    def visits(self) -> tuple[DataFrame, DataFrame]:
-        """The groups (entity, size, grp, part) of all entities that share a prefix token, and which entity asks which
-        other group: (entity, size, grp, part). Of two groups that share a prefix token, the members of one ask the other."""
+            n = counts[which].astype(np.int64)
+            several = (n > 1) | (sizes < 0)
+            tokens, entities, sizes, n = tokens[several], entities[several], np.abs(sizes[several]), n[several]
+            order = np.lexsort((tokens, n, entities))
+            tokens, entities, sizes, n = tokens[order], entities[order], sizes[order], n[order]
+            begins = np.flatnonzero(np.diff(entities, prepend=entities[:1] - 1))
+            ends = np.append(begins[1:], len(entities))[: len(begins)]
+            content = pa.array([tokens[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
+            return pa.table({"entity": entities[begins], "size": sizes[begins], "tokens": content, "n": n[ends - 1], "token": tokens[ends - 1].view(np.int64)})
+
+        packed = self.sets.mapInArrow(run, "bucket long, tokens binary, entities binary, sizes binary")
+        return packed.groupBy("bucket").applyInArrow(shared, "entity long, size long, tokens binary, n long, token long")
+
+    def first_links(self, best: DataFrame, content: DataFrame) -> DataFrame:
+        """(a, b): links found within batches of entities (entity, size, grp) of one grp."""
         num, den = self.num, self.den
-        shared = written(self.shared_prefixes(), "join-prefixes")
-        best = shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp"))
-        parts = best.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-        groups = best.join(parts, "grp").select("entity", "size", "grp", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int").alias("part"))
-        groups = written(groups, "join-groups")
-        # A token's groups meet, not its entities: near copies share many tokens, but are few groups.
-        keys = ["grp", "part"]
-        holding = shared.select("token", "entity", "size").join(groups.drop("size"), "entity").groupBy("token", *keys).agg(F.min("size").alias("least"), F.max("size").alias("most"))
-        other = holding.select("token", *(F.col(c).alias(f"to_{c}") for c in (*keys, "least", "most")))
-        once = F.struct(*keys) < F.struct("to_grp", "to_part")
-        near = (F.col("to_most") * den >= F.col("least") * num) & (F.col("to_least") * num <= F.col("most") * den)
-        pairs = holding.join(other, "token").where(once & near).select(*keys, "to_grp", "to_part").distinct()
-        spread = groups.groupBy(F.col("grp").alias("to_grp"), F.col("part").alias("to_part")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
-        fits = (F.col("most") * den >= F.col("size") * num) & (F.col("least") * num <= F.col("size") * den)
-        asking = pairs.join(spread, ["to_grp", "to_part"]).join(groups, keys).where(fits)
-        return groups, asking.select("entity", "size", F.col("to_grp").alias("grp"), F.col("to_part").alias("part"))
-
-    def dealt(self) -> DataFrame:
-        """Members (role 0) and queries (role 1) of each part of a group's queries: grp, part, turn, role, entity, size."""
-        groups, visits = self.visits()
-        visits = written(visits, "join-visits")
-        turns = visits.groupBy("grp", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
-        asking = visits.join(turns, ["grp", "part"]).select("grp", "part", F.pmod(F.xxhash64("entity"), F.col("turns")).cast("int").alias("turn"), F.lit(1).alias("role"), "entity", "size")
-        members = groups.join(turns, ["grp", "part"], "left")
-        members = members.select("grp", "part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("turns"), F.lit(1)) - 1)).alias("turn"), F.lit(0).alias("role"), "entity", "size")
-        return asking.unionByName(members)
-
-    def _sets_of(self, entities: DataFrame, bits: bool) -> DataFrame:
-        """(entity, content) of the entities named: the token set or its bit vector, from the text of one document."""
-        width = self.n
-        one = self.sizes.join(entities.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.min("doc_id").alias("doc_id"))
-        wanted = one.select(F.col("doc_id").alias("from"), F.col("entity").alias("wanted"))
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("from"))).select("wanted", "text")
+        several = best.groupBy("grp").agg(F.count("*").alias("n"), pieces(F.count("*"), F.sum("size")).alias("batches"), F.min("entity").alias("leader")).where("n > 1")
+        rows = best.join(several, "grp").select("grp", F.pmod(F.xxhash64("entity"), F.col("batches")).alias("batch"), F.lit(1).alias("role"), "entity")
+        leaders = several.where("batches > 1").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("role"), F.col("leader").alias("entity"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _groups(batches, 2):
+                if edges := list(star_links([(r[3], np.frombuffer(r[4], U64)) for r in rows], num, den)):
+                    yield _links(edges)
+
+        beside = rows.unionByName(leaders).join(content, "entity").select("grp", "batch", "role", "entity", "tokens")
+        return beside.repartition("grp", "batch").sortWithinPartitions("grp", "batch", "role", "entity").mapInArrow(run, "a long, b long")
+
+    def groups(self, best: DataFrame, first: DataFrame) -> DataFrame:
+        """(entity, size, family, part): entities of one grp are dealt to parts, a family of over MEMBERS to its own."""
+        members = best.join(first.select(F.col("node").alias("entity"), F.col("component").alias("family")), "entity", "left").withColumn("family", F.coalesce("family", "entity"))
+        counts = members.groupBy("grp", "family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+        large = counts.select("grp", "family", pieces(F.col("n"), F.col("total")).alias("own")).where("own > 1")
+        small = counts.where(pieces(F.col("n"), F.col("total")) == 1).groupBy("grp").agg(pieces(F.sum("n"), F.sum("total")).alias("pool")).where("pool > 1")
+        dealt = members.join(large, ["grp", "family"], "left").join(small, "grp", "left")
+        part = F.when(F.col("own").isNotNull(), F.xxhash64("grp", "family", F.pmod(F.xxhash64("entity"), F.col("own")))).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("family"), F.coalesce("pool", F.lit(1)))))
+        return dealt.select("entity", "size", "family", part.alias("part"))
+
+    def holding(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
+        """(token, part, least, most, lo, hi): sizes and families of a part's entities with the token in their prefix."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(w, bits_of(s) if bits else s.tobytes()) for w, s in zip(batch.column("wanted").to_pylist(), token_sets(batch.column("text"), width), strict=True) if len(s) and entity_of(s) == w]
-                for k in range(0, len(out), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out[k : k + 500]], pa.int64()), pa.array([s for _, s in out[k : k + 500]], pa.binary())], ["entity", "content"])
+                tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
+                lengths = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(pa.array(np.repeat(np.asarray(batch.column(c)), lengths)) for c in ("part", "size", "family"))], ["token", "part", "size", "family"])
 
-        found = texts.mapInArrow(run, "entity long, content binary")
-        # Rows that repeat an id may give an entity twice.
-        return found.dropDuplicates(["entity"])
+        rows = shared.select("entity", "tokens").join(groups, "entity").select("tokens", "part", "size", "family").mapInArrow(run, "token long, part long, size long, family long")
+        return rows.groupBy("token", "part").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("family").alias("lo"), F.max("family").alias("hi"))
 
-    def qualified(self, dealt: DataFrame) -> DataFrame:
-        """The rows of dealt that remain when groups are bounded by bit vectors: queries for which a group opens and may
-        hold a partner, and the members that may be partners."""
+    def pairs(self, holding: DataFrame) -> DataFrame:
+        """(a, b), a <= b: parts that share a token, unless all who have it are of one family, or of too different sizes."""
+        num, den = self.num, self.den
+        mixed = holding.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
+        left = self.scratch.written(holding.join(mixed, "token", "left_semi"), "join-mixed")
+        right = left.select("token", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "token"))
+        differ = F.least("lo", "lo2") < F.greatest("hi", "hi2")
+        near = (F.col("most2") * den >= F.col("least") * num) & (F.col("least2") * num <= F.col("most") * den)
+        return left.join(right, "token").where((F.col("part") <= F.col("part2")) & differ & near).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct()
+
+    def qualified(self, pairs: DataFrame, groups: DataFrame, content: DataFrame) -> DataFrame:
+        """(a, b, role, entity, family): for each pair the queries (role 1, of a) for which the group b opens and may hold
+        a partner, and the members (role 0, of b) that may be partners, as bit vectors tell."""
         num, den = self.num, self.den
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches, 3):
-                keep = _may_link(rows, num, den)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[k][c] for k in keep], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["grp", "part", "turn", "role", "entity", "size"])
-
-        return self._beside(dealt, True).mapInArrow(run, "grp long, part int, turn int, role int, entity long, size long")
-
-    def _beside(self, dealt: DataFrame, bits: bool) -> DataFrame:
-        rows = dealt.join(self._sets_of(dealt, bits), "entity")
-        keys = ["grp", "part", "turn"]
-        return rows.select(*keys, "role", "entity", "size", "content").repartition(*keys).sortWithinPartitions(*keys, "role", "entity")
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array([bits_of(np.frombuffer(x.as_buffer(), U64)) for x in batch.column("tokens")], pa.binary())], ["entity", "bits"])
 
-    def links(self) -> DataFrame:
-        """(a, b): links of entities that join whatever the join's links join."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for a, b, own, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "queries", "members")), strict=True):
+                    queries, members = may_link(own, other, num, den)
+                    if a == b:
+                        queries, members = [], sorted({*queries, *members})
+                    out += [(a, b, 1, own[k]["entity"], own[k]["family"]) for k in queries]
+                    out += [(a, b, 0, other[k]["entity"], other[k]["family"]) for k in members]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["a", "b", "role", "entity", "family"])
+
+        named = pairs.select(F.col("a").alias("part")).union(pairs.select("b")).distinct()
+        rows = groups.join(named, "part", "left_semi").join(content.mapInArrow(bits, "entity long, bits binary"), "entity")
+        # A part has MEMBERS entities or so, so a list of them is bounded.
+        matrix = self.scratch.written(rows.groupBy("part").agg(F.collect_list(F.struct("entity", "size", "family", "bits")).alias("rows")), "join-matrix")
+        beside = pairs.join(matrix.select(F.col("part").alias("a"), F.col("rows").alias("queries")), "a").join(matrix.select(F.col("part").alias("b"), F.col("rows").alias("members")), "b")
+        return beside.mapInArrow(run, "a long, b long, role int, entity long, family long")
+
+    def links(self, qualified: DataFrame, content: DataFrame) -> DataFrame:
+        """(a, b): families that links join."""
         num, den = self.num, self.den
-        left = written(self.qualified(written(self.dealt(), "join-dealt")), "join-qualified")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches, 3):
-                if edges := spanning(_linked(rows, num, den)):
-                    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for rows in _groups(batches, 2):
+                if edges := spanning(linked([(r[2], r[4], np.frombuffer(r[5], U64)) for r in rows], num, den)):
+                    yield _links(edges)
 
-        return self._beside(left, False).mapInArrow(run, "a long, b long")
+        beside = qualified.join(content, "entity").select("a", "b", "role", "entity", "family", "tokens")
+        return beside.repartition("a", "b").sortWithinPartitions("a", "b", "role", "entity").mapInArrow(run, "a long, b long")
 
-    def _labelled(self) -> DataFrame:
-        """self.sizes with class (null without tokens): the smallest entity that links reach."""
-        labels = components(self.links())
-        return self.sizes.join(labels.withColumnRenamed("node", "entity"), "entity", "left").withColumn("class", F.coalesce("component", "entity"))
+    def classes(self) -> DataFrame:
+        """One row a document: doc_id, n_shingles, component_id."""
+        least = self.sizes.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("least"))
+        joined = self.families.join(least, "entity").groupBy("family").agg(F.min("least").alias("reached"))
+        reached = self.families.join(joined, "family").select("entity", "reached")
+        named = self.sizes.where("entity is not null").join(least.join(reached, "entity", "left"), "entity")
+        rows = named.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("reached", "least").alias("component_id"))
+        return rows.unionByName(self.sizes.where("entity is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
     def kept(self) -> DataFrame:
         """(entity, doc_id) of the document that stays of each class with tokens: the smallest id (nulls last), then entity."""
         order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("entity").alias("entity"))
-        return self._labelled().where("class is not null").groupBy("class").agg(F.min(order).alias("one")).select("one.entity", "one.doc_id")
-
-    def classes(self) -> DataFrame:
-        """One row a document: doc_id, n_shingles, component_id."""
-        labelled = self._labelled()
-        least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-        return labelled.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _may_link(rows: list[tuple], num: int, den: int) -> np.ndarray:
-    """Which rows (.., role, entity, size, bit vector) of a part can be linked to a member, or as members to a row."""
-    size = np.array([r[5] for r in rows], np.int64)
-    least = need(size, num, den)
-    bits = [np.frombuffer(r[6], U64) for r in rows]
-    members = [k for k, r in enumerate(rows) if r[3] == 0]
-    keep = np.zeros(len(rows), bool)
-    if len(rows) < 2:
-        return np.flatnonzero(keep)
-    # The group's union, as wide as its widest member; its place for each query is the width that both have.
-    width = max(len(bits[k]) for k in members)
+        own = self.sizes.where("entity is not null").groupBy("entity").agg(F.min(order).alias("one"))
+        return own.join(self.families, "entity", "left").groupBy(F.coalesce("family", "entity").alias("class")).agg(F.min("one").alias("one")).select("one.entity", "one.doc_id")
+
+
+def pieces(n: Column, tokens: Column) -> Column:
+    """How many parts n entities with so many tokens together make."""
+    return F.greatest(F.ceil(n / MEMBERS), F.ceil(tokens / BUCKET_TOKENS))
+
+
+def star_links(rows: list[tuple[int, np.ndarray]], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links of rows (entity, token set) to the first of them, of those left to the first of these, and so on."""
+    for _ in range(PIVOTS + 1):
+        if len(rows) < 2:
+            return
+        (entity, pivot), rows = rows[0], rows[1:]
+        sizes = np.array([len(s) for _, s in rows], np.int64)
+        tokens = np.concatenate([s for _, s in rows])
+        hits = pivot[np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)] == tokens
+        overlap = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+        near = den * overlap >= num * (sizes + len(pivot) - overlap)
+        yield from ((entity, rows[k][0]) for k in np.flatnonzero(near).tolist() if rows[k][0] != entity)
+        rows = [rows[k] for k in np.flatnonzero(~near).tolist()]
+
+
+def may_link(queries: list[dict], members: list[dict], num: int, den: int) -> tuple[list[int], list[int]]:
+    """Which queries (entity, size, family, bits) can be linked to a member of another family, and which members to one."""
+    families, sizes = (np.array([m[c] for m in members], np.int64) for c in ("family", "size"))
+    bits = [np.frombuffer(m["bits"], U64) for m in members]
+    width = max(map(len, bits))
     union = np.zeros(width, U64)
-    for k in members:
-        union |= np.tile(bits[k], width // len(bits[k]))
+    for b in bits:
+        union |= np.tile(b, width // len(b))
     by_width: dict[int, np.ndarray] = {}
-    for k, r in enumerate(rows):
-        own = bits[k]
-        if r[3] == 1:
-            both = min(len(own), width)
-            missing = int(np.bitwise_count(narrowed(own, both) & ~narrowed(union, both)).sum())
-            if size[k] - missing < least[k]:
-                continue  # the group stays closed
+    kept, partners = [], np.zeros(len(members), bool)
+    for k, q in enumerate(queries):
+        own, size = np.frombuffer(q["bits"], U64), q["size"]
+        both, least = min(len(own), width), need(size, num, den)
+        if size - int(np.bitwise_count(narrowed(own, both) & ~narrowed(union, both)).sum()) < least:
+            continue  # the group stays closed
         if len(own) not in by_width:
-            by_width[len(own)] = np.stack([narrowed(bits[m], len(own)) if len(bits[m]) >= len(own) else np.tile(bits[m], len(own) // len(bits[m])) for m in members])
+            by_width[len(own)] = np.stack([narrowed(b, len(own)) if len(b) >= len(own) else np.tile(b, len(own) // len(b)) for b in bits])
         missing = np.bitwise_count(own & ~by_width[len(own)]).sum(axis=1).astype(np.int64)
-        likely = (size[k] - missing >= least[k]) & (size[members] * den >= size[k] * num) & (size[members] * num <= size[k] * den)
-        if r[3] == 0:
-            likely[members.index(k)] = False
+        likely = (size - missing >= least) & (sizes * den >= size * num) & (sizes * num <= size * den) & (families != q["family"])
         if likely.any():
-            keep[k] = True
-            keep[np.array(members)[likely]] = True
-    return np.flatnonzero(keep)
-
-
-def _linked(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links of a part's rows (.., role, entity, size, token set) to its members."""
-    members = [r for r in rows if r[3] == 0]
-    if not members:
-        return
-    sets = [np.frombuffer(r[6], U64) for r in members]
-    size = np.array([len(s) for s in sets], np.int64)
-    tokens = np.concatenate(sets)
+            kept.append(k)
+            partners |= likely
+    return kept, np.flatnonzero(partners).tolist()
+
+
+def linked(rows: list[tuple[int, int, np.ndarray]], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links between families of rows (role, family, token set): of queries (role 1) to members (role 0), or, without
+    queries, of members to each other."""
+    members = [r for r in rows if r[0] == 0]
+    queries = [r for r in rows if r[0] == 1] or members
+    size = np.array([len(s) for _, _, s in members], np.int64)
+    tokens = np.concatenate([s for _, _, s in members])
     order = np.argsort(tokens, kind="stable")
     union, begins = np.unique(tokens[order], return_index=True)
     holders = np.repeat(np.arange(len(members)), size)[order]
     ends = np.append(begins[1:], len(order))
-    for r in rows:
-        own = np.frombuffer(r[6], U64)
+    for _, family, own in queries:
         at = np.minimum(np.searchsorted(union, own), len(union) - 1)
         at = at[union[at] == own]
         if len(at) < need(len(own), num, den):
@@ -401,23 +467,36 @@ def _linked(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
         places = np.repeat(from_ - (stops - lengths), lengths) + np.arange(stops[-1])
         overlap = np.bincount(holders[places], minlength=len(members))
         for k in np.flatnonzero(den * overlap >= num * (len(own) + size - overlap)).tolist():
-            if members[k][4] != r[4]:
-                yield r[4], members[k][4]
+            if members[k][1] != family:
+                yield family, members[k][1]
 
 
 def join_classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents that are linked, over others or directly, by a Jaccard index of at least num / den."""
-    return JaccardJoin(df, n, num, den, doc_id, text).classes()
+    with small_batches(df.sparkSession), Scratch(df.sparkSession) as scratch:
+        return written(JaccardJoin(scratch, df, n, num, den, doc_id, text).classes(), "join-classes")
 
 
 def one_of_each_class(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the rows that are linked to one that stays: of each class the smallest id stays, once. Texts without
-    words all stay."""
-    kept = JaccardJoin(df, n, num, den, doc_id, text).kept().select(F.col("entity").alias("_kept"), F.col("doc_id").alias("_kept_id"))
-    entity, size = free_name(df, "_entity"), free_name(df, "_size")
-    rows = with_entity(df, n, text, entity, size)
-    same = (F.col(entity) == F.col("_kept")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
-    stay = rows.join(kept, same, "left_semi")
-    nth = free_name(df, "_nth")
-    stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(entity, doc_id).orderBy(F.lit(1)))).where(F.col(nth) == 1)
-    return stay.select(*df.columns).unionByName(rows.where(F.col(entity).isNull()).select(*df.columns))
+    words all stay. Of rows with equal id and equal token set, that with the smallest hash of all columns stays.
+
+    Rows are kept by id; only those whose id is null or repeated have their token sets made again."""
+    with small_batches(df.sparkSession), Scratch(df.sparkSession) as scratch:
+        join = JaccardJoin(scratch, df, n, num, den, doc_id, text)
+        kept = written(join.kept(), "join-kept")
+        repeated = written(join.sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "join-repeated")
+        ids = kept.select("doc_id").union(join.sizes.where("entity is null").select("doc_id")).where("doc_id is not null")
+        ids = written(ids.join(repeated, "doc_id", "left_anti"), "join-ids")
+        odd = not (repeated.isEmpty() and join.sizes.where("doc_id is null").isEmpty())
+    entity, nth, own, other = (free_name(df, x) for x in ("_entity", "_nth", "_kept_id", "_kept_entity"))
+    id_ = F.col(doc_id).cast("long")
+    stay = df.join(ids.withColumnRenamed("doc_id", own), id_ == F.col(own), "left_semi")
+    if not odd:
+        return stay
+    rows = df.where(id_.isNull()).unionByName(df.join(repeated.withColumnRenamed("doc_id", own), id_ == F.col(own), "left_semi"))
+    rows = with_entity(rows, n, text, entity)
+    one = rows.join(kept.select(F.col("entity").alias(other), F.col("doc_id").alias(own)), (F.col(entity) == F.col(other)) & id_.eqNullSafe(F.col(own)), "left_semi")
+    order = F.xxhash64(*(f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    one = one.withColumn(nth, F.row_number().over(Window.partitionBy(entity, doc_id).orderBy(order))).where(F.col(nth) == 1)
+    return stay.unionByName(one.select(*df.columns)).unionByName(rows.where(F.col(entity).isNull()).select(*df.columns))

@@ -286,10 +286,12 @@ def brute_components(ids, texts, n, num, den):
 
 @pytest.mark.parametrize(("n", "num", "small"), [(4, 85, True), (5, 80, False)])
 def test_join_by_brute_force(spark, monkeypatch, n, num, small):
-    if small:  # many groups, parts and turns; frequent tokens in force
+    if small:  # many groups and parts; frequent tokens in force, and split over buckets; families found late
         monkeypatch.setattr(jaccard_join, "MEMBERS", 3)
-        monkeypatch.setattr(jaccard_join, "QUERIES", 2)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
         monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+        monkeypatch.setattr(jaccard_join, "HOT", 2)
+        monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 700)
     texts = near_texts(random.Random(num))
     ids = [*range(500, 500 - len(texts), -1)]
     ids[-1], ids[3], ids[20] = ids[-2], None, ids[21]
@@ -302,6 +304,50 @@ def test_join_by_brute_force(spark, monkeypatch, n, num, small):
     assert jaccard_join.join_classes(df.limit(0), n, num, 100).count() == 0
 
 
+def thue_morse(letters, length=1024):
+    """A word whose sums by powers of any odd number modulo 2^64 are those of its complement."""
+    return "".join(letters[k.bit_count() % 2] for k in range(length))
+
+
+def test_words_that_defeat_power_sums_are_not_linked(spark):
+    texts = [thue_morse("ab"), thue_morse("ba"), f"{thue_morse('ab')} a b c d e", f"{thue_morse('ba')} a b c d f"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.join_classes(df, 4, 85, 100).collect()} == {0, 1, 2, 3}
+
+
+def test_near_copies_are_compared_with_few(spark, monkeypatch):
+    rng = random.Random(11)
+    base = text_of(rng, 300).split()
+    texts = []
+    for k in range(600):  # a large family, and documents that share half a passage with it but aren't linked
+        own = list(base) if k % 6 else base[:150] + text_of(rng, 150).split()
+        own[rng.randrange(150)] = f"edit{k}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    made = {}
+
+    def kept(scratch, table, name, written=jaccard_join.Scratch.written):
+        out = written(scratch, table, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "written", kept)
+    rows = jaccard_join.join_classes(df, 5, 80, 100).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == Counter(brute_components([*range(600)], texts, 5, 80, 100))
+    assert made["join-qualified"] < 600 and made["join-pairs"] < 50  # 500 * 499 / 2 pairs are linked
+
+
+def test_one_of_rows_that_repeat(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a  b c d e f", "y"), (1, "other words of one kind here", "z"), (None, "a b c d e f", "u"), (None, "lone", "v"), (None, "lone", "v"), (2, "", "w"), (2, None, "w"), (3, "lone two", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _entity string")
+    want = None
+    for own in (df, df.repartition(3), df.orderBy(F.desc("_entity"))):
+        got = sorted(map(tuple, jaccard_join.one_of_each_class(own, 5, 80, 100).collect()), key=str)
+        want = want or got
+        assert got == want
+    assert [r[0] for r in want].count(1) == 2 and [r[0] for r in want].count(None) == 1 and [r[0] for r in want].count(2) == 2 and len(want) == 6
+
+
 # Mixing
 
 

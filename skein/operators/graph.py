@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 from skein.sources.shared import Scratch, written
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b", keep: Scratch | None = None) -> DataFrame:
     """(node, component) for each node of edges; component is the smallest node that it reaches. Repeated edges, edges
-    in either direction and self-links make no difference; edges with a null end are left out.
+    in either direction and self-links make no difference; edges with a null end are left out. keep: what deletes the
+    result once its readers are done.
 
     Rounds of smallest neighbours and pointer jumps. Each round is written to the shared folder, which cuts the lineage.
     Nothing is collected: a round's end is told by whether a label changed. A hub's links are summed up before the
@@ -28,7 +29,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             last, step = step, scratch.written(mid.join(jump, F.col("mid") == F.col("via"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
             scratch.drop(last)
             if step.where("old <> component").isEmpty():
-                return written(step.select("node", "component"), "labels")
+                return (keep.written if keep else written)(step.select("node", "component"), "labels")
 
 
 def greedy_union(edges: list[tuple[int, int, float]], most: int) -> tuple[dict[int, int], dict[int, int]]:

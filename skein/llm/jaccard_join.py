@@ -7,14 +7,16 @@ reaches what a link needs: two sets of Jaccard index >= num / den share at least
 
 How it scales:
 
-- Texts are read once; token sets are a table in the shared folder, deleted at the end as all tables between steps.
+- Token sets are larger than texts, so none is stored or shuffled but those that bit vectors can't tell apart; texts are
+  read once for sizes and bit vectors, once to count frequent tokens and once for prefixes. Tables between steps are
+  deleted as soon as they are read.
 - Which groups a query can qualify for is read off the sparse rows of the matrix: in an order of all tokens that puts
   frequent ones last, two linked sets share a token among the first size - need + 1 of each (the prefix). Only prefix
   tokens are shuffled, packed by hash bucket; a very frequent one is split over several buckets. Frequent tokens are
   counted over all documents; at most ``MOST_FREQUENT`` of them are broadcast. The order is the same everywhere, so that
   bound costs speed only, never a link.
 - Entities are first brought together by the prefix token that they share with most others, in batches of ``MEMBERS``
-  with the token's first entity in each, and linked to few of the batch (exactly). What is linked so is a family.
+  with the token's first entity in each, and compared with few of the batch. What is linked so (exactly) is a family.
 - Groups are parts of a family, of ``MEMBERS`` entities at most, or (small families of one such token) several of them.
   Entities of one family need no further comparison, so N near copies cost N comparisons or so and not N * N; only groups
   that share a prefix token and aren't of the same single family are paired. A pair is a piece of work of its own, of
@@ -54,6 +56,8 @@ PIVOTS = 8
 BUCKET_TOKENS = 1 << 20
 #: Tokens that a task gathers, over batches, before it packs and hands them on.
 PACK_TOKENS = 1 << 19
+#: Entities that a task remembers so as not to hand on copies of them; all are forgotten beyond that.
+MOST_MET = 1 << 18
 #: Bytes of a batch that goes back to the JVM.
 OUT_BYTES = 4 << 20
 
@@ -135,14 +139,20 @@ def _packed(buckets: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, np.ndarray]]:
-    """Token sets by entity, as many at a time as have PACK_TOKENS together."""
+def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.ndarray]]:
+    """Entities of the batches' texts and their token sets, as many at a time as have PACK_TOKENS together. Copies that a task has met lately are left
+    out, so a text that stands in many documents comes once a task or so."""
     own: dict[int, np.ndarray] = {}
-    held = 0
+    held, met = 0, set()
     for batch in batches:
-        for key, content in zip(batch.column("entity").to_pylist(), batch.column("tokens"), strict=True):
-            own[key] = np.frombuffer(content.as_buffer(), U64)
-            held += len(own[key])
+        for tokens in token_sets(batch.column("text"), n):
+            if not len(tokens) or (key := entity_of(tokens)) in met:
+                continue
+            if len(met) >= MOST_MET:
+                met.clear()
+            met.add(key)
+            own[key] = tokens
+            held += len(tokens)
             if held >= PACK_TOKENS:
                 yield own
                 own, held = {}, 0
@@ -157,6 +167,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield list(group)
 
 
+def _rows(rows: list[tuple], *more: str) -> pa.RecordBatch:
+    names = ["a", "b", "role", "entity", *more]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if n == "role" else pa.int64()) for c, n in enumerate(names)], names)
+
+
 def _links(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -175,63 +190,64 @@ def with_entity(df: DataFrame, n: int, text: str, entity: str) -> DataFrame:
 
 
 class JaccardJoin:
-    """The join of one table of documents. Tables that callers read: sizes, a row a document (row, its number; doc_id,
-    entity, null without tokens; size), and families, (entity, family) of entities that may be linked to others: the
-    smallest entity that links reach."""
+    """The join of one table of documents. Tables that callers read: sizes, a row a document (doc_id, entity, null
+    without tokens; size), and families, (entity, family) of entities that may be linked to others: the smallest entity
+    that links reach."""
 
     def __init__(self, scratch: Scratch, df: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text"):
         self.n, self.num, self.den, self.scratch = n, num, den, scratch
-        docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        sets = scratch.written(self._tokenised(docs).withColumn("row", F.monotonically_increasing_id()), "join-sets")
-        self.sizes = scratch.written(sets.select("row", "doc_id", "entity", "size"), "join-sizes")
-        firsts = scratch.written(self.sizes.where("entity is not null").groupBy("entity").agg(F.min("row").alias("row")), "join-firsts")
-        self.sets = sets.join(firsts.select("row"), "row", "left_semi").select("entity", "tokens")
+        self.docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        measured = scratch.written(self._tokenised(self.docs, bits=True), "join-sizes")
+        self.sizes = measured.select("doc_id", "entity", "size")
         self.buckets = max(1, -(-(self.sizes.agg(F.sum("size")).first()[0] or 0) // BUCKET_TOKENS))
         shared = scratch.written(self.shared_prefixes(), "join-prefixes")
         best = scratch.written(shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp")), "join-best")
-        content = scratch.written(self.sets.join(best.select("entity"), "entity", "left_semi"), "join-content")
-        scratch.drop(sets, firsts)
-        first = components(self.first_links(best, content))
+        entities = measured.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.any_value("content").alias("bits"))
+        entities = scratch.written(entities.join(best.select("entity"), "entity", "left_semi"), "join-entities")
+        stars = scratch.written(self.stars(best, entities), "join-stars")
+        first = components(self.links(stars, entities), keep=scratch)
+        scratch.drop(stars)
         groups = scratch.written(self.groups(best, first), "join-groups")
         holding = scratch.written(self.holding(shared, groups), "join-holding")
         scratch.drop(shared, best)
         pairs = scratch.written(self.pairs(holding), "join-pairs")
         scratch.drop(holding)
-        qualified = scratch.written(self.qualified(pairs, groups, content), "join-qualified")
+        qualified = scratch.written(self.qualified(pairs, groups, entities), "join-qualified")
         scratch.drop(pairs)
-        second = components(self.links(qualified, content)).withColumnRenamed("node", "family")
+        second = components(self.links(qualified, entities), keep=scratch).withColumnRenamed("node", "family")
         self.families = scratch.written(groups.select("entity", "family").join(second, "family", "left").select("entity", F.coalesce("component", "family").alias("family")), "join-families")
-        scratch.drop(qualified, content, groups)
+        scratch.drop(qualified, entities, groups)
 
-    def _tokenised(self, docs: DataFrame) -> DataFrame:
+    def _tokenised(self, docs: DataFrame, bits: bool) -> DataFrame:
+        """(doc_id, entity, size, content) of each row: content is the token set, or its bit vector."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets, begin = token_sets(batch.column("text"), n), 0
                 while begin < batch.num_rows:
-                    held, size = [], 0
+                    held, total = [], 0
                     for tokens in sets:
-                        held.append(tokens)
-                        size += tokens.nbytes
-                        if size > OUT_BYTES:
+                        held.append((entity_of(tokens) if len(tokens) else None, len(tokens), bits_of(tokens) if bits else tokens.tobytes()))
+                        total += len(held[-1][2])
+                        if total > OUT_BYTES:
                             break
-                    columns = [pa.array([entity_of(s) if len(s) else None for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(held)), *columns], ["doc_id", "entity", "size", "tokens"])
+                    columns = [pa.array([row[c] for row in held], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(held)), *columns], ["doc_id", "entity", "size", "content"])
                     begin += len(held)
 
-        return docs.mapInArrow(run, "doc_id long, entity long, size long, tokens binary")
+        return docs.mapInArrow(run, "doc_id long, entity long, size long, content binary")
 
     def low(self) -> np.uint64:
         return U64(min(2**64 - 1, int(2 * (1 - self.num / self.den) * 2**64)))
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (ascending) that more than FREQUENT entities have, and how many have them; the most frequent, at most
+        """Tokens (ascending) that more than FREQUENT texts have, and how many have them; the most frequent, at most
         MOST_FREQUENT. Only the low part of the hash range is counted, from which prefixes are taken."""
-        buckets, low = self.buckets, self.low()
+        n, buckets, low = self.n, self.buckets, self.low()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for sets in _gathered(batches):
+            for sets in _gathered(batches, n):
                 tokens, counts = np.unique(np.concatenate([tokens[: np.searchsorted(tokens, low)] for tokens in sets.values()]), return_counts=True)
                 place = (mix(tokens) % U64(buckets)).astype(np.int64)
                 # Most tokens are met once: those come as they are, the others with their counts.
@@ -246,8 +262,10 @@ class JaccardJoin:
             often = total > FREQUENT
             return pa.table({"token": distinct[often].view(np.int64), "n": total[often]})
 
-        counted = self.sets.mapInArrow(run, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+        packed = self.docs.select("text").mapInArrow(run, "bucket long, tokens binary, counts binary")
+        counted = self.scratch.written(packed.groupBy("bucket").applyInArrow(count, "token long, n long"), "join-frequent")
         rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+        self.scratch.drop(counted)
         tokens, n = rows["token"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64)
         order = np.argsort(tokens)
         return tokens[order], n[order]
@@ -255,12 +273,12 @@ class JaccardJoin:
     def shared_prefixes(self) -> DataFrame:
         """(entity, size, tokens, n, token): prefix tokens that other entities have in their prefixes, a row for each
         bucket that holds some, and that of them which most (n) have."""
-        num, den, buckets, low = self.num, self.den, self.buckets, self.low()
+        num, den, width, buckets, low = self.num, self.den, self.n, self.buckets, self.low()
         told = self.sizes.sparkSession.sparkContext.broadcast(self.frequent())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often, n_of = told.value
-            for sets in _gathered(batches):
+            for sets in _gathered(batches, width):
                 own, ranks, lengths, sizes = [], [], [], []
                 for tokens in sets.values():
                     size = len(tokens)
@@ -276,18 +294,23 @@ class JaccardJoin:
                     ranks.append(rank[:length])
                     lengths.append(length)
                     sizes.append(size)
-                tokens, entities, sizes = np.concatenate(own), np.repeat(np.array(list(sets), np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+                tokens, entities, sizes = np.concatenate(own), np.repeat(np.array(list(sets), np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
                 # A hot token goes to several buckets. It is known to be shared, which a size below zero says.
                 salts = np.concatenate(ranks) // HOT
                 place = mix(tokens) + np.where(salts > 0, mix(entities.view(U64)) % (salts + 1).astype(U64), U64(0))
                 yield _packed((place % U64(buckets)).astype(np.int64), tokens=tokens, entities=entities, sizes=np.where(salts > 0, -sizes, sizes))
 
         def shared(table: pa.Table) -> pa.Table:
-            tokens, entities, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", U64), ("entities", np.int64), ("sizes", np.int64)))
+            tokens, entities, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tokens", U64), ("entities", np.int64), ("sizes", np.int32)))
+            order = np.lexsort((entities, tokens))
+            tokens, entities, sizes = tokens[order], entities[order], sizes[order]
+            new = np.ones(len(tokens), bool)  # copies of an entity come from different tasks
+            new[1:] = (tokens[1:] != tokens[:-1]) | (entities[1:] != entities[:-1])
+            tokens, entities, sizes = tokens[new], entities[new], sizes[new]
             _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
             n = counts[which].astype(np.int64)
             several = (n > 1) | (sizes < 0)
-            tokens, entities, sizes, n = tokens[several], entities[several], np.abs(sizes[several]), n[several]
+            tokens, entities, sizes, n = tokens[several], entities[several], np.abs(sizes[several]).astype(np.int64), n[several]
             order = np.lexsort((tokens, n, entities))
             tokens, entities, sizes, n = tokens[order], entities[order], sizes[order], n[order]
             begins = np.flatnonzero(np.diff(entities, prepend=entities[:1] - 1))
@@ -295,23 +318,35 @@ class JaccardJoin:
             content = pa.array([tokens[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
             return pa.table({"entity": entities[begins], "size": sizes[begins], "tokens": content, "n": n[ends - 1], "token": tokens[ends - 1].view(np.int64)})
 
-        packed = self.sets.mapInArrow(run, "bucket long, tokens binary, entities binary, sizes binary")
+        packed = self.docs.select("text").mapInArrow(run, "bucket long, tokens binary, entities binary, sizes binary")
         return packed.groupBy("bucket").applyInArrow(shared, "entity long, size long, tokens binary, n long, token long")
 
-    def first_links(self, best: DataFrame, content: DataFrame) -> DataFrame:
-        """(a, b): links found within batches of entities (entity, size, grp) of one grp."""
+    def stars(self, best: DataFrame, entities: DataFrame) -> DataFrame:
+        """(a, b, role, entity, family): some entities (role 0) of each grp of best (entity, size, grp), and those of its
+        others (role 1) that may be linked to one, as bit vectors tell."""
         num, den = self.num, self.den
-        several = best.groupBy("grp").agg(F.count("*").alias("n"), pieces(F.count("*"), F.sum("size")).alias("batches"), F.min("entity").alias("leader")).where("n > 1")
-        rows = best.join(several, "grp").select("grp", F.pmod(F.xxhash64("entity"), F.col("batches")).alias("batch"), F.lit(1).alias("role"), "entity")
-        leaders = several.where("batches > 1").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("role"), F.col("leader").alias("entity"))
+        several = best.groupBy("grp").agg(F.count("*").alias("n"), pieces(F.count("*"), F.sum("size")).alias("batches"), F.min_by(F.struct("entity", "size"), "entity").alias("leader")).where("n > 1")
+        rows = best.join(several, "grp").select("grp", F.pmod(F.xxhash64("entity"), F.col("batches")).alias("batch"), F.lit(1).alias("role"), "entity", "size")
+        leaders = several.where("batches > 1").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("role"), "leader.entity", "leader.size")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _groups(batches, 2):
-                if edges := list(star_links([(r[3], np.frombuffer(r[4], U64)) for r in rows], num, den)):
-                    yield _links(edges)
+                left, out = [{"entity": r[3], "family": r[3], "size": r[4], "bits": r[5]} for r in rows], []
+                for k in range(PIVOTS + 1):
+                    if len(left) < 2:
+                        break
+                    pivot, left = left[0], left[1:]
+                    near = {*may_link([pivot], left, num, den)[1]}
+                    if near:
+                        star = int(mix(np.array([rows[0][1] * (PIVOTS + 1) + k], U64)).view(np.int64)[0])
+                        out += [(rows[0][0], star, role, m["entity"]) for role, ms in ((0, [pivot]), (1, [left[i] for i in near])) for m in ms]
+                    left = [m for i, m in enumerate(left) if i not in near]
+                if out:
+                    yield _rows(out)
 
-        beside = rows.unionByName(leaders).join(content, "entity").select("grp", "batch", "role", "entity", "tokens")
-        return beside.repartition("grp", "batch").sortWithinPartitions("grp", "batch", "role", "entity").mapInArrow(run, "a long, b long")
+        beside = rows.unionByName(leaders).join(entities.select("entity", "bits"), "entity").select("grp", "batch", "role", "entity", "size", "bits")
+        found = beside.repartition("grp", "batch").sortWithinPartitions("grp", "batch", "role", "entity").mapInArrow(run, "a long, b long, role int, entity long")
+        return found.withColumn("family", F.col("entity"))
 
     def groups(self, best: DataFrame, first: DataFrame) -> DataFrame:
         """(entity, size, family, part): entities of one grp are dealt to parts, a family of over MEMBERS to its own."""
@@ -345,15 +380,11 @@ class JaccardJoin:
         near = (F.col("most2") * den >= F.col("least") * num) & (F.col("least2") * num <= F.col("most") * den)
         return left.join(right, "token").where((F.col("part") <= F.col("part2")) & differ & near).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct()
 
-    def qualified(self, pairs: DataFrame, groups: DataFrame, content: DataFrame) -> DataFrame:
+    def qualified(self, pairs: DataFrame, groups: DataFrame, entities: DataFrame) -> DataFrame:
         """(a, b, role, entity, family): for each pair the queries (role 1, of a) for which the group b opens and may hold
         a partner, and the members (role 0, of b) that may be partners, as bit vectors tell."""
         num, den = self.num, self.den
 
-        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array([bits_of(np.frombuffer(x.as_buffer(), U64)) for x in batch.column("tokens")], pa.binary())], ["entity", "bits"])
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
@@ -364,17 +395,17 @@ class JaccardJoin:
                     out += [(a, b, 1, own[k]["entity"], own[k]["family"]) for k in queries]
                     out += [(a, b, 0, other[k]["entity"], other[k]["family"]) for k in members]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["a", "b", "role", "entity", "family"])
+                    yield _rows(out, "family")
 
         named = pairs.select(F.col("a").alias("part")).union(pairs.select("b")).distinct()
-        rows = groups.join(named, "part", "left_semi").join(content.mapInArrow(bits, "entity long, bits binary"), "entity")
+        rows = groups.join(named, "part", "left_semi").join(entities.select("entity", "bits"), "entity")
         # A part has MEMBERS entities or so, so a list of them is bounded.
         matrix = self.scratch.written(rows.groupBy("part").agg(F.collect_list(F.struct("entity", "size", "family", "bits")).alias("rows")), "join-matrix")
         beside = pairs.join(matrix.select(F.col("part").alias("a"), F.col("rows").alias("queries")), "a").join(matrix.select(F.col("part").alias("b"), F.col("rows").alias("members")), "b")
         return beside.mapInArrow(run, "a long, b long, role int, entity long, family long")
 
-    def links(self, qualified: DataFrame, content: DataFrame) -> DataFrame:
-        """(a, b): families that links join."""
+    def links(self, rows: DataFrame, entities: DataFrame) -> DataFrame:
+        """(a, b): families that links join, of the queries and members in rows (a, b, role, entity, family)."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,8 +413,23 @@ class JaccardJoin:
                 if edges := spanning(linked([(r[2], r[4], np.frombuffer(r[5], U64)) for r in rows], num, den)):
                     yield _links(edges)
 
-        beside = qualified.join(content, "entity").select("a", "b", "role", "entity", "family", "tokens")
-        return beside.repartition("a", "b").sortWithinPartitions("a", "b", "role", "entity").mapInArrow(run, "a long, b long")
+        content = self.scratch.written(self._sets_of(rows, entities), "join-content")
+        beside = rows.join(content, "entity").select("a", "b", "role", "entity", "family", "content")
+        found = beside.repartition("a", "b").sortWithinPartitions("a", "b", "role", "entity").mapInArrow(run, "a long, b long")
+        out = self.scratch.written(found, "join-links")
+        self.scratch.drop(content)
+        return out
+
+    def _sets_of(self, rows: DataFrame, entities: DataFrame) -> DataFrame:
+        """(entity, content): the token sets of the entities named, each from the text of its document with the least id.
+        Where that has no id, all texts without one are read."""
+        wanted = self.scratch.written(entities.select("entity", "doc_id").join(rows.select("entity").distinct(), "entity", "left_semi"), "join-wanted")
+        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        if not wanted.where("doc_id is null").isEmpty():
+            texts = texts.unionByName(self.docs.where("doc_id is null"))
+        found = self._tokenised(texts, bits=False).select("entity", "content").join(wanted.select("entity"), "entity", "left_semi")
+        # Rows that repeat an id, or have none, may give an entity several times.
+        return found.dropDuplicates(["entity"])
 
     def classes(self) -> DataFrame:
         """One row a document: doc_id, n_shingles, component_id."""
@@ -406,21 +452,6 @@ def pieces(n: Column, tokens: Column) -> Column:
     return F.greatest(F.ceil(n / MEMBERS), F.ceil(tokens / BUCKET_TOKENS))
 
 
-def star_links(rows: list[tuple[int, np.ndarray]], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links of rows (entity, token set) to the first of them, of those left to the first of these, and so on."""
-    for _ in range(PIVOTS + 1):
-        if len(rows) < 2:
-            return
-        (entity, pivot), rows = rows[0], rows[1:]
-        sizes = np.array([len(s) for _, s in rows], np.int64)
-        tokens = np.concatenate([s for _, s in rows])
-        hits = pivot[np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)] == tokens
-        overlap = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
-        near = den * overlap >= num * (sizes + len(pivot) - overlap)
-        yield from ((entity, rows[k][0]) for k in np.flatnonzero(near).tolist() if rows[k][0] != entity)
-        rows = [rows[k] for k in np.flatnonzero(~near).tolist()]
-
-
 def may_link(queries: list[dict], members: list[dict], num: int, den: int) -> tuple[list[int], list[int]]:
     """Which queries (entity, size, family, bits) can be linked to a member of another family, and which members to one."""
     families, sizes = (np.array([m[c] for m in members], np.int64) for c in ("family", "size"))

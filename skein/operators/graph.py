@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.sources.shared import Scratch, written
 
+#: Links for which a file of labels is written.
+FILE_ROWS = 1 << 20
+
 
 def components(edges: DataFrame, left: str = "a", right: str = "b", keep: Scratch | None = None) -> DataFrame:
     """(node, component) for each node of edges; component is the smallest node that it reaches. Repeated edges, edges
@@ -19,17 +22,19 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", keep: Scratc
     ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     with Scratch(edges.sparkSession) as scratch:
         both = scratch.written(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-        step = scratch.written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
+        files = 1 + both.count() // FILE_ROWS
+        step = table = scratch.written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels", files)
         while True:
-            labels = step.select("node", "component")
             # The smallest label among neighbours, then that label's own label.
-            near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-            mid = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("mid"))
-            jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-            last, step = step, scratch.written(mid.join(jump, F.col("mid") == F.col("via"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
-            scratch.drop(last)
-            if step.where("old <> component").isEmpty():
-                return (keep.written if keep else written)(step.select("node", "component"), "labels")
+            near = both.join(step, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
+            mid = step.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("mid"))
+            jump = step.select(F.col("node").alias("via"), F.col("component").alias("far"))
+            new = scratch.written(mid.join(jump, F.col("mid") == F.col("via"), "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), (F.col("old") == F.least("mid", F.coalesce("far", "mid"))).alias("same")), "labels", files)
+            scratch.drop(table)
+            table, step = new, new.select("node", "component")
+            if new.where("not same").isEmpty():
+                scratch.release(new, keep)
+                return step
 
 
 def greedy_union(edges: list[tuple[int, int, float]], most: int) -> tuple[dict[int, int], dict[int, int]]:

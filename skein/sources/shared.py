@@ -44,32 +44,46 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is collected or written within the block leaves no shuffle files behind."""
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
+        yield
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or work_path(spark, name)
-    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
+    with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """Tables between the steps of one operator. close, or leaving a with block, deletes those not dropped before."""
+    """Tables between the steps of one operator. close, or leaving a with block, deletes those not released."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self._paths = spark, {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """files: so many at most, as a step of many small files costs more than the step."""
         path = work_path(self.spark, name)
-        table = written(df, name, path)
+        table = written(df.coalesce(files) if files else df, name, path)
         self._paths[id(table)] = (path, table)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables whose readers are done."""
-        for table in tables:
-            if found := self._paths.pop(id(table), None):
-                delete(self.spark, found[0])
+        for path, _ in filter(None, (self._paths.pop(id(table), None) for table in tables)):
+            delete(self.spark, path)
+
+    def release(self, table: DataFrame, to: Scratch | None = None) -> DataFrame:
+        """table, which stays, or is deleted by another."""
+        found = self._paths.pop(id(table))
+        if to is not None:
+            to._paths[id(table)] = found
+        return table
 
     def close(self) -> None:
         self.drop(*(table for _, table in list(self._paths.values())))

@@ -8,8 +8,8 @@ reaches what a link needs: two sets of Jaccard index >= num / den share at least
 How it scales:
 
 - Token sets are larger than texts, so none is stored or shuffled but those that bit vectors can't tell apart; texts are
-  read once for sizes and bit vectors, once to count frequent tokens and once for prefixes. Tables between steps are
-  deleted as soon as they are read.
+  read once for sizes and bit vectors, once to count frequent tokens and once for prefixes. Tables between
+  steps are deleted.
 - Which groups a query can qualify for is read off the sparse rows of the matrix: in an order of all tokens that puts
   frequent ones last, two linked sets share a token among the first size - need + 1 of each (the prefix). Only prefix
   tokens are shuffled, packed by hash bucket; a very frequent one is split over several buckets. Frequent tokens are
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skein.llm.blocks import U64, SpanHasher, mix, text_blocks, words
-from skein.llm.shared import Scratch, free_name, small_batches, written
+from skein.llm.shared import Scratch, free_name, freed_shuffles, small_batches, written
 from skein.operators.graph import components
 
 #: A token of more documents than this is frequent; only so many frequent ones are told to all tasks.
@@ -199,24 +199,26 @@ class JaccardJoin:
         self.docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         measured = scratch.written(self._tokenised(self.docs, bits=True), "join-sizes")
         self.sizes = measured.select("doc_id", "entity", "size")
-        self.buckets = max(1, -(-(self.sizes.agg(F.sum("size")).first()[0] or 0) // BUCKET_TOKENS))
-        shared = scratch.written(self.shared_prefixes(), "join-prefixes")
-        best = scratch.written(shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp")), "join-best")
+        tokens, self.no_ids = self.sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("doc_id").isNull()) > 0).first()
+        self.buckets = 1 + tokens // BUCKET_TOKENS
+        self.files = 8 + self.buckets // 4  # of a small table
+        shared = scratch.written(self.shared_prefixes(), "join-prefixes", self.buckets + 8)
+        best = self._kept(shared.groupBy("entity", "size").agg(F.max(F.struct("n", "token"))["token"].alias("grp")), "best")
         entities = measured.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.any_value("content").alias("bits"))
-        entities = scratch.written(entities.join(best.select("entity"), "entity", "left_semi"), "join-entities")
-        stars = scratch.written(self.stars(best, entities), "join-stars")
+        entities = self._kept(entities.join(best.select("entity"), "entity", "left_semi"), "entities")
+        stars = self._kept(self.stars(best, entities), "stars")
         first = components(self.links(stars, entities), keep=scratch)
-        scratch.drop(stars)
-        groups = scratch.written(self.groups(best, first), "join-groups")
-        holding = scratch.written(self.holding(shared, groups), "join-holding")
-        scratch.drop(shared, best)
-        pairs = scratch.written(self.pairs(holding), "join-pairs")
+        groups = self._kept(self.groups(best, first), "groups")
+        holding = self._kept(self.holding(shared, groups), "holding")
+        scratch.drop(shared, best, stars)
+        pairs = self._kept(self.pairs(holding), "pairs")
         scratch.drop(holding)
-        qualified = scratch.written(self.qualified(pairs, groups, entities), "join-qualified")
-        scratch.drop(pairs)
+        qualified = self._kept(self.qualified(pairs, groups, entities), "qualified")
         second = components(self.links(qualified, entities), keep=scratch).withColumnRenamed("node", "family")
-        self.families = scratch.written(groups.select("entity", "family").join(second, "family", "left").select("entity", F.coalesce("component", "family").alias("family")), "join-families")
-        scratch.drop(qualified, entities, groups)
+        self.families = groups.select("entity", "family").join(second, "family", "left").select("entity", F.coalesce("component", "family").alias("family"))
+
+    def _kept(self, table: DataFrame, name: str) -> DataFrame:
+        return self.scratch.written(table, f"join-{name}", self.files)
 
     def _tokenised(self, docs: DataFrame, bits: bool) -> DataFrame:
         """(doc_id, entity, size, content) of each row: content is the token set, or its bit vector."""
@@ -263,9 +265,9 @@ class JaccardJoin:
             return pa.table({"token": distinct[often].view(np.int64), "n": total[often]})
 
         packed = self.docs.select("text").mapInArrow(run, "bucket long, tokens binary, counts binary")
-        counted = self.scratch.written(packed.groupBy("bucket").applyInArrow(count, "token long, n long"), "join-frequent")
-        rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-        self.scratch.drop(counted)
+        counted = packed.groupBy("bucket").applyInArrow(count, "token long, n long")
+        with freed_shuffles(self.docs.sparkSession):
+            rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
         tokens, n = rows["token"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64)
         order = np.argsort(tokens)
         return tokens[order], n[order]
@@ -359,7 +361,8 @@ class JaccardJoin:
         return dealt.select("entity", "size", "family", part.alias("part"))
 
     def holding(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
-        """(token, part, least, most, lo, hi): sizes and families of a part's entities with the token in their prefix."""
+        """(token, part, least, most, lo, hi): sizes and families of a part's entities with the token in their prefix, for
+        the tokens that several families have."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -368,17 +371,17 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(pa.array(np.repeat(np.asarray(batch.column(c)), lengths)) for c in ("part", "size", "family"))], ["token", "part", "size", "family"])
 
         rows = shared.select("entity", "tokens").join(groups, "entity").select("tokens", "part", "size", "family").mapInArrow(run, "token long, part long, size long, family long")
-        return rows.groupBy("token", "part").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("family").alias("lo"), F.max("family").alias("hi"))
+        held = rows.groupBy("token", "part").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("family").alias("lo"), F.max("family").alias("hi"))
+        everywhere = Window.partitionBy("token")
+        return held.withColumns({"first": F.min("lo").over(everywhere), "last": F.max("hi").over(everywhere)}).where("first < last").drop("first", "last")
 
     def pairs(self, holding: DataFrame) -> DataFrame:
         """(a, b), a <= b: parts that share a token, unless all who have it are of one family, or of too different sizes."""
         num, den = self.num, self.den
-        mixed = holding.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
-        left = self.scratch.written(holding.join(mixed, "token", "left_semi"), "join-mixed")
-        right = left.select("token", *(F.col(c).alias(f"{c}2") for c in left.columns if c != "token"))
+        right = holding.select("token", *(F.col(c).alias(f"{c}2") for c in holding.columns if c != "token"))
         differ = F.least("lo", "lo2") < F.greatest("hi", "hi2")
         near = (F.col("most2") * den >= F.col("least") * num) & (F.col("least2") * num <= F.col("most") * den)
-        return left.join(right, "token").where((F.col("part") <= F.col("part2")) & differ & near).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct()
+        return holding.join(right, "token").where((F.col("part") <= F.col("part2")) & differ & near).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct()
 
     def qualified(self, pairs: DataFrame, groups: DataFrame, entities: DataFrame) -> DataFrame:
         """(a, b, role, entity, family): for each pair the queries (role 1, of a) for which the group b opens and may hold
@@ -400,7 +403,7 @@ class JaccardJoin:
         named = pairs.select(F.col("a").alias("part")).union(pairs.select("b")).distinct()
         rows = groups.join(named, "part", "left_semi").join(entities.select("entity", "bits"), "entity")
         # A part has MEMBERS entities or so, so a list of them is bounded.
-        matrix = self.scratch.written(rows.groupBy("part").agg(F.collect_list(F.struct("entity", "size", "family", "bits")).alias("rows")), "join-matrix")
+        matrix = rows.groupBy("part").agg(F.collect_list(F.struct("entity", "size", "family", "bits")).alias("rows"))
         beside = pairs.join(matrix.select(F.col("part").alias("a"), F.col("rows").alias("queries")), "a").join(matrix.select(F.col("part").alias("b"), F.col("rows").alias("members")), "b")
         return beside.mapInArrow(run, "a long, b long, role int, entity long, family long")
 
@@ -413,21 +416,17 @@ class JaccardJoin:
                 if edges := spanning(linked([(r[2], r[4], np.frombuffer(r[5], U64)) for r in rows], num, den)):
                     yield _links(edges)
 
-        content = self.scratch.written(self._sets_of(rows, entities), "join-content")
-        beside = rows.join(content, "entity").select("a", "b", "role", "entity", "family", "content")
-        found = beside.repartition("a", "b").sortWithinPartitions("a", "b", "role", "entity").mapInArrow(run, "a long, b long")
-        out = self.scratch.written(found, "join-links")
-        self.scratch.drop(content)
-        return out
+        beside = rows.join(self._sets_of(rows, entities), "entity").select("a", "b", "role", "entity", "family", "content")
+        return beside.repartition("a", "b").sortWithinPartitions("a", "b", "role", "entity").mapInArrow(run, "a long, b long")
 
     def _sets_of(self, rows: DataFrame, entities: DataFrame) -> DataFrame:
-        """(entity, content): the token sets of the entities named, each from the text of its document with the least id.
-        Where that has no id, all texts without one are read."""
-        wanted = self.scratch.written(entities.select("entity", "doc_id").join(rows.select("entity").distinct(), "entity", "left_semi"), "join-wanted")
-        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        if not wanted.where("doc_id is null").isEmpty():
+        """(entity, content): the token sets of the entities named and some more, each from the text of its document with
+        the least id. If some document has no id, all texts without one are read."""
+        ids = entities.join(rows.select("entity").distinct(), "entity", "left_semi").select("doc_id").distinct()
+        texts = self.docs.join(ids, "doc_id", "left_semi")
+        if self.no_ids:
             texts = texts.unionByName(self.docs.where("doc_id is null"))
-        found = self._tokenised(texts, bits=False).select("entity", "content").join(wanted.select("entity"), "entity", "left_semi")
+        found = self._tokenised(texts, bits=False).select("entity", "content")
         # Rows that repeat an id, or have none, may give an entity several times.
         return found.dropDuplicates(["entity"])
 

@@ -7,9 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.sources.shared import Scratch, delete, settings, shared_dir, work_path, written
+from skein.sources.shared import Scratch, delete, freed_shuffles, settings, shared_dir, work_path, written
 
-__all__ = ["Scratch", "bounded_batches", "delete", "free_name", "shared_dir", "small_batches", "work_path", "written"]
+__all__ = ["Scratch", "bounded_batches", "delete", "free_name", "freed_shuffles", "shared_dir", "small_batches", "work_path", "written"]
 
 
 #: Rows and bytes of an Arrow batch: texts are long, and a batch is held several times over on both sides.

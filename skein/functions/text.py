@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cache
 
 import pandas as pd
 import regex
@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F, types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Unicode white space, as a Java character class.
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WHITE_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: What a Perl \s matches.
 BLANK = r"[\t\n\f\r ]"
 # Patterns of references, links and control characters.
@@ -30,7 +31,7 @@ def ascii_lower(value: Column) -> Column:
 
 def trim_space(value: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(value, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(value, F.lit(_WHITE_CHARACTERS))
 
 
 def present(value: Column) -> Column:
@@ -147,20 +148,33 @@ def query_terms(query: str) -> list[str]:
 TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*")
 
 
-def search_tokens(text: str) -> list[str]:
-    """Index terms: runs of letters, numbers and private use, lower-cased, without diacritics."""
-    found = TOKEN.findall(text.lower())
-    return found if text.isascii() else [t if t.isascii() else _plain(t) for t in found]
+@cache
+def _plain_characters() -> dict[int, str]:
+    """Letters with diacritics, and what they are without; marks, and nothing."""
+    out = {}
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c))[0] == "M":
+            out[c] = ""
+        elif unicodedata.decomposition(chr(c)):
+            bare = [x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x)[0] != "M"]
+            if len(bare) == 1 and ord(bare[0]) != c:
+                out[c] = bare[0]
+    return out
 
 
-@lru_cache(1 << 16)
-def _plain(token: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", token) if unicodedata.category(c)[0] != "M")
+def search_tokens(text: str) -> list[str]:
+    """Index terms: runs of letters, numbers and private use, lower-cased, without diacritics."""
+    lower = text.lower()
+    return TOKEN.findall(lower if lower.isascii() else lower.translate(_plain_characters()))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def tokens_udf(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(search_tokens)
+def search_terms(text: Column) -> Column:
+    """search_tokens of a text; null: none."""
+    plain = _plain_characters()
+    letters = {c: p for c, p in plain.items() if p}
+    marks = "".join(chr(c) for c, p in plain.items() if not p)  # those without a counterpart are deleted
+    bare = F.translate(F.lower(text), "".join(map(chr, letters)) + marks, "".join(letters.values()))
+    return F.coalesce(F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 LABELS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("color", T.StringType()), T.StructField("description", T.StringType())]))

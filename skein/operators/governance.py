@@ -10,6 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.operators.reports import role_rank
+from skein.operators.numbering import numbered
 from skein.schemas import CLUSTER_CLOSURES, CLUSTER_EVENTS, CLUSTER_GROUPS, CLUSTER_MEMBERSHIPS, CLUSTER_OVERRIDES, conform
 from skein.sources.shared import written
 
@@ -92,10 +93,9 @@ def save_clusters(state: State, inputs: DataFrame, threads: DataFrame, repo_id:
     active, absent ones of these clusters removed, overrides are applied again, and legacy clusters of type similarity go."""
     new = inputs.groupBy("stable_key").agg(*(F.first(c).alias(c) for c in ("stable_slug", "cluster_type", "representative_thread_id", "title"))).where(F.trim("stable_key") != "")
     old = state.groups.where(F.col("repo_id") == repo_id)
-    last = state.groups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    paired = new.alias("n").join(old.alias("o"), "stable_key", "left")
-    fresh = F.row_number().over(Window.partitionBy(F.col("o.id").isNull()).orderBy("stable_key"))
-    paired = paired.crossJoin(last).withColumn("_id", F.coalesce("o.id", F.col("last") + fresh))
+    last = state.groups.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = numbered(new.select("stable_key").join(old.select("stable_key"), "stable_key", "left_anti"), ("stable_key",), "fresh_id", last)
+    paired = new.alias("n").join(old.alias("o"), "stable_key", "left").join(fresh, "stable_key", "left").withColumn("_id", F.coalesce("o.id", "fresh_id"))
     known, closed = F.col("o.id").isNotNull(), F.col("o.status") == "closed"
     seen = paired.select(
         F.col("_id").alias("id"), F.lit(repo_id).cast("long").alias("repo_id"), "stable_key", F.coalesce(F.nullif(F.trim("n.stable_slug"), F.lit("")), "stable_key").alias("stable_slug"),

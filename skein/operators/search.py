@@ -6,53 +6,64 @@ repository filter comes after the match. All query phrases must occur, each in a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.functions.text import TOKEN, query_terms, search_tokens, tokens_udf
+from skein.functions.text import TOKEN, query_terms, search_terms, search_tokens
 from skein.operators.threads import by_recency, filter_threads, hit_columns, limited, recency, search_like, search_threads_like
-from skein.sources.shared import written
+from skein.sources.shared import work_path, written
 
 COLUMNS = ("title", "body", "raw_text", "dedupe_text")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS = 18
 
 
-def index_documents(documents: DataFrame) -> DataFrame:
-    """The index of documents (thread_id and the four columns) as a table in the shared folder: doc_id, tokens (in all
-    columns), and an array of (col, terms). doc_id is the thread's. Texts are cut up once, in one pass."""
-    columns = F.array(*(F.struct(F.lit(c).alias("col"), tokens_udf(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in COLUMNS))
-    rows = documents.select(F.col("thread_id").alias("doc_id"), columns.alias("columns"))
-    tokens = F.aggregate("columns", F.lit(0).cast("long"), lambda n, c: n + F.size(c["terms"]))
-    return written(rows.select("doc_id", tokens.alias("tokens"), "columns"), "search-index")
+@dataclass(frozen=True)
+class Index:
+    """postings: (key, a hash of the term; term, doc_id, col, pos). lengths: (doc_id, tokens in all columns). Both are tables below one folder."""
 
+    postings: DataFrame
+    lengths: DataFrame
 
-def postings(index: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(doc_id, col, pos, term) of an index; only of some terms, if they are named."""
-    rows = index
-    if terms is not None:
-        wanted = F.array(*map(F.lit, terms))
-        rows = rows.where(F.exists("columns", lambda c: F.arrays_overlap(c["terms"], wanted)))
-    rows = rows.select("doc_id", F.explode("columns").alias("c")).select("doc_id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
-    return rows if terms is None else rows.where(F.col("term").isin(terms))
+    @staticmethod
+    def opened(spark: SparkSession, path: str) -> Index:
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
-def phrase_hits(index: DataFrame, phrase: list[str]) -> DataFrame:
+def index_documents(documents: DataFrame, path: str | None = None) -> Index:
+    """The index of documents (thread_id and the four columns), written once below path, or to the shared folder; doc_id
+    is the thread's.
+
+    Each task writes the postings of its documents in order of key, so nothing is shuffled, and a search for a term skips
+    all pages of a file but those that may hold its key."""
+    path = path or work_path(documents.sparkSession, "search-index")
+    columns = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("col"), search_terms(F.col(c)).alias("terms")) for k, c in enumerate(COLUMNS)))
+    rows = documents.select(F.col("thread_id").alias("doc_id"), F.explode(columns).alias("c"))
+    rows = rows.select("doc_id", "c.col", F.posexplode("c.terms").alias("pos", "term")).select(F.xxhash64("term").alias("key"), "term", "doc_id", "col", "pos")
+    written(rows.sortWithinPartitions("key"), "postings", f"{path}/postings")
+    # Documents without a term count as well.
+    counts = documents.sparkSession.read.parquet(f"{path}/postings").groupBy("doc_id").agg(F.count("*").alias("tokens"))
+    lengths = documents.select(F.col("thread_id").alias("doc_id")).join(counts, "doc_id", "left").select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    written(lengths, "lengths", f"{path}/lengths")
+    return Index.opened(documents.sparkSession, path)
+
+
+def phrase_hits(index: Index, phrase: list[str]) -> DataFrame:
     """(doc_id, f): how often the phrase occurs in each document. Only the postings of its terms are read."""
-    found = postings(index, phrase)
-    steps = [found.where(F.col("term") == t).select("doc_id", "col", (F.col("pos") - k).alias("start")) for k, t in enumerate(phrase)]
+    steps = [index.postings.where((F.col("key") == F.xxhash64(F.lit(t))) & (F.col("term") == t)).select("doc_id", "col", (F.col("pos") - k).alias("start")) for k, t in enumerate(phrase)]
     joined = reduce(lambda a, b: a.join(b, ["doc_id", "col", "start"]), steps)
     return joined.groupBy("doc_id").agg(F.count("*").alias("f"))
 
 
-def bm25(index: DataFrame, query: str) -> DataFrame | None:
+def bm25(index: Index, query: str) -> DataFrame | None:
     """(doc_id, score) of documents that match all of the query's phrases, best (smallest) scores first to be sorted;
     None if the query has no phrases."""
     phrases = [p for t in query_terms(query) if (p := search_tokens(t))]
     if not phrases:
         return None
-    lengths = index.select("doc_id", "tokens")
+    lengths = index.lengths
     stats = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("tokens").alias("avg_tokens"))
     scored = None
     for k, phrase in enumerate(phrases):
@@ -85,14 +96,15 @@ def mark_snippet(text: str, terms: list[str]) -> str:
     return ("..." if first else "") + "".join([*out, text[at:end]]) + ("..." if last < len(spans) else "")
 
 
-def search_documents(threads: DataFrame, documents: DataFrame, repo_id: int, query: str, limit: int = 20, snippets: bool = True) -> DataFrame:
-    """Hits by BM25; if the query has no terms, or nothing matches, by substring."""
-    scored = bm25(index_documents(documents), query) if query_terms(query) else None
+def search_documents(threads: DataFrame, documents: DataFrame, repo_id: int, query: str, limit: int = 20, snippets: bool = True, index: Index | None = None) -> DataFrame:
+    """Hits by BM25; if the query has no terms, or nothing matches, by substring. index: of documents, made now if none
+    is given."""
+    scored = bm25(index or index_documents(documents), query) if query_terms(query) else None
     fallback = search_like(threads, repo_id, query, limit)
     if scored is None:
         return fallback
     rows = scored.join(threads.where(F.col("repo_id") == repo_id), F.col("doc_id") == F.col("id"))
-    best = limited(rows.orderBy("score", "doc_id"), limit, 20)
+    best = written(limited(rows.orderBy("score", "doc_id"), limit, 20), "search-hits")
     if best.isEmpty():
         return fallback
     terms = [t for q in query_terms(query) for t in search_tokens(q)]
@@ -106,14 +118,15 @@ def search_documents(threads: DataFrame, documents: DataFrame, repo_id: int, que
     return shown.select(*hit_columns(), (marked("dedupe_text") if snippets else F.lit("")).alias("snippet"), "score").orderBy("score", "thread_id")
 
 
-def search_threads(threads: DataFrame, documents: DataFrame, repo_id: int, query: str = "", kind: str = "", state: str = "", include_closed: bool = False, limit: int = 20) -> DataFrame:
+def search_threads(threads: DataFrame, documents: DataFrame, repo_id: int, query: str = "", kind: str = "", state: str = "", include_closed: bool = False, limit: int = 20, index: Index | None = None) -> DataFrame:
     """Threads that match, by score, recency and number; without matches by substring; without a query by recency."""
     if not query.strip():
         return limited(by_recency(filter_threads(threads, repo_id, kind, state, include_closed)), limit, 20)
-    scored = bm25(index_documents(documents), query) if query_terms(query) else None
+    scored = bm25(index or index_documents(documents), query) if query_terms(query) else None
     if scored is not None:
         rows = filter_threads(threads, repo_id, kind, state, include_closed).join(scored, F.col("doc_id") == F.col("id"))
-        found = limited(rows.orderBy("score", recency().desc(), F.col("number").desc()), limit, 20)
+        order = ("score", recency().desc(), F.col("number").desc())
+        found = written(limited(rows.orderBy(*order), limit, 20), "search-hits")
         if not found.isEmpty():
-            return found.select(*threads.columns)
+            return found.orderBy(*order).select(*threads.columns)
     return search_threads_like(threads, repo_id, query, kind, state, include_closed, limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -122,8 +123,20 @@ def _bm25_sql(*terms: str) -> str:
     return sql(f"SELECT thread_id, round(-({score}), 6) AS score FROM c WHERE {' AND '.join(f'f{k} > 0' for k in range(len(terms)))}", "docs", recursive=f"k AS (SELECT thread_id, {tokens} AS tokens FROM docs), c AS (SELECT thread_id, len(tokens) AS size, {', '.join(parts)} FROM k)")
 
 
+@cache
+def _index(application: str, sf_dir: str) -> search.Index:
+    """Documents are indexed once an application, as they would be when they come in. The driver's table is one file, so it
+    is dealt to all cores first."""
+    spark = SparkSession.active()
+    return search.index_documents(fx.documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+
+
+def _indexed(spark, sf_dir) -> search.Index:
+    return _index(spark.sparkContext.applicationId, sf_dir)
+
+
 def _scores(spark, sf_dir, text: str) -> DataFrame:
-    return search.bm25(search.index_documents(fx.documents(spark, sf_dir)), text).select(F.col("doc_id").alias("thread_id"), F.round("score", 6).alias("score"))
+    return search.bm25(_indexed(spark, sf_dir), text).select(F.col("doc_id").alias("thread_id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("license"))
@@ -143,7 +156,7 @@ def search_bm25_common_term(spark, sf_dir):
 
 @query(sql(f"SELECT id AS thread_id, number FROM threads WHERE {_HAS.format('icense, versio')} ORDER BY coalesce(updated_at_gh, updated_at) DESC, number DESC LIMIT 20", "threads"))
 def search_fallback(spark, sf_dir):
-    return search.search_documents(fx.threads_doc(spark, sf_dir), fx.documents(spark, sf_dir), REPO, "icense, versio").select("thread_id", "number")
+    return search.search_documents(fx.threads_doc(spark, sf_dir), fx.documents(spark, sf_dir), REPO, "icense, versio", index=_indexed(spark, sf_dir)).select("thread_id", "number")
 
 
 @query(sql("""SELECT number, title, state, html_url AS url, coalesce(updated_at_gh, updated_at) AS "updatedAt", author_login AS login, lang AS label FROM threads""", "threads"))

@@ -7,19 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.ingest import reconcile_closed, threads_from_api, upsert_threads
+from skein.operators.ingest import sync_threads, threads_from_api
+from skein.sources.shared import written
 from skein.sources.store import Store
 
 
 def merge_batch(store: Store, repo_id: int, pulled_at: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
-    """Merges a micro-batch of (raw) into the store's threads: open rows by upsert, closed rows only over open threads."""
+    """Merges a micro-batch of (raw) into the store's threads: of several versions of a thread the last counts, by
+    updated_at, then by place in the batch."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = threads_from_api(batch, repo_id, pulled_at(number)).persist()
-        old = store.table("threads")
-        merged = upsert_threads(old, new.where("state = 'open'"))
-        store.commit({"threads": reconcile_closed(merged, new.where("state <> 'open'"))})
-        new.unpersist()
+        new = written(threads_from_api(batch, repo_id, pulled_at(number), order=F.monotonically_increasing_id()), "batch")
+        store.commit({"threads": sync_threads(store.table("threads"), new)})
 
     return merge
 

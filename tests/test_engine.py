@@ -288,8 +288,17 @@ def test_threads_of_api_rows(spark):
     one, two = ingest.threads_from_api(raw, 1, NOW).orderBy("number").collect()
     assert (one["kind"], one["labels_json"], one["github_id"], one["body"]) == ("issue", '[{"name":"b\\u003c"}]', "1000", None)
     assert (two["kind"], two["labels_json"], two["is_draft"]) == ("pull_request", "[]", False) and one["content_hash"] != two["content_hash"]
-    said = spark.createDataFrame([(1, json.dumps({"id": 5, "body": "x", "user": {"login": "ci[bot]"}})), (1, json.dumps({"id": 6, "body": " "}))], "thread_id long, raw string")
-    assert [(r["github_id"], r["is_bot"]) for r in ingest.comments_from_api(said, "issue_comment").collect()] == [("5", True)]
+    said = spark.createDataFrame([(1, json.dumps({"id": 5, "body": "x", "user": {"login": "ci[bot]"}})), (1, json.dumps({"id": 6, "body": " "})), (1, json.dumps({"id": 7, "body": ""})), (1, "oops"), (1, None), (1, "[]")], "thread_id long, raw string")
+    assert [(r["github_id"], r["is_bot"]) for r in ingest.comments_from_api(said, "issue_comment").collect()] == [("5", True), ("6", False)]  # only empty bodies are left out
+    broken = spark.createDataFrame([("{",), (None,), ("[1]",), (api_row(3),)], "raw string")
+    assert [r["number"] for r in ingest.threads_from_api(broken, 1, NOW).collect()] == [3]
+
+
+def test_comments_of_a_thread_in_order(spark):
+    body = lambda n: json.dumps({"id": n, "body": f"c{n}"})
+    rows = [(1, "pull_review_comment", 1, 0, body(5)), (1, "issue_comment", 2, 0, body(2)), (1, "issue_comment", 1, 1, body(1)), (1, "pull_review", 1, 0, body(3)), (1, "issue_comment", 1, 0, json.dumps({"id": 9, "body": ""})), (2, "issue_comment", 1, 0, body(7)), (2, "other", 1, 0, body(8))]
+    out = ingest.thread_comments(spark.createDataFrame(rows, "thread_id long, comment_type string, page int, place int, raw string")).orderBy("thread_id", "ordinal").collect()
+    assert [(r["thread_id"], r["ordinal"], r["body"]) for r in out] == [(1, 0, "c1"), (1, 1, "c2"), (1, 2, "c3"), (1, 3, "c5"), (2, 0, "c7")]
 
 
 def test_merges(spark):
@@ -297,7 +306,7 @@ def test_merges(spark):
     new = threads(spark, thread(1, id=None, title="new", first_pulled_at="b"), thread(9, id=None))
     rows = {r["number"]: r for r in ingest.upsert_threads(old, new).collect()}
     assert (rows[1]["title"], rows[1]["first_pulled_at"], rows[1]["closed_at_local"], rows[1]["id"], rows[9]["id"]) == ("new", "a", "x", 1, 4)
-    closed = threads(spark, *(thread(k, state="closed", title="gone") for k in (1, 2, 3)))
+    closed = threads(spark, *(thread(k, state="closed", title="gone") for k in (1, 2, 3)), thread(2, state="closed", title="older", updated_at="2000"))
     assert {r["number"]: r["title"] for r in ingest.reconcile_closed(old, closed).collect()} == {1: "title 1", 2: "gone", 3: "title 3"}
     local = threads_op.close_thread(old, 1, 2, "dup", NOW)
     assert threads_op.list_threads(local, 1).count() == 1 and threads_op.list_threads(threads_op.reopen_thread(local, 1, 2, NOW), 1).count() == 2
@@ -305,15 +314,45 @@ def test_merges(spark):
         threads_op.select_fields(old, "number,nope")
 
 
+def test_repeated_keys_count_once(spark):
+    old = threads(spark, thread(1), thread(2), thread(3))
+    at = lambda n, **more: thread(n, id=None, **more)
+    new = threads(spark, at(1, title="b", updated_at_gh="2"), at(1, title="a", updated_at_gh="1"), at(8, title="x", updated_at_gh="1"), at(8, title="y", updated_at_gh="2"), at(7), at(2, state="closed", updated_at_gh="1"), at(2, updated_at_gh="2"), at(3, updated_at_gh="1"), at(3, state="closed", title="gone", updated_at_gh="2"))
+    for rows in (new, new.repartition(3), new.orderBy(F.desc("title"))):
+        out = {r["number"]: (r["id"], r["title"], r["state"]) for r in ingest.sync_threads(old, rows).collect()}
+        assert out == {1: (1, "b", "open"), 2: (2, "title 2", "open"), 3: (3, "gone", "closed"), 7: (4, "title 7", "open"), 8: (5, "y", "open")}
+        assert ingest.sync_threads(old, rows).count() == 5
+    ordered = new.withColumn("_order", F.when(F.col("title") == "a", 9).otherwise(0))
+    assert {r["title"] for r in ingest.upsert(old, ordered, ingest.THREAD_KEY, ingest.KEPT_ON_UPSERT).where("number = 1").collect()} == {"a"}
+
+
+def test_numbers_of_new_rows(spark):
+    from skein.operators.numbering import numbered
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
+    got = {r["k"]: r["n"] for r in numbered(rows, ("k",), "n", 10).collect()}
+    assert got == {k: k + 11 for k in range(5000)} and numbered(rows.limit(0), ("k",), "n").count() == 0
+
+
+def test_repositories_and_vectors(spark):
+    old = table(spark, schemas.REPOSITORIES, {"id": 4, "full_name": "o/a", "name": "a"})
+    new = table(spark, schemas.REPOSITORIES, {"full_name": "o/a", "name": "A"}, {"full_name": "o/b"}, {"full_name": "o/b"})
+    assert {r["full_name"]: (r["id"], r["name"]) for r in ingest.upsert_repositories(old, new).collect()} == {"o/a": (4, "A"), "o/b": (5, None)}
+    one = {"thread_id": 1, "basis": "b", "model": "m"}
+    out = ingest.upsert_vectors(table(spark, schemas.THREAD_VECTORS, one | {"created_at": "a", "vector": [1.0]}), table(spark, schemas.THREAD_VECTORS, one | {"created_at": "z", "vector": [2.0]})).collect()
+    assert [(r["created_at"], r["vector"]) for r in out] == [("a", [2.0])]
+
+
 def test_store_and_stream(spark, tmp_path):
     store, folder = Store(spark, f"{tmp_path}/s"), tmp_path / "in"
     store.commit({"threads": threads(spark, thread(1), thread(2))})
     folder.mkdir()
-    (folder / "a.txt").write_text("\n".join([api_row(1), api_row(2, state="closed"), api_row(3), api_row(4, state="closed")]))
+    versions = [api_row(5, updated_at="2"), api_row(5, updated_at="3", title="last"), api_row(5, updated_at="1", state="closed")]
+    (folder / "a.txt").write_text("\n".join([api_row(1), api_row(2, state="closed"), api_row(3), api_row(4, state="closed"), *versions]))
     for _ in range(2):
         stream_threads(spark, str(folder), store, 1, f"{tmp_path}/c", lambda n: NOW).awaitTermination()
     rows = {r["number"]: (r["title"], r["state"]) for r in store.table("threads").collect()}
-    assert rows == {1: ("t1", "open"), 2: ("t2", "closed"), 3: ("t3", "open")}
+    assert rows == {1: ("t1", "open"), 2: ("t2", "closed"), 3: ("t3", "open"), 5: ("last", "open")}
     assert store.tables() == ["threads"] and Store(spark, f"{tmp_path}/s").table("comments").count() == 0
     with pytest.raises(PermissionError):
         Store(spark, f"{tmp_path}/s", read_only=True).commit({})

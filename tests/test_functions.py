@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 import random
 import struct
 from datetime import datetime, timedelta, timezone
@@ -77,6 +78,18 @@ def test_age(spark, at, want):
     assert value(spark, tx.age_label(lit(at), F.lit("2024-06-01T12:00:00Z"))) == want
 
 
+def test_terms_in_columns_are_those_of_python(spark):
+    texts = ["Café foo_bar x", "ÀÉÎ e\u0301 \u0301abc", "Straße Ωmega ЁЖ 中文 각", "½ x² #a1 İI", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.search_terms(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in rows] == [tx.search_tokens(t or "") for t in texts]
+
+
+def test_trimming_long_runs_of_blanks_is_fast(spark):
+    text, began = "a" + " " * 40_000 + "b", time.time()
+    assert value(spark, tx.trim_space(F.lit("\u2003 " + text + "\u00a0\n"))) == text and value(spark, tx.present(F.lit("\u2028 "))) is False
+    assert time.time() - began < 3
+
+
 def test_search_terms():
     assert tx.query_terms('foo_bar "baz" é-1!') == ["foo_bar", "baz", "é", "1"]
     assert tx.search_tokens("Café foo_bar x") == ["cafe", "foo", "bar", "x"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
+from skein.llm import licenses
 from skein.llm.bpe import decode, encode
 from skein.llm.chat import format_conversations, read_back
 from skein.llm.fingerprints import fingerprint_edits
@@ -50,6 +52,67 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"), F.array_join("unmatched", ",").alias("unmatched"))
 
 
+def _op3_sql() -> str:
+    """Runs of fragments as substrings of a run's text, held against the sentences (names as patterns), one after another;
+    rules are replacements in the text of identifiers."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    word = "[a-z0-9]+"
+    name = f"{word}(?: {word}){{0,{licenses.NAME_WORDS - 1}}}"
+    works = "|".join(w for w in licenses.WORKS if w and "*" not in w)
+    told = f"(?:{'|'.join(licenses.VERBS)})(?:the terms of the |the |a )?"
+    known, open_ = [], []
+    for licence, names in licenses.NAMES.items():
+        own, tag = "|".join(names), " ".join(re.findall(word, licence.lower()))
+        known.append((f"(?:{works})?{told}(?:{own})(?: see {name})?|(?:the )?(?:{own})|spdx license identifier {tag}", licence))
+        open_.append((f"{name} is {told}(?:{own})", licence))
+    known += [(text.replace("*", name), licence) for text, licence in licenses.TEXTS.items()]
+    table = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
+    ruled = "names"
+    for licence, rule in licenses.RULES:
+        ruled = f"replace({ruled}, {quoted(''.join(f'<{x}>' for x in rule))}, '[{licence}]')"
+    soft, hard, line = "chr(3)", "chr(2)", "chr(4)"
+    return rf"""
+WITH RECURSIVE m AS (
+  SELECT doc_id, replace(regexp_replace(regexp_replace(lower(text), '[.!?](\s|$)', {hard} || '\1', 'g'), '[:;](\s|$)', {soft} || '\1', 'g'), chr(10), {line}) AS t
+  FROM documents WHERE regexp_matches(lower(text), {quoted("|".join(licenses.TRIGGERS))})
+), p AS (
+  SELECT doc_id, string_split_regex(t, '[\x02\x03\x04]') AS parts, regexp_extract_all(t, '[\x02\x03\x04]') AS seps FROM m
+), f AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, parts, seps FROM p
+), g AS (
+  SELECT doc_id, i, trim(regexp_replace(parts[i], '[^a-z0-9]+', ' ', 'g')) AS words, coalesce(seps[i - 1] = {hard}, true)::INT AS begins FROM f
+), h AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), o AS (
+  SELECT *, sum(len(words) + (words <> '')::INT) OVER (PARTITION BY doc_id, run ORDER BY i) AS stop FROM h
+), r AS (
+  SELECT doc_id, run, string_agg(words || ' ', '' ORDER BY i) FILTER (words <> '') AS whole FROM h GROUP BY ALL
+), c AS (
+  SELECT a.doc_id, a.i, z.i AS k, substr(r.whole, (a.stop - len(a.words))::BIGINT, (z.stop - a.stop + len(a.words))::BIGINT) AS s
+  FROM o a JOIN o z ON a.doc_id = z.doc_id AND a.run = z.run AND a.i <= z.i AND z.stop - a.stop < 2000 JOIN r ON r.doc_id = a.doc_id AND r.run = a.run
+  WHERE a.words <> ''
+), n AS (
+  SELECT c.doc_id, c.i, c.k, v.name FROM c JOIN (VALUES {table(known)}) v(pattern, name) ON regexp_full_match(trim(c.s), v.pattern)
+  UNION ALL SELECT c.doc_id, c.i, c.k, v.name FROM c JOIN (VALUES {table(open_)}) v(pattern, name) ON c.i = c.k AND regexp_full_match(trim(c.s), v.pattern)
+), b AS (
+  SELECT doc_id, i, max(k) AS k, max_by(name, k) AS name FROM n GROUP BY ALL
+), x AS (
+  SELECT b.doc_id, b.i, any_value(b.name) AS name, min(d.i) AS after FROM b LEFT JOIN b d ON d.doc_id = b.doc_id AND d.i > b.k GROUP BY ALL
+), y AS (
+  SELECT x.* FROM x JOIN (SELECT doc_id, min(i) AS i FROM x GROUP BY doc_id) USING (doc_id, i)
+  UNION ALL SELECT x.* FROM y JOIN x ON x.doc_id = y.doc_id AND x.i = y.after
+), z AS (
+  SELECT doc_id, count(*) AS n, string_agg('<' || name || '>', '' ORDER BY i) AS names FROM y GROUP BY doc_id
+), w AS (
+  SELECT doc_id, n, {ruled} AS found FROM z
+), l AS (
+  SELECT doc_id, n, regexp_extract_all(found, '\[([^\]]+)\]', 1) AS named, regexp_extract_all(found, '<([^>]+)>', 1) AS free FROM w
+)
+SELECT d.doc_id, coalesce(l.n, 0) AS n_sentences, coalesce(array_to_string(list_filter(l.named, lambda e, k: list_position(l.named, e) = k), ','), '') AS licenses, coalesce(array_to_string(l.free, ','), '') AS unmatched
+FROM documents d LEFT JOIN l USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -192,4 +255,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op3_licenses": _op3_sql(), "op6_warc": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 
 from skein.llm import bpe, licenses, toxicity
 from skein.llm.blocks import SpanHasher, text_blocks, words
-from skein.llm.token_counts import count_tokens
+from skein.llm.token_counts import block_counts, count_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -46,6 +48,17 @@ def test_encoding_any_text(text):
     assert by_block([text]) == [expected(text)]
 
 
+def test_pretokens_are_told_apart_by_their_bytes(monkeypatch):
+    morse = ["".join("ab"[k.bit_count() % 2 ^ flip] for k in range(1024)) for flip in (0, 1)]  # equal power sums modulo 2^64
+    texts = [" ".join(morse), f"a {morse[0]} b {morse[1]}", "one two one"]
+    block = next(text_blocks(pa.array(texts)))
+    model = bpe.load_bpe(PATH)
+    assert [ids for ids in by_block(texts)] == [expected(t) for t in texts]
+    assert block_counts(model, block).tolist() == [len(expected(t)) for t in texts]
+    monkeypatch.setattr(SpanHasher, "__call__", lambda self, starts, ends: (starts % 3).astype(np.uint64))  # most words collide
+    assert by_block(texts) == [expected(t) for t in texts] and block_counts(model, block).tolist() == [len(expected(t)) for t in texts]
+
+
 def test_words_of_blocks():
     import pyarrow as pa
 
@@ -144,6 +157,16 @@ MIT = "Permission is hereby granted, free of charge, to any person obtaining a c
         ("Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", ["CC-BY-NC-4.0", "MIT"], []),
         ("You may not use this file except in compliance with the License.", [], ["apache-comply"]),
         ("RELEASED   UNDER the mit License!", ["MIT"], []),
+        ("Foo is released under the MIT License.", ["MIT"], []),
+        ("This project is licensed under the MIT License - see LICENSE.md", ["MIT"], []),
+        ("Mozilla Public License Version 2.0\n\n1. Definitions", ["MPL-2.0"], []),
+        ("# SPDX-License-Identifier: LGPL-2.1-only\ncode", ["LGPL-2.1-only"], []),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"], []),
+        ("Neither the name of ACME Inc. (\"ACME\") nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.", [], []),  # the name ends a sentence
+        ("Neither the name of ACME Ltd nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.", [], ["bsd-endorse"]),
+        ("Released under the Foo License. Licensed under one two three four five six seven eight nine the MIT License.", [], []),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"], []),
+        ("One two three four five six seven eight nine is licensed under the MIT License.", [], []),
     ],
 )
 def test_licence_rules(text, found, left):
@@ -151,9 +174,9 @@ def test_licence_rules(text, found, left):
 
 
 def test_every_sentence_has_a_trigger_and_a_rule():
-    assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES if "cc by" not in s or "licen" in s)
+    assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.sentences())
     used = {n for _, rule in licenses.RULES for n in rule}
-    assert used <= {*licenses.SENTENCES.values()}
+    assert used <= {*licenses.sentences().values()}
 
 
 def test_licences_of_documents(spark):
@@ -161,11 +184,34 @@ def test_licences_of_documents(spark):
     planted = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     for r in licenses.scan(docs).collect():
         assert {*r["licenses"]} == {k for k, v in planted.items() if v in r["text"]}
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (3, "word " * 50_000 + "Released under the MIT License.", "x")], "doc_id long, text string, licenses string")
-    assert [r["licenses"] for r in licenses.scan(odd).orderBy("doc_id").collect()] == [[], [], [], ["MIT"]]
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (3, "word " * 50_000 + ". Released under the MIT License.", "x"), (4, "word " * 50_000 + "Released under the MIT License.", "x")], "doc_id long, text string, licenses string")
+    # A known sentence begins a fragment: in 3 a sentence mark stands before it, in 4 nothing does.
+    assert [r["licenses"] for r in licenses.scan(odd).orderBy("doc_id").collect()] == [[], [], [], ["MIT"], []]
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licence_sql_says_the_same():
+    import duckdb
+
+    from skein.llm.queries import oracle_sql
+
+    rng = random.Random(5)
+    lines = [*licenses.TEXTS, "released under the MIT License", "This software is licensed under the terms of the GNU Affero General Public License version 3 see COPYING", "Foo Bar is available under the ISC License", "SPDX-License-Identifier: CC0-1.0", "the Unlicense", "no licence", "plain words", ""]
+    ends = [". ", ".\n", "\n", "\n\n", ": ", "; ", " ", "? "]
+    texts = ["".join((line.replace("*", "ACME Labs").replace(" ", rng.choice((" ", " ", "\n"))) if rng.random() < 0.3 else line.replace("*", "x y")) + rng.choice(ends) for line in rng.choices(lines, k=rng.randint(1, 9))) for _ in range(300)]
+    for _, rule in licenses.RULES:
+        own = {i: s for s, i in licenses.sentences().items() if s.count("*") < 2}
+        texts.append(". ".join(own[i].replace("*", "some holder") for i in rule) + ".")
+    documents = pd.DataFrame({"doc_id": range(len(texts) + 2), "text": [*texts, None, ""]})  # noqa: F841
+    rows = duckdb.sql(oracle_sql()["op3_licenses"]).fetchall()
+    want = []
+    for k, t in enumerate([*texts, "", ""]):
+        names = licenses.known_sentences(t)
+        found, free = licenses.licences_of(names)
+        want.append((k, len(names), ",".join(dict.fromkeys(found)), ",".join(free)))
+    assert sorted(rows) == want
+
+
 def test_queries_keep_every_row(spark):
     from skein.llm.queries import queries
 

@@ -9,7 +9,7 @@ Words are split off as the byte-level pattern of ``public_tokenizers.PATTERN`` s
 whole blocks of texts. Special tokens whose strings occur in a text are single ids, as is the library's default.
 
 Both operators keep every column of their input and add theirs under a name that the caller gives (an existing column
-of that name is replaced). Null texts and empty texts have no ids; null and empty id lists decode to the empty text. Rows that repeat,
+of that name is replaced). Bytes of a text that are no UTF-8 are read as U+FFFD. Null texts and empty texts have no ids; null and empty id lists decode to the empty text. Rows that repeat,
 texts of any length and empty tables need no special case.
 """
 
@@ -183,12 +183,24 @@ def distinct_spans(hasher: SpanHasher, raw: bytes, starts: np.ndarray, ends: np.
     return np.unique(which, return_index=True)[1], which
 
 
+def valid(block: Block) -> Block:
+    """The block, or one of its texts with U+FFFD in place of what is no UTF-8."""
+    raw = block.data.tobytes()
+    try:
+        raw.decode("utf-8")
+        return block
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(block.offsets, block.offsets[1:], strict=False)]
+        return Block(block.first, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
 class Pretokens:
     """The pre-tokens of a block: for each occurrence the number of its distinct pre-token, and for each row the number
     of its first occurrence. Distinct pre-tokens are spans of the block; special holds the id of those that are special
     tokens, else -1."""
 
     def __init__(self, block: Block, specials: dict[bytes, int]):
+        block = valid(block)
         self.data, raw = block.data, block.data.tobytes()
         found = self._specials(raw, block.offsets, specials)
         cuts = np.unique(np.concatenate([block.offsets[:-1], *([s, e] for s, e, _ in found)])) if found else np.unique(block.offsets[:-1])

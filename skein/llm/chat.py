@@ -4,7 +4,9 @@ A template is parsed into a syntax tree, constant parts of it are folded, and ea
 rendering is a generator of (text, whether a generation marker encloses it). The language has {{ expression }}, {# #},
 {% if %} {% elif %} {% else %} {% endif %}, {% for x in xs %} {% endfor %}, {% set x = e %} and {% generation %}
 {% endgeneration %}. It is sandboxed: values are strings, numbers, booleans, none, lists and dicts; a name, a filter or
-an attribute is looked up in tables of the template's own, never by getattr, and nothing can be called.
+an attribute is looked up in tables of the template's own, never by getattr, and nothing can be called; numbers alone are
+multiplied, no value outgrows ``MOST_CHARS`` or ``MOST_BITS``, and whatever fails is a TemplateError. A hyphen inside a
+tag's brackets takes away the white space beside it.
 
 A loop takes its list item by item, so messages may be an iterator: a conversation is rendered turn by turn and no task
 holds more than a turn, whichever share of the rows one conversation has. Read-back takes the pieces the same way.
@@ -12,7 +14,7 @@ holds more than a turn, whichever share of the rows one conversation has. Read-b
 Control strings inside texts are escaped so that none is left, and read back to the same text. Null texts and null roles
 are empty. Turns stand in order of turn (nulls first), then role, then text, so that rows that repeat are turns of their
 own and reruns agree. Rows whose id is null are one conversation. An empty table has no conversations. Columns besides
-the four named are not read.
+the four that the caller names are not read.
 """
 
 from __future__ import annotations
@@ -95,6 +97,9 @@ class Generation:
     body: object
 
 
+MOST_CHARS, MOST_BITS = 1 << 28, 4096
+
+
 def text_of(value: object) -> str:
     return "" if value is None else {True: "true", False: "false"}[value] if isinstance(value, bool) else str(value)
 
@@ -107,9 +112,15 @@ def _item(of: object, key: object) -> object:
     return None
 
 
+def _numbers(*values: object) -> tuple:
+    if not all(isinstance(v, (int, float)) for v in values):
+        raise TemplateError("only numbers can be multiplied or divided")
+    return values
+
+
 OPERATORS: dict[str, Callable] = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: text_of(a) + text_of(b),
+    "+": operator.add, "-": operator.sub, "*": lambda a, b: operator.mul(*_numbers(a, b)), "%": lambda a, b: operator.mod(*_numbers(a, b)), "~": lambda a, b: text_of(a) + text_of(b),
     "in": lambda a, b: a in b, "not in": lambda a, b: a not in b, "not": operator.not_, "item": _item,
 }
 FILTERS: dict[str, Callable] = {
@@ -119,7 +130,7 @@ FILTERS: dict[str, Callable] = {
 
 # Parser
 
-_TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_TAG = re.compile(r"(?:\{\{(?P<ol>-?)(?P<output>.*?)(?P<or>-?)\}\}|\{%(?P<tl>-?)(?P<tag>.*?)(?P<tr>-?)%\}|\{#(?P<cl>-?).*?(?P<cr>-?)#\})", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<number>\d+)|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-+*%~<>()\[\].,|=]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in", "not in"), ("~",), ("+", "-"), ("*", "%"))
@@ -239,16 +250,19 @@ class _Expression:
 class _Parser:
     def __init__(self, source: str, filters: dict[str, Callable]):
         self.filters, self.parts, at = filters, [], 0
+        bare = False  # whether the white space that follows goes
         for m in _TAG.finditer(source):
-            if m.start() > at:
-                self.parts.append(("text", source[at : m.start()]))
-            if m[1] is not None:
-                self.parts.append(("output", m[1]))
-            elif m[2] is not None:
-                self.parts.append(("tag", m[2].strip()))
-            at = m.end()
-        if at < len(source):
-            self.parts.append(("text", source[at:]))
+            text = source[at : m.start()]
+            text = text.lstrip() if bare else text
+            if text := text.rstrip() if m["ol"] or m["tl"] or m["cl"] else text:
+                self.parts.append(("text", text))
+            if m["output"] is not None:
+                self.parts.append(("output", m["output"]))
+            elif m["tag"] is not None:
+                self.parts.append(("tag", m["tag"].strip()))
+            at, bare = m.end(), bool(m["or"] or m["tr"] or m["cr"])
+        if text := source[at:].lstrip() if bare else source[at:]:
+            self.parts.append(("text", text))
         self.at = 0
 
     def body(self, *ends: str) -> tuple[Sequence, str]:
@@ -346,7 +360,20 @@ def _applied(name: str, filters: dict[str, Callable]) -> Callable:
         return lambda a, b: a and b
     if name == "or":
         return lambda a, b: a or b
-    return filters[name[1:]] if name[0] == "|" else OPERATORS[name]
+    own = filters[name[1:]] if name[0] == "|" else OPERATORS[name]
+
+    def safe(*args: object) -> object:
+        try:
+            value = own(*args)
+        except TemplateError:
+            raise
+        except Exception as e:
+            raise TemplateError(f"{name}: {e}") from e
+        if isinstance(value, str) and len(value) > MOST_CHARS or isinstance(value, int) and value.bit_length() > MOST_BITS:
+            raise TemplateError(f"{name}: the result is too long")
+        return value
+
+    return safe
 
 
 # Closures
@@ -463,7 +490,7 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
+def format_conversations(df: DataFrame, template: str = TEMPLATE, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Each conversation as pieces, one for each turn (or more text before the next): conv_id, seq from 0, formatted,
     and the spans of it (in code points) that generation markers enclose. Pieces of a conversation stand in order in one
     partition; joined by seq they are its whole text."""
@@ -492,7 +519,7 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
         rows = (p for conv_id, turns in _conversations(batches, ("conv_id", "role", "text")) for p in pieces(conv_id, turns))
         return _batched(rows, _PIECES, lambda p: len(p["formatted"]) + 100)
 
-    columns = df.select(F.col("conv_id").cast("long"), F.col("turn"), F.col("role"), F.col("text"))
+    columns = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     ordered = columns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(run, PIECES_SQL)
 

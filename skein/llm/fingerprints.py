@@ -8,7 +8,10 @@ A fingerprint is all distinct anchor hashes (32 bits, as 8 hex digits each, asce
 is their Jaccard index. With a size, it is only that many of the smallest hashes, and likeness is an estimate: of the
 smallest hashes of both, that many, the share that both have. The query has no size; ``SKETCH`` is the functions'. Equal texts have equal fingerprints. A text with words but without an anchor has the hash of its whole word
 sequence. Null texts and texts without words have the empty fingerprint; two empty fingerprints have likeness 1, an
-empty and another one 0. Columns of the input are kept; one that has the name of a result is replaced.
+empty and another one 0.
+
+Documents are followed in order of descending id, nulls last; those of one id, or without one, in order of a hash of the
+text, then of the text. Of the input only id and text are read; other columns are not in the result.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K, S, SKETCH = 5, 2, 128
 SPACES = " \t\n\x0b\f\r"
-#: Rows of a stretch of documents in id order, and the most stretches.
-STRETCH_ROWS, MOST_STRETCHES = 4096, 10_000
+#: Rows of a stretch of documents in id order; quantiles that stretches are cut by, and stretches that are broadcast.
+STRETCH_ROWS, QUANTILES, BROADCAST_ROWS = 4096, 4096, 10_000
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -130,37 +133,60 @@ def likeness(left: Column, right: Column, size: int | None = SKETCH) -> Column:
     return F.when(F.size(left) + F.size(right) == 0, 1.0).when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(both)
 
 
-def _stretch(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most doc_id, by binary search; null ids come before all."""
-    if not bounds:
-        return F.when(doc_id.isNull(), -1).otherwise(0)
-    table = F.array(*map(F.lit, bounds))
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))))
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= doc_id, F.lit(False)), at + step).otherwise(at))
-    return F.when(doc_id.isNull(), -1).otherwise(found)
+def _share(text: Column, pieces: Column) -> Column:
+    """Which of so many equal ranges of hashes that of the text falls in, the largest hashes in 0."""
+    return F.greatest(F.lit(0).cast("long"), pieces - 1 - F.floor((F.xxhash64(text).cast("double") / F.lit(2.0**64) + 0.5) * pieces))
+
+
+def _stretch(doc_id: Column, text: Column, cuts: list[int], pieces: int, missing: int) -> Column:
+    """The stretch of a row, a struct (cut, piece, hashed) that falls along the order of rows. cut: how many of cuts
+    (ascending, from the least id to above the greatest; each as often as it is a quantile) the id has reached. piece: the
+    interval of ids above that cut is split evenly in so many. hashed: an id that is several cuts is split by the hash of
+    the text; rows without id are, in missing pieces."""
+    own = sorted(set(cuts))
+    array = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    lows, highs, often = array(own), array([*own[1:], own[-1] + 1]), array([cuts.count(c) * pieces for c in own])
+    steps = array(1 << b for b in reversed(range(len(own).bit_length())))
+
+    def at(place: Column) -> Column:
+        low, high, several = (F.get(a, (place - 1).cast("int")) for a in (lows, highs, often))
+        inside = F.floor((doc_id - low - 1).cast("double") / (high - low) * pieces)
+        hashed = F.when((doc_id == low) & (several > pieces), _share(text, several)).otherwise(F.lit(0).cast("long"))
+        return F.struct(place.alias("cut"), F.when(doc_id == low, F.lit(-1).cast("long")).otherwise(F.least(inside, F.lit(pieces - 1).cast("long"))).alias("piece"), hashed.alias("hashed"))
+
+    zero = F.lit(0).cast("long")
+    found = F.aggregate(steps, zero, lambda n, step: F.when(F.coalesce(F.get(lows, (n + step - 1).cast("int")) <= doc_id, F.lit(False)), n + step).otherwise(n))
+    none = F.struct(F.lit(-1).cast("long").alias("cut"), zero.alias("piece"), _share(text, F.lit(missing).cast("long")).alias("hashed"))
+    return F.when(doc_id.isNull(), none).otherwise(let(found, at))
 
 
 def with_next(df: DataFrame, add: dict[str, Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _text and the columns add, with those of the next row as _next_<name>: in order of descending id (nulls
-    last), then text; after the last row comes the first.
+    last), then of the text's hash, then text; after the last row comes the first.
 
-    The ids are cut into stretches by their quantiles; rows are put in order within a stretch, and only the first row
-    of each stretch is passed on to the one before. Rows are dealt with their texts alone; add is computed after that."""
+    The ids are cut into stretches by their quantiles, and between quantiles evenly where there are more stretches than
+    ``QUANTILES``; ids that many rows share, or lack, are cut by the text's hash. Rows are put in order within a stretch, and
+    only the first row of each stretch is passed on to the one before. Rows are dealt with their texts alone; add is
+    computed after that."""
     names = ["_text", *add]
     rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ids = rows.select("_id")
-    parts = min(MOST_STRETCHES, max(1, -(-ids.count() // STRETCH_ROWS)))
-    bounds = sorted({int(b) for b in ids.approxQuantile("_id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    rows = rows.withColumn("_stretch", _stretch(F.col("_id"), bounds))
-    # One row a stretch, MOST_STRETCHES at most: the stretch that follows, and the id with which it begins.
-    tops = ids.withColumn("_stretch", _stretch(F.col("_id"), bounds)).groupBy("_stretch").agg(F.max("_id").alias("_top"))
+    n, missing, least, most = ids.agg(F.count("*"), F.count_if(F.col("_id").isNull()), F.min("_id"), F.max("_id")).first()
+    parts, quantiles = max(1, -(-n // STRETCH_ROWS)), max(1, min(-(-n // STRETCH_ROWS), QUANTILES))
+    inner = ids.approxQuantile("_id", [k / quantiles for k in range(1, quantiles)], 0.1 / quantiles) if quantiles > 1 and least is not None else []
+    cuts = [0] if least is None else sorted([least, *map(int, inner), most + 1])
+    stretch = _stretch(F.col("_id"), F.col("_text"), cuts, -(-parts // quantiles), max(1, -(-missing // STRETCH_ROWS)))
+    rows = rows.withColumns({"_stretch": stretch, "_hash": F.xxhash64("_text")})
+    # One row a stretch: the stretch that it follows, and the id that it begins with.
+    tops = rows.groupBy("_stretch").agg(F.max("_id").alias("_top"))
     downwards, everything = Window.orderBy(F.col("_stretch").desc()), Window.partitionBy()
-    firsts = tops.withColumns({"_last": F.max("_stretch").over(everything), "_before": F.lag("_stretch").over(downwards), "_least": F.min("_stretch").over(everything)})
-    firsts = firsts.select("_top", F.col("_stretch").alias("_own"), F.coalesce("_before", "_least").alias("_for"))
-    heads = rows.join(F.broadcast(firsts), F.col("_top").eqNullSafe(F.col("_id")))
-    heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy("_for").orderBy("_text"))).where("_nth = 1")
+    firsts = tops.withColumns({"_before": F.lag("_stretch").over(downwards), "_last": F.min("_stretch").over(everything)})
+    firsts = firsts.select("_top", F.col("_stretch").alias("_own"), F.coalesce("_before", "_last").alias("_for"))
+    firsts = F.broadcast(firsts) if parts <= BROADCAST_ROWS else firsts
+    heads = rows.join(firsts, (F.col("_stretch") == F.col("_own")) & F.col("_top").eqNullSafe(F.col("_id")))
+    heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy("_for").orderBy("_hash", "_text"))).where("_nth = 1")
     heads = heads.withColumns(add).select("_for", F.struct(*names).alias("_head"))
-    order = Window.partitionBy("_stretch").orderBy(F.col("_id").desc_nulls_last(), "_text")
+    order = Window.partitionBy("_stretch").orderBy(F.col("_id").desc_nulls_last(), "_hash", "_text")
     rows = rows.repartition("_stretch").withColumns(add).withColumn("_lead", F.lead(F.struct(*names)).over(order))
     rows = rows.join(heads, F.col("_stretch") == F.col("_for"), "left")
     following = F.coalesce("_lead", "_head")

@@ -29,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SHARD_ROWS, QUERY_BLOCK = 8192, 2048
+#: A shard's trees are built once for so many queries, which are searched SEARCH_ROWS at a time.
+SHARD_ROWS, QUERY_BLOCK, SEARCH_ROWS = 8192, 1 << 15, 1024
 TREES, BITS, SHARE = 64, 16, 0.65
 BAND = 1.1
 
@@ -121,6 +122,9 @@ class NormBands:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query: ids and scores of the k best candidates of all bands, best first."""
+        return [x for a in range(0, len(queries), SEARCH_ROWS) for x in self._search(queries[a : a + SEARCH_ROWS], own[a : a + SEARCH_ROWS], k, share)]
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
         found = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         norms, least = np.linalg.norm(queries, axis=1), np.full(len(queries), -np.inf)
         for longest, forest in self.bands:

@@ -9,8 +9,9 @@ The prefix sum needs no task to see a whole source: a source is cut into buckets
 about ``BUCKET_ROWS`` rows, whose counts are summed first, and rows are numbered within their bucket.
 
 Sizes are words ([^\\x20\\x09-\\x0D]+); null texts and empty texts have size 0. Sources are weighed in code point order,
-null last and a source like any other. A source of size 0 has target 0. Null ids are hashed as the empty string. Rows
-that repeat an id are documents of their own. An empty table gives an empty table. All columns stay; one that has the
+null last and a source like any other. A source of size 0 has target 0. A row without an id is hashed by all its columns
+instead, so rows without ids are no hot bucket; which of equal rows is taken makes no difference. Rows that repeat an id
+are documents of their own. An empty table gives an empty table. All columns stay; one that has the
 name of a result is replaced.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skein.llm.shared import written
+from skein.llm.shared import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 8192
@@ -53,8 +54,9 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap
 def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: int = 2, seed: str = "mix", size: Column | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """df with size, source_size, target, copies (how often the mix takes the row) and taken (copies * size)."""
     buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     hashed = lambda c, digits: F.conv(F.substring(F.md5(c), 1, digits), 16, 10).cast("long")
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(source).alias("_source"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), (word_count(text) if size is None else size).alias("_size"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(source).alias("_source"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashable).cast("string"))).alias("_id"), (word_count(text) if size is None else size).alias("_size"))
     rows = rows.withColumns({"_class": F.expr(SIZE_CLASS), "_hash": hashed("_id", 8)})
     rows = rows.withColumn("_bucket", F.floor(F.col("_hash") * F.lit(buckets) / F.lit(2.0**32)).cast("int"))
     keys = ["_source", "_class", "_bucket"]
@@ -76,5 +78,5 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1),
 
 def take(mixed: DataFrame) -> DataFrame:
     """Each row of a mix as often as it is taken, without the columns that mix added."""
-    columns = [c for c in mixed.columns if c not in ADDED]
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*columns)
+    columns, copy = [c for c in mixed.columns if c not in ADDED], free_name(mixed, "_copy")
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).select(*columns)

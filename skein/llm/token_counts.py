@@ -5,7 +5,7 @@ counts are joined to the frequencies (row, pre-token) -> n of the block and summ
 and no row leaves its task: a table of distinct pre-tokens for all documents would have to be shuffled, together with
 every document's frequencies, and is larger than the input where most words are rare.
 
-Null and empty texts count 0 bytes and 0 tokens. All columns of the input stay; one that has the name of a result is
+Null and empty texts count 0 bytes and 0 tokens. Bytes that are no UTF-8 count as they are, and as U+FFFD for tokens. All columns of the input stay; one that has the name of a result is
 replaced. Repeated rows are counted each; an empty table gives an empty table.
 """
 

@@ -1,16 +1,16 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Severity grades are 0 .. GRADES - 1. P(grade <= k) = logistic(threshold_k - w . x): one weight a feature for all grades,
+Severity grades are 0, 1, 2. P(grade <= k) = logistic(threshold_k - w . x): one weight a feature for all grades,
 and ascending thresholds. x holds which features a text has: its words and their first four and five bytes (runs of
-letters, A-Z as a-z), of which at most ``FEATURES`` are used: those that tell labelled texts apart best, if their share
-among toxic texts is at least ``LEAST_ERRORS`` standard errors from that among others. The result is the expected severity.
+letters, A-Z as a-z): all whose share among toxic texts is at least ``LEAST_ERRORS`` standard errors from that among
+others, which takes ``LEAST_TEXTS`` texts that have them. The result is the expected severity.
 
-Labels say toxic or not; among toxic texts the grade is 2 where as many features of toxic texts only occur as in the
-median toxic text, else 1. The model is fitted on a bounded sample: ``MOST_LABELLED`` labelled documents, chosen by a hash of the id. All
-documents are scored, whole.
+Grades come from the labels alone: 0 is not toxic, 1 toxic, and 2 toxic and of low quality (quality 0, where labels have
+that column; without it there is no grade 2). The model is fitted on a bounded sample: ``MOST_LABELLED`` labelled
+documents (about), chosen by a hash of the id. All documents are scored, whole.
 
-Null texts and texts without letters have no features. Without labels of both kinds the model has no feature and all
-severities are 0. Labels that are null, or of documents that aren't there, are not used; of repeated labels the most toxic counts. Input columns
+Null texts and texts without letters have no features. Without labels of both kinds, or where no feature tells them
+apart (as where none is in ``LEAST_TEXTS`` labelled texts), the model has no feature and all severities are 0. Labels that are null, or of documents that aren't there, are not used; of repeated labels the most toxic counts. Input columns
 stay; one that has the name of a result is replaced. Repeated rows are scored each; an empty table gives an empty table.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from skein.llm.blocks import U64, Block, SpanHasher, mix, spans, text_blocks
 from skein.llm.shared import written
 
-MOST_LABELLED, FEATURES, LEAST_TEXTS, GRADES = 20_000, 2048, 5, 3
+MOST_LABELLED, LEAST_TEXTS, GRADES = 20_000, 5, 3
 PREFIXES = (4, 5)
 LEAST_ERRORS = 5.0
 ROUNDS, RATE, PENALTY = 1000, 0.1, 1e-6
@@ -68,36 +68,43 @@ def present(features: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]
     return keys // len(features), keys % len(features)
 
 
+def likelihood(value: np.ndarray, rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of grades with a ridge on the weights, and its gradient. value: weights, the first
+    threshold, and logarithms of the gaps between thresholds; (rows, columns) are the ones of the design matrix."""
+    n, line = len(grades), np.arange(len(grades))
+    weights, raw = value[:n_features], value[n_features:]
+    cuts = np.cumsum([raw[0], *np.exp(raw[1:])])
+    score = np.bincount(rows, weights[columns], n)
+    below = 1 / (1 + np.exp(-np.clip(cuts[None] - score[:, None], -30, 30)))  # P(grade <= k)
+    padded = np.column_stack([np.zeros(n), below, np.ones(n)])
+    chance = np.maximum(padded[line, grades + 1] - padded[line, grades], 1e-9)
+    slope = padded * (1 - padded)
+    upper, lower = slope[line, grades + 1] / chance, slope[line, grades] / chance
+    by_score = (upper - lower) / n
+    by_cut = np.array([lower[grades == k + 1].sum() - upper[grades == k].sum() for k in range(len(raw))]) / n
+    by_raw = np.array([by_cut.sum(), *(np.exp(raw[k]) * by_cut[k:].sum() for k in range(1, len(raw)))])
+    loss = -np.log(chance).mean() + PENALTY / 2 * np.square(weights).sum()
+    return loss, np.concatenate([np.bincount(columns, by_score[rows], n_features) + PENALTY * weights, by_raw])
+
+
 def fit_cumulative(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that fit grades, by Adam on the mean log-likelihood with a ridge; (rows, columns) are the ones
-    of the design matrix."""
-    n = len(grades)
-    weights, first = np.zeros(n_features), np.log((grades == 0).mean() / max(1e-9, 1 - (grades == 0).mean()))
-    thresholds = np.array([first, *np.zeros(n_grades - 2)])  # the first, then logarithms of the gaps
-    value = np.concatenate([weights, thresholds])
+    """Weights and thresholds of the least likelihood(), by Adam."""
+    first = np.log((grades == 0).mean() / max(1e-9, 1 - (grades == 0).mean()))
+    value = np.concatenate([np.zeros(n_features), [first], np.zeros(n_grades - 2)])
     m, v = np.zeros_like(value), np.zeros_like(value)
-    line = np.arange(n)
     for step in range(1, ROUNDS + 1):
-        weights, raw = value[:n_features], value[n_features:]
-        cuts = np.cumsum([raw[0], *np.exp(raw[1:])])
-        score = np.bincount(rows, weights[columns], n)
-        below = 1 / (1 + np.exp(-np.clip(cuts[None] - score[:, None], -30, 30)))  # P(grade <= k)
-        padded = np.column_stack([np.zeros(n), below, np.ones(n)])
-        chance = np.maximum(padded[line, grades + 1] - padded[line, grades], 1e-9)
-        slope = padded * (1 - padded)
-        upper, lower = slope[line, grades + 1] / chance, slope[line, grades] / chance
-        by_score = (upper - lower) / n  # of the negative log-likelihood
-        by_cut = np.array([lower[grades == k + 1].sum() - upper[grades == k].sum() for k in range(n_grades - 1)]) / n
-        by_raw = np.array([by_cut.sum(), *(np.exp(raw[k]) * by_cut[k:].sum() for k in range(1, n_grades - 1))])
-        gradient = np.concatenate([np.bincount(columns, by_score[rows], n_features) + PENALTY * weights, by_raw])
+        _, gradient = likelihood(value, rows, columns, grades, n_features)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         value = value - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return value[:n_features], np.cumsum([value[n_features], *np.exp(value[n_features + 1 :])])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """A model from the documents that labels (doc_id, toxic) tell about, most of them at most (about)."""
-    told = labels.select(F.col("doc_id").cast("long").alias("own"), F.col("toxic").cast("int").alias("toxic")).where("own is not null and toxic is not null").groupBy("own").agg(F.max("toxic").alias("toxic"))
+    """A model from the documents that labels (doc_id, toxic, and quality if there is) tell about, most of them at most
+    (about)."""
+    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(1)
+    grade = F.when(F.col("toxic").cast("int") <= 0, 0).when(quality == 0, 2).otherwise(1)
+    told = labels.select(F.col("doc_id").cast("long").alias("own"), F.when(F.col("toxic").isNotNull(), grade).alias("grade")).where("own is not null and grade is not null").groupBy("own").agg(F.max("grade").alias("toxic"))
     share = min(1.0, most / max(1, told.count()))
     chosen = told.where(F.pmod(F.xxhash64("own"), F.lit(1_000_000)) < int(share * 1_000_000))
     # Bounded by most, so it may be broadcast.
@@ -125,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: s
     spread = F.sqrt((mean * (F.lit(1.0) - mean) + F.lit(1e-9)) * F.lit(1 / kinds[True] + 1 / kinds[False]))
     apart = F.abs(share_of("bad", kinds[True]) - share_of("good", kinds[False])) / spread
     best = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = best.where((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (apart >= LEAST_ERRORS)).orderBy(apart.desc(), "feature").limit(FEATURES).toPandas().sort_values("feature")
+    rows = best.where((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (apart >= LEAST_ERRORS)).toPandas().sort_values("feature")
+    # Features of a bounded sample's texts, so bounded as well.
     features = rows["feature"].to_numpy(np.int64)
     if not len(features):
         return none
@@ -139,14 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: s
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(columns.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[block.first : block.first + block.rows]), lists], ["toxic", "columns"])
 
-    # At most `most` rows of numbers below FEATURES.
+    # At most `most` rows (about) of numbers of features.
     table = sample.mapInArrow(design, "toxic int, columns array<int>").toPandas()
-    toxic, lengths = table["toxic"].to_numpy() > 0, table["columns"].map(len).to_numpy()
+    grades, lengths = table["toxic"].to_numpy(), table["columns"].map(len).to_numpy()
     columns = np.concatenate([np.asarray(c, np.int64) for c in table["columns"]])
     texts = np.repeat(np.arange(len(table)), lengths)
-    marks = np.bincount(texts, (rows["good"] == 0).to_numpy()[columns], len(table))
-    grades = np.where(toxic, np.where(marks >= np.median(marks[toxic]), 2, 1), 0)
-    weights, thresholds = fit_cumulative(texts, columns, grades, len(features), GRADES)
+    weights, thresholds = fit_cumulative(texts, columns, grades, len(features), int(grades.max()) + 1)
     return OrdinalModel(features, weights, thresholds)
 
 

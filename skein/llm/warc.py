@@ -33,8 +33,8 @@ from skein.llm.shared import work_path, written
 
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 256 << 10
-#: Copies of a duplicated payload's smallest id, so that its pages need not meet in one task.
-SALTS = 16
+#: Records of one payload from which it counts as hot; of the table's records a hot payload has at least one in MOST_HOT.
+HOT_RECORDS, MOST_HOT = 1 << 16, 100_000
 #: Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.0", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -46,12 +46,20 @@ def sha1_base32(data: bytes) -> str:
 
 
 def with_first_of_payload(df: DataFrame, least: int = 0, page_id: str = "page_id", payload: str = "html") -> DataFrame:
-    """id, url, payload and the id of the first record with an equal payload (null: the row is itself a response)."""
-    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"key": F.sha2("payload", 256), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS).cast("long"))})
+    """id, url, payload and the id of the first record with an equal payload (null: the row is itself a response).
+
+    The first ids of hot payloads, MOST_HOT at most, are broadcast; the pages of any other payload are few enough to meet
+    in one task. A table without a column url has none."""
+    url = F.col("url") if "url" in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.col(page_id).cast("long").alias("page_id"), url.alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.sha2("payload", 256))
     firsts = rows.where(F.length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 and first is not null").select("key", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    joined = rows.join(firsts, ["key", "salt"], "left")
+    firsts = written(firsts.where("n > 1 and first is not null"), "warc-firsts")
+    hot = F.col("n") >= max(HOT_RECORDS, (firsts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    joined = rows.join(F.broadcast(firsts.where(hot).select("key", F.col("first").alias("hot_first"))), "key", "left")
+    joined = joined.withColumn("cold", F.when(F.col("hot_first").isNull(), F.col("key")))
+    # A hot payload's rows have a key of their own each in this join, which has no partner.
+    joined = joined.withColumn("cold", F.coalesce("cold", F.concat(F.lit("hot "), F.xxhash64("page_id", "url").cast("string"))))
+    joined = joined.join(firsts.where(~hot).select(F.col("key").alias("cold"), "first"), "cold", "left").withColumn("first", F.coalesce("hot_first", "first"))
     return joined.select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
@@ -116,7 +124,7 @@ def members(stream) -> Iterator[bytes]:
         if press.eof:
             yield b"".join(parts)
             press, parts = zlib.decompressobj(31), []
-    if any(parts):
+    if parts:  # even if no byte came out of it yet
         raise ValueError("the last gzip member is cut off")
 
 
@@ -150,25 +158,28 @@ READ_SQL = "page_id long, url string, record_type string, refers_to long, payloa
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the files in the column path, in any order of files. payloads: with what responses hold."""
+    """The records of the files in the column path, in any order of files; a file that has not as many as n_records tells
+    raises ValueError. payloads: with what responses hold."""
     files = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, n_records in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
                 with fs.open_input_stream(place) as stream:
-                    rows, size = [], 0
-                    for member in members(stream):
+                    rows, size, n = [], 0, 0
+                    for n, member in enumerate(members(stream), 1):  # noqa: B007
                         rows.append(parse(member) | ({} if payloads else {"payload": None}))
                         size += len(rows[-1]["payload"] or b"") + 200
                         if size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, READ)
                             rows, size = [], 0
+                    if n != n_records:
+                        raise ValueError(f"{path} has {n} records, not {n_records}")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, READ)
 
-    return manifest.select("path").repartitionByRange(files, "path").mapInArrow(run, READ_SQL)
+    return manifest.select("path", "n_records").repartitionByRange(files, "path").mapInArrow(run, READ_SQL)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, least: int = 0, payloads: bool = True) -> DataFrame:

@@ -125,8 +125,20 @@ def test_small_archives_and_damage(spark):
 
     press = lambda b: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(b) + c.flush()
     assert list(warc.members(Stream(press(b"one") + press(b"two")))) == [b"one", b"two"]
-    with pytest.raises(ValueError):
-        list(warc.members(Stream(press(b"one") + press(b"two" * 50)[:-4])))
+    for cut in (-4, -1, 1, 3, 8, 10, 12):
+        with pytest.raises(ValueError):
+            list(warc.members(Stream(press(b"one") + press(b"two" * 50)[:cut])))
+    assert list(warc.members(Stream(b""))) == []
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_archives(manifest.withColumn("n_records", F.col("n_records") + 1)).count()
+
+
+def test_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_RECORDS", 5)
+    rows = [(k, "hot" if k % 3 else f"own {k // 6}") for k in range(60)] + [(None, "hot"), (100, "lone")]
+    got = warc.with_first_of_payload(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    least = {h: min(p for p, x in rows if x == h and p is not None) for _, h in rows}
+    assert Counter((r["page_id"], r["refers_to"], r["url"]) for r in got) == Counter((p, None if p == least[h] else least[h], None) for p, h in rows)
 
 
 # Fingerprints
@@ -139,6 +151,11 @@ def longs(*values):
     return seed
 
 
+def signed_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - 2**64 if value >> 63 else value
+
+
 def brute_sketch(text):
     own = WORD.findall(text)
     if not own:
@@ -161,16 +178,20 @@ def text_of(rng, n, words="the of one two three four red blue high low étage".s
     return " ".join(rng.choice(words) + str(rng.randint(0, 9)) for _ in range(n))
 
 
-def test_fingerprints_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "STRETCH_ROWS", 7)
+@pytest.mark.parametrize("quantiles", [4096, 4])
+def test_fingerprints_by_brute_force(spark, monkeypatch, quantiles):
+    monkeypatch.setattr(fingerprints, "STRETCH_ROWS", 3)
+    monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
     rng = random.Random(3)
     texts = [text_of(rng, rng.choice((0, 1, 4, 5, 30, 400))) for _ in range(40)] + [None, "", " \n ", "lone", text_of(rng, 30_000)]
     texts += [texts[5], texts[5]]
     ids = rng.sample(range(-50, 500), len(texts) - 2)
     ids += [ids[5], None]
+    texts += [text_of(rng, 6) for _ in range(60)]  # one id has a third of the rows, and as many have none
+    ids += [77] * 30 + [None] * 30
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n_chars int, near_next string")
     rows = fingerprints.fingerprint_edits(df).collect()
-    order = sorted(((i, t or "") for i, t in zip(ids, texts, strict=True)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = sorted(((i, t or "") for i, t in zip(ids, texts, strict=True)), key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1]), r[1]))
     want = Counter()
     for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         half = len(t) // 2
@@ -355,7 +376,9 @@ def test_one_of_rows_that_repeat(spark):
 # Mixing
 
 
-def test_mix_by_brute_force(spark):
+@pytest.mark.parametrize("bucket", [8192, 40])
+def test_mix_by_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
     rng = random.Random(6)
     sources = ["b", "a", None, "c", "", "z"]
     rows = [(k, "w " * rng.choice((0, 1, 3, 50, 900)), rng.choices(sources, (60, 5, 5, 20, 5, 5))[0], 1.5) for k in range(400)] + [(7, None, "a", 0.0), (None, "w w", None, 0.0), (None, "w w", None, 0.0), (900, " ", "only", 0.0)]
@@ -384,7 +407,7 @@ def test_mix_by_brute_force(spark):
     again = mixing.mix(df.repartition(7)).toPandas()
     key = lambda d: sorted(map(str, d[["doc_id", "size", "taken"]].values.tolist()))
     assert key(again) == key(got)
-    assert mixing.take(mixing.mix(df)).count() == got["copies"].sum()
+    assert mixing.take(mixing.mix(df.withColumn("_copy", F.lit(1)))).count() == got["copies"].sum()
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -404,13 +427,14 @@ def render(source, **env):
         ("{% set k = 'a' ~ 1 %}{{ k }}{{ d.b[0] }}{{ none_such }}", "a17"),
         ('{{ "it\'s"|length }}', "4"),
         ("{{ 'p' in xs }}{{ 'r' not in xs }}{{ missing|default('d') }}", "truetrued"),
+        ("a  {%- if true -%}  b {%- endif %} c\n{{- 1 -}} \n{#- x -#} d", "ab c1d"),
     ],
 )
 def test_template_language(source, want):
     assert render(source, x="y", z=False, xs=["p", "q"], d={"b": [7]}) == want
 
 
-@pytest.mark.parametrize("source", ["{{ x.y( }}", "{% if x %}", "{{ x|nothing }}", "{% import os %}", "{{ x() }}", "{% for in x %}{% endfor %}", "{{ 1 2 }}"])
+@pytest.mark.parametrize("source", ["{{ x.y( }}", "{% if x %}", "{{ x|nothing }}", "{% import os %}", "{{ x() }}", "{% for in x %}{% endfor %}", "{{ 1 2 }}", "{{ 1 < 'a' }}", "{{ 'a' * 3 }}", "{{ '%s' % 1 }}", "{{ 1 % 0 }}", "{{ " + "9" * 999 + " * " + "9" * 999 + " }}"])
 def test_template_refuses(source):
     with pytest.raises(chat.TemplateError):
         chat.compile_template(source)
@@ -420,6 +444,10 @@ def test_sandbox_and_folding():
     assert render("{{ x.__class__ }}{{ x.upper }}", x="s") == ""
     tree = chat.fold(chat.parse("a{{ 'b' ~ 1 }}{% if 1 == 1 %}c{% endif %}{{ x }}"), chat.FILTERS)
     assert tree == chat.Sequence((chat.Output(chat.Const("ab1c")), chat.Output(chat.Name("x"))))
+    with pytest.raises(chat.TemplateError):
+        render("{% set t = 'ab' %}{% for x in xs %}" + "{% set t = t ~ t %}" + "{% endfor %}", xs=["p"]) or render("{% set t = 'ab' %}" + "{% set t = t ~ t %}" * 40)
+    with pytest.raises(chat.TemplateError):
+        render("{{ x < 1 }}", x="s")
     marked = list(chat.compile_template("a{% generation %}{{ x }}{% endgeneration %}")({"x": "g"}))
     assert marked == [("a", False), ("g", True)]
 

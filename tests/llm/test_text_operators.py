@@ -1,5 +1,6 @@
 """Encoding, counting, toxicity and licences: whole texts in, one row out."""
 
+import math
 import random
 
 import numpy as np
@@ -92,6 +93,13 @@ def test_encode_and_decode_rows(spark):
     assert [r["decoded"] for r in bpe.decode(odd, PATH).orderBy("doc_id").collect()] == ["", "", LIBRARY.decode([64])]
 
 
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select 1L doc_id, cast(x'61ff62' as string) text union all select 2L, 'caf\u00e9' union all select 3L, cast(x'c3' as string)")
+    want = {1: expected("a\ufffdb"), 2: expected("caf\u00e9"), 3: expected("\ufffd")}
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(df, PATH).collect()} == want
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in count_tokens(df, PATH).collect()} == {1: (3, len(want[1])), 2: (5, len(want[2])), 3: (1, len(want[3]))}
+
+
 def test_token_counts(spark):
     texts = [*ODD, None, "copy", "copy"]
     rows = count_tokens(table(spark, texts), PATH, limit=3).orderBy("doc_id").collect()
@@ -117,6 +125,37 @@ def test_cumulative_link_recovers_order():
     assert (np.round(severity) == grades).mean() > 0.85
 
 
+def test_likelihood_by_brute_force():
+    rng = np.random.default_rng(3)
+    x, grades = rng.random((40, 5)) < 0.4, rng.integers(0, 4, 40)
+    rows, columns = np.nonzero(x)
+    value = rng.normal(size=8) * 0.7
+    loss, gradient = toxicity.likelihood(value, rows, columns, grades, 5)
+    cuts = [value[5], value[5] + math.exp(value[6]), value[5] + math.exp(value[6]) + math.exp(value[7])]
+    total, logistic = 0.0, lambda z: 1 / (1 + math.exp(-z))
+    for k in range(40):
+        score = sum(value[j] for j in range(5) if x[k, j])
+        up = logistic(cuts[grades[k]] - score) if grades[k] < 3 else 1.0
+        total -= math.log(up - (logistic(cuts[grades[k] - 1] - score) if grades[k] else 0.0)) / 40
+    assert abs(loss - total - toxicity.PENALTY / 2 * sum(v * v for v in value[:5])) < 1e-9
+    for j in range(8):
+        step = np.eye(8)[j] * 1e-6
+        slope = (toxicity.likelihood(value + step, rows, columns, grades, 5)[0] - toxicity.likelihood(value - step, rows, columns, grades, 5)[0]) / 2e-6
+        assert abs(slope - gradient[j]) < 1e-6
+    model = toxicity.OrdinalModel(np.arange(5), value[:5], np.array(cuts))
+    chances = [[logistic(c - s) for c in cuts] for s in (-1.0, 0.3)]
+    expected_grade = [sum(k * (b - a) for k, (a, b) in enumerate(zip([0, *p], [*p, 1], strict=True))) for p in chances]
+    assert np.allclose(model.severity(np.array([-1.0, 0.3])), expected_grade)
+
+
+def test_grades_come_from_labels(spark):
+    docs = spark.createDataFrame([(k, ("vile word", "fine word", "vile slur")[k % 3]) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 2), int(k % 3 != 1)) for k in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    severity = {r["text"]: r["severity"] for r in toxicity.score(docs, model).collect()}
+    assert severity["vile slur"] > 1.5 > severity["vile word"] > toxicity.REJECT > severity["fine word"] and len(model.thresholds) == 2
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -435,8 +435,9 @@ class JaccardJoin:
         least = self.sizes.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("least"))
         joined = self.families.join(least, "entity").groupBy("family").agg(F.min("least").alias("reached"))
         reached = self.families.join(joined, "family").select("entity", "reached")
-        named = self.sizes.where("entity is not null").join(least.join(reached, "entity", "left"), "entity")
-        rows = named.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("reached", "least").alias("component_id"))
+        # A table of its own, so that the join with it has nothing but exchanges on either side and hot entities are split.
+        named = self._kept(least.join(reached, "entity", "left").select("entity", F.coalesce("reached", "least").alias("component_id")), "named")
+        rows = self.sizes.where("entity is not null").join(named, "entity").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
         return rows.unionByName(self.sizes.where("entity is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
     def kept(self) -> DataFrame:

@@ -10,6 +10,11 @@ from skein.functions.keys import human_key
 from skein.operators.graph import bounded_clusters
 
 
+def ordered_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters (representative, members) or their rows in order of size, then representative, then number."""
+    return clusters.orderBy(F.desc("members"), "representative", *(c for c in ("number",) if c in clusters.columns))
+
+
 def cluster_inputs(nodes: DataFrame, edges: DataFrame, repo_id: int, min_size: int = 1, max_size: int = 40, words: Sequence[str] | None = None) -> DataFrame:
     """A row for each member: stable_key, stable_slug, cluster_type, representative_thread_id, title, thread_id, number,
     role, score_to_representative. The score of a member without an edge to the representative is null."""

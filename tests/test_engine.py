@@ -4,14 +4,15 @@ import json
 import random
 import sqlite3
 from collections import defaultdict
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from skein import schemas
-from skein.operators import documents, governance, graph, ingest, portable, reports, search, similarity, threads as threads_op
-from skein.operators.clusters import cluster_inputs
+from skein.operators import commands, documents, governance, graph, ingest, portable, reports, search, similarity, threads as threads_op
+from skein.operators.clusters import cluster_inputs, ordered_clusters
 from skein.operators.neighbors import neighbors
 from skein.sources.store import Store
 from skein.streaming.incremental import stream_threads
@@ -379,6 +380,52 @@ def test_cluster_inputs(spark):
     assert rows[1]["stable_slug"].startswith(rows[1]["title"].removeprefix("Cluster ")) and cluster_inputs(nodes, edges, 1, min_size=2).count() == 3
 
 
+def test_orders_runs_and_outputs(spark):
+    rows = spark.createDataFrame([(3, 1, 2), (2, 9, 2), (7, 4, 5)], "representative long, number long, members long")
+    assert [r["representative"] for r in ordered_clusters(rows).collect()] == [7, 2, 3]
+    runs = commands.record_run(table(spark, schemas.RUNS), "sync", 1, commands.run_scope("open", [3, 5]), "success", NOW, LATER, {"n": 1})
+    runs = commands.record_run(commands.record_run(runs, "sync", 1, commands.run_scope("open"), "failed", NOW, error="x"), "cluster", 1, "all", "success", NOW)
+    assert [(r["kind"], r["id"], r["scope"], r["stats_json"]) for r in runs.collect()] == [("sync", 1, "numbers:3,5", '{"n": 1}'), ("sync", 2, "open", None), ("cluster", 1, "all", None)]
+    with pytest.raises(ValueError):
+        commands.record_run(runs, "nope", 1, "", "", NOW)
+    assert [commands.expected_total(*a) for a in ((9, "open"), (9, "open", "", 4), (9, "closed"), (9, "open", NOW), (0, "open"))] == [9, 4, 0, 0, 0]
+    done = commands.refresh(embed=lambda: 5, sync=lambda: 3)
+    assert done == {"selected": {"sync": True, "embed": True, "cluster": False}, "sync": 3, "embed": 5}
+    with pytest.raises(ValueError):
+        commands.refresh()
+    now, called = datetime(2024, 6, 1, tzinfo=timezone.utc), []
+    for last in ("", "2024-05-31T00:00:00Z", "2024-05-31T23:59:00Z"):
+        commands.searched_fresh(last, timedelta(hours=1), now, lambda: called.append(1), lambda: rows)
+    assert len(called) == 2
+    assert commands.output("t", {"a": 1}) == 't\n{\n  "a": 1\n}\n' and commands.output("t", 1, "json") == "1\n" and commands.output("t", rows.limit(1), "log").startswith("t=[{")
+    with pytest.raises(PermissionError):
+        commands.require_durable("run_cluster")
+    assert commands.require_durable("durable_cluster") is None
+
+
+def test_details_and_jumps(spark):
+    own = threads(spark, *(thread(k) for k in (1, 2, 3)), thread(4, state="closed"), thread(5))
+    runs = spark.createDataFrame([(2, 1, "success", NOW, LATER)], "id long, repo_id long, status string, started_at string, finished_at string")
+    clusters = spark.createDataFrame([(7, 1, 2, 1, 2, NOW, None, None)], "id long, repo_id long, cluster_run_id long, representative_thread_id long, member_count long, created_at string, closed_at_local string, close_reason_local string")
+    members = spark.createDataFrame([(7, 1, 1.0), (7, 2, 0.5)], "cluster_id long, thread_id long, score_to_representative double")
+    groups = table(spark, schemas.CLUSTER_GROUPS, group(8, representative_thread_id=3), group(9, representative_thread_id=4, status="closed", closed_at=NOW))
+    ships = table(spark, schemas.CLUSTER_MEMBERSHIPS, member(8, 3, "canonical"), member(8, 2), member(9, 4, "canonical"))
+    t = commands.Tables(runs, clusters, members, groups, ships, table(spark, schemas.CLUSTER_CLOSURES), own)
+    summary, rows = commands.cluster_detail(t, 1, 7)
+    assert summary.first()["source"] == "run_cluster" and [r["number"] for r in rows.collect()] == [1, 2]
+    summary, rows = commands.cluster_detail(t, 1, 8)
+    assert summary.first()["source"] == "durable_cluster" and {r["number"] for r in rows.collect()} == {3, 2}
+    with pytest.raises(LookupError):
+        commands.cluster_detail(t, 1, 99)
+    loaded = reports.durable_summaries(groups, ships, own, 1).withColumn("position", F.lit(0).cast("long"))
+    to = commands.jump(t, 1, 3, loaded, commands.View(query="nothing", min_size=5))
+    assert (to.cluster_id, to.view, to.has_member, to.clusters.count()) == (8, commands.View(), True, 1)
+    to = commands.jump(t, 1, 4, loaded, commands.View(min_size=1))
+    assert (to.cluster_id, to.view.show_closed, {r["id"] for r in to.clusters.collect()}) == (9, True, {8, 9})
+    with pytest.raises(LookupError):
+        commands.jump(t, 1, 5, loaded, commands.View())
+
+
 def test_entry_point(spark):
     assert entry_point.entry(spark).columns == ["thread_id", "number", "kind", "title", "score"]
     assert {*entry_point.oracle_sql()} <= {*entry_point.queries()}

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions import keys, text as tx, vectors as vec
+from skein.functions import display as dx, keys, text as tx, vectors as vec
 from skein.sources import arguments, config, embedder, rest
 from skein.sources.retry import Backoff, ServiceError, parse_retry_after, rate_limit_wait
 
@@ -90,6 +90,25 @@ def test_trimming_long_runs_of_blanks_is_fast(spark):
     assert time.time() - began < 3
 
 
+def test_states_and_lines(spark):
+    rows = [(1, "issue", "t1", "u", "open", None, "active", "ann", None), (2, "pull_request", "t2", None, "closed", None, "", None, "2024-01-02"), (3, "x y", "t3", "u", "open", "2024", "active", "b", None), (4, None, "t4", "u", None, None, "excluded", "", None)]
+    df = spark.createDataFrame([(*r, "why" if r[0] == 3 else None, "2024-01-01") for r in rows], "number long, kind string, title string, html_url string, state string, closed_at_local string, member_state string, author_login string, closed_at_gh string, reason string, updated_at string").withColumn("updated_at_gh", F.lit(None).cast("string"))
+    c = F.col
+    got = df.select(dx.kind_label(c("kind")), dx.kind_glyph(c("kind")), dx.member_state(c("member_state"), c("state"), c("closed_at_local")), dx.state_glyph(dx.member_state(c("member_state"), c("state"), c("closed_at_local"))), dx.member_visible(c("member_state"), c("state"), c("closed_at_local")), dx.closed_label(c("state"), c("closed_at_local"), c("closed_at_gh"), c("reason"))).collect()
+    assert [tuple(r) for r in got] == [("issue", "I", "open", "opn", True, "no"), ("PR", "PR", "closed", "cls", False, "2024-01-02"), ("x y", "x ", "local", "loc", False, "2024 (why)"), ("thread", "?", "excluded", "exc", False, "")]
+    assert dx.report(df.where("number < 3"), dx.member_line(), "number").first()["text"] == "#1 [open] Issue t1 u\n#2 [closed] PR t2 "
+    assert [(r["label"], r["n"]) for r in dx.sections(df.where("kind is not null")).collect()] == [("ISSUES (1)", 1), ("PULL REQUESTS (1)", 1), ("OTHER (1)", 1)]
+    text = df.where("number = 1").select(dx.thread_text(F.create_map(F.lit("solution_summary"), F.lit("s"), F.lit("key_summary"), F.lit("k")), F.lit("body"))).first()[0]
+    assert text == "Issue #1: t1\nState: open\nAuthor: ann\nUpdated: 2024-01-01\nURL: u\n\nSummaries\nKey summary:\nk\n\nSolution:\ns\n\nBody preview\nbody"
+    one = spark.createDataFrame([(5, "slug", "active", "", "", 0, "", 3, "", "")], "id long, stable_slug string, status string, title string, representative_title string, representative_number long, representative_kind string, member_count long, updated_at string, closed_at string")
+    assert one.select(dx.cluster_line()).first()[0] == "C5 [active] 3 items slug - Untitled cluster (none)" and one.select(dx.cluster_text()).first()[0].endswith("Members: 3\nUpdated: unknown\nRepresentative: none")
+    assert [value(spark, dx.cluster_state(F.lit(s), F.lit(at))) for s, at in (("merged", ""), ("active", ""), ("active", "x"), ("", ""))] == ["MERGED", "OPEN", "CLOSED", "OPEN"]
+    assert value(spark, dx.file_safe(F.lit("-A b/É.x-"))) == "a-b--.x"
+    assert [dx.repository_of(x) for x in ("git@github.com:o/r.git", "https://github.com/o/r/", "https://x/y", "github.com/o")] == ["o/r", "o/r", "", ""]
+    near = spark.createDataFrame([(7, "pull_request", "t", 0.4567)], "number long, kind string, title string, score double")
+    assert near.select(dx.neighbor_line()).first()[0] == "#7 PR 45.7% t"
+
+
 def test_search_terms():
     assert tx.query_terms('foo_bar "baz" é-1!') == ["foo_bar", "baz", "é", "1"]
     assert tx.search_tokens("Café foo_bar x") == ["cafe", "foo", "bar", "x"]

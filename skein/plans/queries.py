@@ -7,10 +7,11 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from skein.functions import display
 from skein.functions.keys import content_hash, default_words, human_key
-from skein.functions.text import age_label, clean_title, label_names, links, overlap, reference_evidence, title_tokens
+from skein.functions.text import age_label, clean_title, first_present, label_names, links, overlap, reference_evidence, title_tokens, without_controls
 from skein.functions.vectors import cosine
-from skein.operators import documents as docs_op, governance, ingest, portable, reports, search, similarity, threads as threads_op
+from skein.operators import commands, documents as docs_op, governance, ingest, portable, reports, search, similarity, threads as threads_op
 from skein.operators.clusters import cluster_inputs
 from skein.operators.graph import bounded_clusters, components
 from skein.operators.neighbors import list_vectors, neighbors, top_k
@@ -286,14 +287,35 @@ def components_of_edges(spark, sf_dir):
     return components(_edges(spark, sf_dir).where("score >= 0.4"), "left_id", "right_id")
 
 
-@query()
+#: Edge after edge, the root of every node as a list; an edge whose components are too large together is passed over.
+_GREEDY = """
+  nodes AS (SELECT thread_id, number, row_number() OVER (ORDER BY thread_id) AS i FROM sides),
+  ranked AS (SELECT a.i AS a, b.i AS b, row_number() OVER (ORDER BY e.score DESC, e.left_id, e.right_id) AS k FROM best e JOIN nodes a ON a.thread_id = e.left_id JOIN nodes b ON b.thread_id = e.right_id),
+  walk AS (
+    SELECT 0::BIGINT AS k, (SELECT list(i ORDER BY i) FROM nodes) AS r, false AS taken, 0::BIGINT AS a, 0::BIGINT AS b
+    UNION ALL
+    SELECT k, CASE WHEN taken THEN list_transform(r, lambda x: CASE WHEN x = rb THEN ra ELSE x END) ELSE r END, taken, a, b FROM (
+      SELECT *, ra = rb OR len(list_filter(r, lambda x: x = ra OR x = rb)) <= 10 AS taken FROM (
+        SELECT e.k, e.a, e.b, w.r, w.r[e.a] AS ra, w.r[e.b] AS rb FROM walk w JOIN ranked e ON e.k = w.k + 1))),
+  rooted AS (SELECT n.thread_id, n.number, w.r[n.i] AS root, coalesce(d.degree, 0) AS degree
+    FROM nodes n, (SELECT r FROM walk ORDER BY k DESC LIMIT 1) w LEFT JOIN (SELECT i, count(*) AS degree FROM (SELECT a AS i FROM walk WHERE taken UNION ALL SELECT b FROM walk WHERE taken) GROUP BY i) d ON d.i = n.i),
+  cut AS (SELECT thread_id, number, first(thread_id) OVER best_first AS representative, count(*) OVER (PARTITION BY root) AS members FROM rooted WINDOW best_first AS (PARTITION BY root ORDER BY degree DESC, number, thread_id))"""
+
+
+@query(sql("SELECT thread_id, number, representative, members FROM cut", "sides", "best", recursive=_GREEDY))
 def clusters_bounded(spark, sf_dir):
     return bounded_clusters(_nodes(spark, sf_dir)[1], _edges(spark, sf_dir), max_size=10)
 
 
-@query()
+_SLUG = f"w[{_BYTE.format(1)}] || '-' || w[{_BYTE.format(3)}] || '-' || w[{_BYTE.format(5)}]"
+
+
+@query(sql(f"""SELECT h AS stable_key, slug || '-' || {' || '.join(_DIGIT.format(36**k) for k in (3, 2, 1, 0))} AS stable_slug, CASE WHEN members = 1 THEN 'singleton_orphan' ELSE 'duplicate_candidate' END AS cluster_type, representative AS representative_thread_id,
+    'Cluster ' || slug AS title, thread_id, number, CASE WHEN thread_id = representative THEN 'canonical' ELSE 'related' END AS role, round(CASE WHEN thread_id = representative THEN 1.0 ELSE score END, 6) AS score
+  FROM (SELECT *, {_SLUG} AS slug FROM (SELECT c.*, sha256('repo:1:cluster-representative:' || representative) AS h, {_WORDS} AS w, e.score FROM cut c LEFT JOIN best e ON e.left_id = least(c.thread_id, c.representative) AND e.right_id = greatest(c.thread_id, c.representative)))""", "sides", "best", recursive=_GREEDY))
 def cluster_inputs_built(spark, sf_dir):
-    return cluster_inputs(_nodes(spark, sf_dir)[1], _edges(spark, sf_dir), REPO, min_size=1, max_size=10)
+    rows = cluster_inputs(_nodes(spark, sf_dir)[1], _edges(spark, sf_dir), REPO, min_size=1, max_size=10)
+    return rows.withColumn("score", F.round("score_to_representative", 6)).drop("score_to_representative")
 
 
 def _durable(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -358,12 +380,37 @@ def closed_history_candidates(spark, sf_dir):
     return rows.select("id", "representative_thread_id", "member_count", "updated_at", "closed_at")
 
 
-@query()
+def _closed_sql(shown: str) -> str:
+    """Closed candidates but those that shown leaves out, and of them those that overlap none before them that stays, one
+    after another; cands and kept are what a statement selects from."""
+    return f"""
+  cands AS (SELECT *, row_number() OVER (ORDER BY member_count DESC, updated_at DESC, id) AS place FROM (
+    SELECT g.id, g.stable_slug, g.title, coalesce(g.lead, 0) AS representative_thread_id, c.n AS member_count, c.latest AS updated_at, coalesce(k.updated_at, g.closed_at, '') AS closed_at, c.who
+    FROM groups g JOIN (SELECT m.cluster_id, count(*) AS n, max(t.updated_at) AS latest, count(*) FILTER (t.state <> 'open') AS gone, list(DISTINCT t.id) AS who FROM members m JOIN parts t ON t.id = m.thread_id GROUP BY m.cluster_id) c ON c.cluster_id = g.id
+    LEFT JOIN closures k ON k.cluster_id = g.id WHERE g.repo_id = 1 AND (k.cluster_id IS NOT NULL OR g.status IN ('closed', 'merged', 'split') OR c.gone >= c.n)) WHERE {shown}),
+  held AS (SELECT place, len(who) AS n, unnest(who) AS t FROM cands),
+  close AS (SELECT b.place, list(a.place) AS before FROM (SELECT a.place AS a, b.place AS b FROM held a JOIN held b ON a.t = b.t AND a.place < b.place GROUP BY a.place, b.place, a.n, b.n HAVING count(*) >= 0.8 * least(a.n, b.n)) p JOIN cands a ON a.place = p.a JOIN cands b ON b.place = p.b GROUP BY b.place),
+  steps AS (SELECT place, before, row_number() OVER (ORDER BY place) AS k FROM close),
+  decided AS (
+    SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+    SELECT s.k, CASE WHEN len(list_filter(s.before, lambda x: NOT list_contains(d.gone, x))) > 0 THEN list_append(d.gone, s.place) ELSE d.gone END FROM decided d JOIN steps s ON s.k = d.k + 1),
+  kept AS (SELECT c.*, coalesce(p.number, 0) AS representative_number, coalesce(p.kind, '') AS representative_kind, coalesce(p.title, '') AS representative_title FROM cands c LEFT JOIN parts p ON p.id = c.representative_thread_id
+    WHERE NOT list_contains((SELECT gone FROM decided ORDER BY k DESC LIMIT 1), c.place))"""
+
+
+_SUMMARY = "id, 'durable_cluster' AS source, stable_slug, 'closed' AS status, title, representative_thread_id, representative_number, representative_kind, representative_title, member_count, updated_at, closed_at"
+
+
+@query(sql(f"SELECT {_SUMMARY} FROM kept", "groups", "members", "parts", "closures", recursive=_closed_sql("true")))
 def closed_history_dedupe(spark, sf_dir):
     return reports.drop_overlapping(reports.closed_candidates(*_durable(spark, sf_dir), fx.cluster_closures(spark, sf_dir), REPO))
 
 
-@query()
+_SHOWN = f"""(SELECT id, 'run_cluster' AS source, {_SLUG} AS stable_slug, status, '' AS title, rep AS representative_thread_id, number AS representative_number, kind AS representative_kind, ptitle AS representative_title, member_count, updated_at, '' AS closed_at
+  FROM (SELECT r.*, p.number, p.kind, p.title AS ptitle, sha256(CASE WHEN r.rep <> 0 THEN 'repo:1:cluster-representative:' || r.rep ELSE 'repo:1:cluster:' || r.id END) AS h, {_WORDS} AS w, CASE WHEN close_reason IS NOT NULL OR gone >= member_count THEN 'closed' ELSE 'active' END AS status, coalesce(latest, created_at) AS updated_at FROM {_RUN} r LEFT JOIN parts p ON p.id = r.rep))"""
+
+
+@query(sql(f"SELECT * FROM {_SHOWN} UNION ALL SELECT {_SUMMARY} FROM kept", "raw", "lines", "groups", "members", "parts", "closures", recursive=_closed_sql(f"representative_thread_id NOT IN (SELECT rep FROM {_RUN} WHERE rep <> 0)")))
 def display_list(spark, sf_dir):
     runs, clusters, members, threads = _raw(spark, sf_dir)
     return reports.display_summaries(runs, clusters, members, *_durable(spark, sf_dir)[:2], threads, fx.cluster_closures(spark, sf_dir), REPO)
@@ -490,6 +537,105 @@ def upsert_threads(spark, sf_dir):
     return ingest.upsert_threads(threads.where("id >= 10"), new).select("number", "title", "closed_at_local")
 
 
+@query(sql("SELECT number, CASE WHEN id % 5 = 0 AND state = 'open' AND closed_at_local IS NULL THEN 'closed' WHEN id % 5 = 1 THEN 'open' ELSE state END AS state, CASE WHEN id % 5 = 0 AND state = 'open' AND closed_at_local IS NULL THEN 'v2' WHEN id % 5 = 1 THEN 'v2' ELSE title END AS title FROM threads", "threads"))
+def sync_repeated_keys(spark, sf_dir):
+    """Three versions of a thread in one batch, out of order: of every fifth the last is closed, of the next open."""
+    threads = fx.threads_doc(spark, sf_dir)
+    version = F.explode(F.array(*map(F.lit, (2, 0, 1)))).alias("v")
+    batch = threads.where("id % 5 < 2").select("*", version).withColumns({"title": F.concat(F.lit("v"), F.col("v").cast("string")), "updated_at_gh": F.concat(F.lit("2025-01-0"), (F.col("v") + 1).cast("string"))})
+    batch = batch.withColumn("state", F.when((F.col("v") == 2) == (F.col("id") % 5 == 0), "closed").otherwise("open")).drop("v")
+    return ingest.sync_threads(threads, batch).select("number", "state", "title")
+
+
+@query(sql("SELECT number, CASE WHEN number = 105 THEN '2024-06-01T00:00:00Z' ELSE closed_at_local END AS closed_at_local, CASE WHEN number = 105 THEN 'dup' END AS close_reason_local FROM threads", "threads"))
+def thread_closed(spark, sf_dir):
+    return threads_op.close_thread(fx.threads_doc(spark, sf_dir), REPO, 105, " dup ", NOW).select("number", "closed_at_local", "close_reason_local")
+
+
+@query(sql("SELECT number, CASE WHEN number <> 111 THEN closed_at_local END AS closed_at_local FROM threads", "threads"))
+def thread_reopened(spark, sf_dir):
+    return threads_op.reopen_thread(fx.threads_doc(spark, sf_dir), REPO, 111, NOW).select("number", "closed_at_local")
+
+
+@query(sql("SELECT id, CASE WHEN id = (SELECT max(id) FROM groups WHERE repo_id = 1 AND status = 'closed') THEN 'active' ELSE status END AS status, CASE WHEN id <> (SELECT max(id) FROM groups WHERE repo_id = 1 AND status = 'closed') THEN closed_at END AS closed_at FROM groups", "groups"))
+def reopen_cluster(spark, sf_dir):
+    state = _state(spark, sf_dir)
+    own = state.groups.where((F.col("repo_id") == REPO) & (F.col("status") == "closed")).agg(F.max("id")).first()[0]
+    return governance.reopen_cluster(state, REPO, own, NOW).groups.select("id", "status", "closed_at")
+
+
+@query(sql("SELECT count(*) AS threads_synced, count(*) FILTER (kind = 'issue') AS issues_synced, count(*) FILTER (kind = 'pull_request') AS pull_requests_synced, (SELECT count(*) FROM conversations) AS comments_synced, count(*) FILTER (state = 'closed') AS threads_closed FROM threads", "threads"))
+def sync_counters(spark, sf_dir):
+    threads = fx.threads_doc(spark, sf_dir)
+    return ingest.sync_stats(threads, fx.comments(spark, sf_dir), threads.where("state = 'closed'"))
+
+
+@query(sql("SELECT t.id, CASE WHEN m.state <> 'active' THEN m.state ELSE t.state END AS shown, m.cluster_id, '#' || t.number || ' [' || CASE WHEN m.state <> 'active' THEN m.state ELSE t.state END || '] ' || CASE WHEN t.kind = 'issue' THEN 'Issue' ELSE 'PR' END || ' ' || t.title || ' ' AS line, m.state = 'active' AND t.state = 'open' AS visible FROM members m JOIN parts t ON t.id = m.thread_id", "members", "parts"))
+def member_lines(spark, sf_dir):
+    _, memberships, threads = _durable(spark, sf_dir)
+    rows = memberships.select("cluster_id", F.col("thread_id").alias("id"), F.col("state").alias("member_state")).join(threads, "id")
+    states = (F.col("member_state"), F.col("state"), F.col("closed_at_local"))
+    return rows.select("id", display.member_state(*states).alias("shown"), "cluster_id", display.member_line().alias("line"), display.member_visible(*states).alias("visible"))
+
+
+@query(sql(f"SELECT d.id, 'C' || d.id || ' [active] ' || d.n || ' items ' || d.stable_slug || ' - ' || coalesce(p.title, d.title) || ' (' || CASE WHEN coalesce(p.number, 0) = 0 THEN 'none' WHEN p.kind = 'issue' THEN 'issue #' || p.number ELSE 'PR #' || p.number END || ')' AS line FROM {_DURABLE_OPEN} d LEFT JOIN parts p ON p.id = d.lead WHERE d.n >= 1", "groups", "members", "parts", "visible"))
+def cluster_lines(spark, sf_dir):
+    return reports.durable_summaries(*_durable(spark, sf_dir), REPO).select("id", display.cluster_line().alias("line"))
+
+
+@query(sql("SELECT id, CASE WHEN state = 'open' THEN 'no' ELSE state END AS closed FROM parts", "parts"))
+def closed_labels(spark, sf_dir):
+    rows = fx.threads_part(spark, sf_dir)
+    return rows.select("id", display.closed_label(*(F.col(c) for c in ("state", "closed_at_local", "closed_at_gh", "close_reason_local"))).alias("closed"))
+
+
+@query(sql("SELECT CASE kind WHEN 'issue' THEN 0 ELSE 1 END AS section, CASE kind WHEN 'issue' THEN 'ISSUES (' ELSE 'PULL REQUESTS (' END || count(*) || ')' AS label, count(*) AS n FROM parts GROUP BY kind", "parts"))
+def member_sections(spark, sf_dir):
+    return display.sections(fx.threads_part(spark, sf_dir))
+
+
+@query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9._-]', '-', 'g'), '-.') AS name FROM pages")
+def file_names(spark, sf_dir):
+    return fx.read(spark, sf_dir, "pages").select("page_id", display.file_safe(F.col("url")).alias("name"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS plain FROM documents")
+def texts_without_controls(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", F.sha2(without_controls(F.col("text")), 256).alias("plain"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) <> '' THEN text ELSE role END AS first FROM conversations")
+def first_texts(spark, sf_dir):
+    rows = fx.read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", first_present(F.col("text"), F.col("role")).alias("first"))
+
+
+@query(sql("SELECT id, status, n AS member_count FROM (SELECT g.id, CASE WHEN g.status = 'active' AND c.n > 0 AND c.gone >= c.n THEN 'closed' ELSE g.status END AS status, coalesce(c.n, 0) AS n FROM groups g LEFT JOIN (SELECT m.cluster_id, count(*) AS n, count(*) FILTER (t.state <> 'open') AS gone FROM members m LEFT JOIN parts t ON t.id = m.thread_id WHERE m.state = 'active' GROUP BY 1) c ON c.cluster_id = g.id) WHERE id = (SELECT min(id) FROM groups WHERE repo_id = 1)", "groups", "members", "parts"))
+def durable_by_id(spark, sf_dir):
+    groups, memberships, threads = _durable(spark, sf_dir)
+    own = groups.where(F.col("repo_id") == REPO).agg(F.min("id")).first()[0]
+    return reports.durable_summary_by_id(groups, memberships, threads, fx.cluster_closures(spark, sf_dir), REPO, own, include_closed=True).select("id", "status", "member_count")
+
+
+@query(sql(f"SELECT id, member_count FROM (SELECT r.id, count(*) FILTER (t.state = 'open') AS member_count FROM raw r JOIN lines l ON l.l_orderkey = r.id JOIN parts t ON t.id = l.l_partkey WHERE r.id = (SELECT max(id) FROM raw WHERE run = 2 AND close_reason IS NULL) GROUP BY r.id) WHERE member_count > 0", "raw", "lines", "parts"))
+def run_by_id(spark, sf_dir):
+    own = fx.raw_clusters(spark, sf_dir).where("cluster_run_id = 2 and close_reason_local is null").agg(F.max("id")).first()[0]
+    return reports.run_summary_by_id(*_raw(spark, sf_dir), REPO, own).select("id", "member_count")
+
+
+@query(sql("SELECT 'sync' AS kind, (SELECT max(id) FROM runs WHERE kind = 'sync') + 1 AS id, 'numbers:4,7' AS scope UNION ALL SELECT kind, id, scope FROM (SELECT kind, id, 'all' AS scope FROM runs)", "runs"))
+def run_recorded(spark, sf_dir):
+    return commands.record_run(fx.runs(spark, sf_dir), "sync", REPO, commands.run_scope("open", [4, 7]), "success", NOW).select("kind", "id", "scope")
+
+
+@query(sql(f"SELECT place, id FROM (SELECT id, row_number() OVER (ORDER BY n DESC, updated_at DESC, id) AS place FROM {_DURABLE_OPEN}) WHERE place <= 25", "groups", "members", "parts", "visible"))
+def durable_merged_order(spark, sf_dir):
+    """The first of a list in the order of merged lists, by place."""
+    rows = reports.durable_summaries(*_durable(spark, sf_dir), REPO)
+    rows = reports._sorted_summaries(rows, "size", 25, sizes_by_id=False)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("member_count"), F.desc("updated_at"), "id")).cast("long")).select("place", "id")
+
+
 @query(sql("SELECT number, kind, title, author_login, sha256(title || chr(0) || coalesce(body, '') || chr(0) || labels_json || chr(0)) AS content_hash FROM threads", "threads"))
 def thread_from_api(spark, sf_dir):
     rows = fx.threads_doc(spark, sf_dir)

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions.text import overlap, reference_evidence, title_tokens
 
-BLOCK_ROWS = 2048
+#: Bytes of a block's vectors. All pairs of n rows take n * n / (rows of a block) row copies, so blocks are as large as a
+#: task can hold two of.
+BLOCK_BYTES = 32 << 20
 #: BLAS sums in another order than the exact score; pairs this close below the threshold are scored as well.
 MARGIN = 1e-9
 
@@ -29,31 +32,50 @@ class EdgePolicy:
 
 def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "repo_id") -> DataFrame:
     """(left_id, right_id, score): pairs of (key, thread_id, vector) rows of equal key with cosine >= threshold, left <
-    right. All pairs are compared, in blocks: rows are dealt to blocks, each pair of blocks is one task's product of two
-    matrices, and what may pass is scored in double precision from left to right."""
+    right. All pairs are compared, in blocks: a key's rows are dealt to blocks, as many as its rows need, each pair of blocks
+    is one task's product of two matrices, and what may pass is scored in double precision from left to right."""
     rows = vectors.select(F.col(key).alias("key"), "thread_id", "vector").where(F.size("vector") > 0)
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("thread_id"), F.lit(blocks)).cast("int")
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    pair = F.transform(numbers, lambda n: F.struct(F.least(n, F.col("block")).alias("i"), F.greatest(n, F.col("block")).alias("j")))
-    dealt = rows.withColumn("block", block).select("key", F.explode(pair).alias("p"), "block", "thread_id", "vector")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") * F.max(F.size("vector")) * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    counts = rows.groupBy("key").agg(blocks.alias("blocks")).withColumnRenamed("key", "of")
+    dealt = rows.join(counts, F.col("key").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("thread_id"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(F.least(n, F.col("block")).alias("i"), F.greatest(n, F.col("block")).alias("j")))
+    dealt = dealt.select("key", F.explode(pair).alias("p"), "block", "thread_id", F.col("vector").cast("array<double>").alias("vector"))
     dealt = dealt.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "thread_id", "vector")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for (_, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            own = list(group)
-            for size in {len(r[5]) for r in own}:
-                same = [r for r in own if len(r[5]) == size]
-                yield from _block_pairs(same, i, j, threshold)
+        for (_, i, j), part in _runs(batches, ("key", "i", "j")):
+            column = pa.concat_arrays([c.cast(pa.list_(pa.float64())) for c in part.column("vector").chunks])
+            lengths, flat = np.asarray(pc.list_value_length(column)), np.asarray(column.flatten())
+            begins = np.cumsum(lengths) - lengths
+            ids, block = np.asarray(part.column("thread_id")), np.asarray(part.column("block"))
+            for size in np.unique(lengths).tolist():
+                same = np.flatnonzero(lengths == size)
+                yield from _block_pairs(ids[same], block[same], flat[begins[same][:, None] + np.arange(size)], i, j, threshold)
 
     return dealt.mapInArrow(run, "left_id long, right_id long, score double")
 
 
-def _block_pairs(rows: list[tuple], i: int, j: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    ids, blocks = np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows])
-    x = np.array([r[5] for r in rows], np.float64)
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows that follow each other with equal keys, as tables."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        begin = 0
+        for own, group in itertools.groupby(rows):
+            end = begin + sum(1 for _ in group)
+            if held and own != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = own
+            held.append(batch.slice(begin, end - begin))
+            begin = end
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _block_pairs(ids: np.ndarray, blocks: np.ndarray, x: np.ndarray, i: int, j: int, threshold: float) -> Iterator[pa.RecordBatch]:
     norms = np.sqrt(_summed(x, x))
     unit = np.divide(x, norms[:, None], out=np.zeros_like(x), where=norms[:, None] > 0)
     left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)

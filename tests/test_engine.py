@@ -149,7 +149,7 @@ def test_components(spark):
 
 
 def test_edge_policy(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 32)
     own = threads(spark, thread(10, title="download stalls badly"), thread(11, title="download stalls"), thread(12, title="nothing alike", kind="pull_request"), thread(13, title="fixes #12"), thread(14, body="x" * 400 + " #10"), thread(15, body="see #10"))
     vectors = spark.createDataFrame([(1, 10, [1.0, 0.0]), (1, 11, [0.9, 0.4358]), (1, 12, [0.95, 0.3122]), (1, 13, [0.0, 1.0]), (1, 14, [0.0, -1.0]), (1, 15, [-1.0, 0.0])], "repo_id long, thread_id long, vector array<double>")
     policy = similarity.EdgePolicy()
@@ -161,6 +161,17 @@ def test_edge_policy(spark, monkeypatch):
     assert {(r["left_id"], r["right_id"]) for r in similarity.build_edges(own, vectors, weak).collect()} == {(10, 11), (12, 13), (10, 15)}
 
 
+@pytest.mark.parametrize("size", [200, 1 << 20])
+def test_cosine_pairs_of_keys_and_lengths(spark, monkeypatch, size):
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", size)
+    rng = random.Random(1)
+    rows = [(rng.choice((1, 1, 1, 2, None)), k, [rng.gauss(0, 1) for _ in range(rng.choice((3, 3, 5)))]) for k in range(120)] + [(1, 200, [0.0, 0.0, 0.0]), (1, 201, [])]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1)
+    want = {(a, b) for k, a, v in rows for m, b, w in rows if a < b and k == m and len(v) == len(w) > 0 and cosine(v, w) >= 0.7}
+    got = [(r["left_id"], r["right_id"]) for r in similarity.cosine_pairs(spark.createDataFrame(rows, "repo_id long, thread_id long, vector array<double>"), 0.7).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_best_edges_keep_either_end(spark):
     edges = spark.createDataFrame([(1, k, 0.9 - k / 100) for k in range(2, 6)] + [(5, 6, 0.99)], "left_id long, right_id long, score double")
     assert {(r[0], r[1]) for r in similarity.best_edges(edges, 1).collect()} == {(1, 2), (1, 3), (1, 4), (5, 6)}

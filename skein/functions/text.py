@@ -218,6 +218,11 @@ def label_names(raw: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
+def label_display(raw: Column) -> Column:
+    """Names as they are, blank ones left out, joined by commas."""
+    return F.array_join(F.transform(F.filter(label_objects(raw), lambda o: present(o["name"])), lambda o: o["name"]), ", ")
+
+
 #: Summaries that stand first, in this order, and their labels.
 SUMMARY_LABELS = {"key_summary": "Key summary", "problem_summary": "Purpose", "solution_summary": "Solution", "maintainer_signal_summary": "Maintainer signal", "dedupe_summary": "Cluster signal"}
 

@@ -41,5 +41,8 @@ def neighbors(threads: DataFrame, vectors: DataFrame, repo_id: int, number: int,
     target = own.orderBy(F.when(wanted, 0).otherwise(1), "thread_id").first()
     if target is None:
         raise LookupError(f"thread #{number} has no vector")
-    rows = list_vectors(threads, vectors, repo_id, target["model"], target["basis"], len(target["vector"]))
-    return top_k(rows, target["vector"], target["thread_id"], limit if limit > 0 else 10, threshold).select("thread_id", "number", "kind", "title", "score")
+    rows = list_vectors(threads.select("id", "repo_id", "number", "kind", F.lit(None).alias("title"), "state", "closed_at_local"), vectors, repo_id, target["model"], target["basis"], len(target["vector"]))
+    best = top_k(rows.select("thread_id", "number", "kind", "vector"), target["vector"], target["thread_id"], limit if limit > 0 else 10, threshold)
+    # Titles are joined to the best only.
+    titled = F.broadcast(best.drop("vector")).join(threads.select(F.col("id").alias("thread_id"), "title"), "thread_id")
+    return titled.orderBy(F.desc("score"), "thread_id").select("thread_id", "number", "kind", "title", "score")

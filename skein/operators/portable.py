@@ -24,6 +24,24 @@ def prune_threads(threads: DataFrame, body_chars: int = 256) -> DataFrame:
     return rows.drop("body", "raw_json")
 
 
+def prune_stats(before: dict[str, DataFrame], after: dict[str, DataFrame], body_chars: int = 256) -> DataFrame:
+    """One row that tells what a prune did: rows of threads with a body, of repositories with raw JSON, of fingerprints and
+    of documents, and the names of tables and columns that are gone."""
+    count = lambda name, column: before[name].where(F.coalesce(F.col(column), F.lit("")) != "").count() if name in before and column in before[name].columns else 0
+    gone = sorted(f"{n}.{c}" for n in before.keys() & after.keys() for c in before[n].columns if c not in after[n].columns)
+    row = {
+        "body_chars": body_chars if body_chars > 0 else 256,
+        "threads_pruned": before["threads"].where("body is not null").count() if "body" in getattr(before.get("threads"), "columns", ()) else 0,
+        "repositories_pruned": count("repositories", "raw_json"),
+        "fingerprints_pruned": before["thread_fingerprints"].count() if "thread_fingerprints" in before else 0,
+        "documents_deleted": before["documents"].count() if "documents" in before else 0,
+        "dropped_tables": sorted(before.keys() - after.keys()),
+        "dropped_columns": gone,
+    }
+    spark = next(iter(before.values())).sparkSession
+    return spark.createDataFrame([tuple(row.values())], "body_chars long, threads_pruned long, repositories_pruned long, fingerprints_pruned long, documents_deleted long, dropped_tables array<string>, dropped_columns array<string>")
+
+
 def prune(tables: dict[str, DataFrame], body_chars: int = 256, exported_at: str = "", source_path: str = "", schema_name: str = "portable-sync-v1") -> dict[str, DataFrame]:
     """The tables of a portable store."""
     out = {n: df for n, df in tables.items() if n not in DROPPED_TABLES}

@@ -14,7 +14,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from urllib.parse import parse_qs, urlencode, urlparse
+from urllib.parse import parse_qs, quote, urlencode, urlparse
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -54,6 +54,17 @@ def comment_paths(owner: str, repo: str, number: int, kind: str) -> dict[str, st
     return out
 
 
+def resource_path(owner: str, repo: str, kind: str = "", number: int = 0) -> str:
+    """Of a repository, or (kind issue or pull_request) of one of its threads."""
+    base = f"/repos/{quote(owner, safe='')}/{quote(repo, safe='')}"
+    return f"{base}/{'pulls' if kind == 'pull_request' else 'issues'}/{number}" if kind else base
+
+
+def files_path(owner: str, repo: str, number: int) -> str:
+    """Where the files of a change request are listed."""
+    return f"{resource_path(owner, repo, 'pull_request', number)}/files?per_page={PAGE_SIZE}"
+
+
 def http_get(base: str, token: str = "") -> Callable[[str], Reply]:
     def get(path: str) -> Reply:
         request = urllib.request.Request(base.rstrip("/") + path, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
@@ -92,6 +103,25 @@ def pages(get: Callable[[str], Reply], path: str, limit: int = 0, sleep: Callabl
         path = links({k.lower(): v for k, v in headers.items()}.get("link", "")).get("next", "")
 
 
+def resource(get: Callable[[str], Reply], path: str, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """One object, as of resource_path."""
+    return json.loads(get_once_more(get, path, sleep)[2])
+
+
+def page_total(page: int, link_header: str = "", expected: int = 0, known: int = 0) -> int:
+    """How many pages a listing has, as far as is known on a page of it: by the rows expected, by the header's last page,
+    and not below the pages seen; 0: not known."""
+    total = max(known, -(-expected // PAGE_SIZE) if expected > 0 else 0, last_page(link_header))
+    return max(total, page) if total else 0
+
+
+def thread_comment_rows(get: Callable[[str], Reply], owner: str, repo: str, number: int, kind: str, thread_id: int, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """(thread_id, comment_type, page, place, raw) of all kinds of comments of a thread, as ingest.thread_comments reads."""
+    for comment_type, path in comment_paths(owner, repo, number, kind).items():
+        for page, rows in enumerate(pages(get, path, sleep=sleep)):
+            yield from ((thread_id, comment_type, page, place, json.dumps(row)) for place, row in enumerate(rows))
+
+
 class PagesSource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -380,6 +380,8 @@ def test_portable_copy(spark):
     assert {*out} == {"threads", "portable_metadata"} and (row["body_excerpt"], row["body_length"]) == ("é" * 10, 0) and "body" not in out["threads"].columns
     again = portable.prune_threads(out["threads"].withColumn("body", F.lit("longer text")), 5).first()
     assert (again["body_excerpt"], again["body_length"]) == ("longe", 11)
+    made = portable.prune_stats({"threads": own, "documents": own, "runs": own}, out, 10).first()
+    assert (made["threads_pruned"], made["documents_deleted"], made["dropped_tables"], made["dropped_columns"]) == (1, 1, ["documents", "runs"], ["threads.body", "threads.raw_json"])
     assert schemas.normalize_threads(out["threads"]).first()["body"] == "é" * 10
 
 

@@ -71,6 +71,7 @@ def test_links_and_markdown(spark):
 )
 def test_labels(spark, raw, want):
     assert value(spark, tx.label_names(lit(raw))) == want
+    assert [x.strip() for x in (value(spark, tx.label_display(lit(raw))) or "").split(", ") if x] == want
 
 
 @pytest.mark.parametrize(("at", "want"), [("", "never"), ("soon", "soon"), ("2024-06-01T11:59:30Z", "now"), ("2024-06-01T11:00:00Z", "1h ago"), ("2024-05-01T12:00:00Z", "31d ago"), ("2024-01-01T12:00:00Z", "5mo ago")])
@@ -167,6 +168,17 @@ def test_retry_rules():
     assert waits == [1.0, 8.0, 60.0, 15.0]
 
 
+def test_resources_and_comments():
+    told = {"/repos/o/r": {"id": 1}, "/repos/o/r/pulls/7": {"id": 2}, "/repos/o/r/issues/7/comments?per_page=100": [{"id": 3}, {"id": 4}], "/repos/o/r/pulls/7/reviews?per_page=100": [{"id": 5}], "/repos/o/r/pulls/7/comments?per_page=100": []}
+    get = lambda path: (200, {}, json.dumps(told[path]).encode())
+    assert rest.resource(get, rest.resource_path("o", "r"))["id"] == 1 and rest.resource(get, rest.resource_path("o", "r", "pull_request", 7))["id"] == 2
+    assert rest.files_path("o", "r", 7) == "/repos/o/r/pulls/7/files?per_page=100"
+    rows = [*rest.thread_comment_rows(get, "o", "r", 7, "pull_request", 9)]
+    assert [(r[0], r[1], r[2], r[3], json.loads(r[4])["id"]) for r in rows] == [(9, "issue_comment", 0, 0, 3), (9, "issue_comment", 0, 1, 4), (9, "pull_review", 0, 0, 5)]
+    last = '<https://x/y?page=3>; rel="last"'
+    assert [rest.page_total(1, last), rest.page_total(1, "", 250), rest.page_total(4, last), rest.page_total(2), rest.page_total(1, last, 950)] == [3, 3, 4, 0, 10]
+
+
 def test_pages_follow_links():
     asked, waits = [], []
     replies = {

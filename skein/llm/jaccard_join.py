@@ -328,6 +328,7 @@ class JaccardJoin:
         others (role 1) that may be linked to one, as bit vectors tell."""
         num, den = self.num, self.den
         several = best.groupBy("grp").agg(F.count("*").alias("n"), pieces(F.count("*"), F.sum("size")).alias("batches"), F.min_by(F.struct("entity", "size"), "entity").alias("leader")).where("n > 1")
+        several = self._kept(several, "several")  # so that the join below has nothing but exchanges on either side, and a hot grp is split
         rows = best.join(several, "grp").select("grp", F.pmod(F.xxhash64("entity"), F.col("batches")).alias("batch"), F.lit(1).alias("role"), "entity", "size")
         leaders = several.where("batches > 1").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("role"), "leader.entity", "leader.size")
 
@@ -356,6 +357,7 @@ class JaccardJoin:
         counts = members.groupBy("grp", "family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
         large = counts.select("grp", "family", pieces(F.col("n"), F.col("total")).alias("own")).where("own > 1")
         small = counts.where(pieces(F.col("n"), F.col("total")) == 1).groupBy("grp").agg(pieces(F.sum("n"), F.sum("total")).alias("pool")).where("pool > 1")
+        large, small = self._kept(large, "large"), self._kept(small, "small")  # for the same reason
         dealt = members.join(large, ["grp", "family"], "left").join(small, "grp", "left")
         part = F.when(F.col("own").isNotNull(), F.xxhash64("grp", "family", F.pmod(F.xxhash64("entity"), F.col("own")))).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("family"), F.coalesce("pool", F.lit(1)))))
         return dealt.select("entity", "size", "family", part.alias("part"))

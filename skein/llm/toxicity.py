@@ -5,8 +5,10 @@ and ascending thresholds. x holds which features a text has: its words and their
 letters, A-Z as a-z): all whose share among toxic texts is at least ``LEAST_ERRORS`` standard errors from that among
 others, which takes ``LEAST_TEXTS`` texts that have them. The result is the expected severity.
 
-Grades come from the labels alone: 0 is not toxic, 1 toxic, and 2 toxic and of low quality (quality 0, where labels have
-that column; without it there is no grade 2). The model is fitted on a bounded sample: ``MOST_LABELLED`` labelled
+Labels say toxic or not, so grades above 1 are made by a rule: the labelled texts are dealt into two halves by a hash of
+the id, and a toxic text has grade 2 if it has at least as many features that in the *other* half several toxic texts and
+no others have as the median toxic text of its half, else grade 1. No text's own label or words take part in its grade.
+Where all toxic texts would have one grade, there is no grade 2. The model is fitted on a bounded sample: ``MOST_LABELLED`` labelled
 documents (about), chosen by a hash of the id. All documents are scored, whole.
 
 Null texts and texts without letters have no features. Without labels of both kinds, or where no feature tells them
@@ -28,6 +30,8 @@ from skein.llm.shared import written
 
 MOST_LABELLED, LEAST_TEXTS, GRADES = 20_000, 5, 3
 PREFIXES = (4, 5)
+#: Labelled texts that have a feature, by kind and half.
+COUNTS = ("good0", "good1", "bad0", "bad1")
 LEAST_ERRORS = 5.0
 ROUNDS, RATE, PENALTY = 1000, 0.1, 1e-6
 
@@ -99,28 +103,36 @@ def fit_cumulative(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_
     return value[:n_features], np.cumsum([value[n_features], *np.exp(value[n_features + 1 :])])
 
 
+def graded(toxic: np.ndarray, half: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Grades of texts: marks[h] says how many features a text has that only toxic texts of the half besides h have."""
+    own, grades = marks[half, np.arange(len(half))], (toxic > 0).astype(np.int64)
+    for h in (0, 1):
+        mine = (toxic > 0) & (half == h)
+        if mine.any():
+            grades[mine] += own[mine] >= np.median(own[mine])
+    return np.minimum(grades, 1) if (grades[toxic > 0] == 2).all() else grades
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """A model from the documents that labels (doc_id, toxic, and quality if there is) tell about, most of them at most
-    (about)."""
-    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(1)
-    grade = F.when(F.col("toxic").cast("int") <= 0, 0).when(quality == 0, 2).otherwise(1)
-    told = labels.select(F.col("doc_id").cast("long").alias("own"), F.when(F.col("toxic").isNotNull(), grade).alias("grade")).where("own is not null and grade is not null").groupBy("own").agg(F.max("grade").alias("toxic"))
+    """A model from the documents that labels (doc_id, toxic) tell about, most of them at most (about)."""
+    told = labels.select(F.col("doc_id").cast("long").alias("own"), F.col("toxic").cast("int").alias("toxic")).where("own is not null and toxic is not null").groupBy("own").agg(F.max("toxic").alias("toxic"))
+    told = told.withColumn("half", F.pmod(F.xxhash64("own", F.lit("half")), F.lit(2)).cast("int"))
     share = min(1.0, most / max(1, told.count()))
     chosen = told.where(F.pmod(F.xxhash64("own"), F.lit(1_000_000)) < int(share * 1_000_000))
     # Bounded by most, so it may be broadcast.
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("text", "toxic")
+    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("text", "toxic", "half")
     sample = written(sample, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column("toxic")).astype(bool)
+            kind = (np.asarray(batch.column("toxic")) > 0) * 2 + np.asarray(batch.column("half"))
             for block in text_blocks(batch.column("text"), 1 << 20):
                 found, first = word_features(block)
-                own = [(np.unique(found[a:b]), toxic[block.first + r]) for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
+                own = [(np.unique(found[a:b]), kind[block.first + r]) for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
                 features, which = np.unique(np.concatenate([f for f, _ in own]), return_inverse=True)
-                bad = np.repeat([t for _, t in own], [len(f) for f, _ in own])
-                sums = [np.bincount(which[bad == t], minlength=len(features)).astype(np.int64) for t in (True, False)]
-                yield pa.RecordBatch.from_arrays([pa.array(features), *map(pa.array, sums)], ["feature", "bad", "good"])
+                kinds = np.repeat([t for _, t in own], [len(f) for f, _ in own])
+                sums = [np.bincount(which[kinds == t], minlength=len(features)).astype(np.int64) for t in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(features), *map(pa.array, sums)], ["feature", *COUNTS])
 
     kinds = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     none = OrdinalModel(np.empty(0, np.int64), np.empty(0), np.full(GRADES - 1, 50.0))
@@ -131,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: s
     mean = (F.col("bad") + F.col("good")) / F.lit(float(sum(kinds.values())))
     spread = F.sqrt((mean * (F.lit(1.0) - mean) + F.lit(1e-9)) * F.lit(1 / kinds[True] + 1 / kinds[False]))
     apart = F.abs(share_of("bad", kinds[True]) - share_of("good", kinds[False])) / spread
-    best = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    best = sample.mapInArrow(count, f"feature long, {', '.join(f'{c} long' for c in COUNTS)}").groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    best = best.withColumns({"good": F.col("good0") + F.col("good1"), "bad": F.col("bad0") + F.col("bad1")})
     rows = best.where((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (apart >= LEAST_ERRORS)).toPandas().sort_values("feature")
     # Features of a bounded sample's texts, so bounded as well.
     features = rows["feature"].to_numpy(np.int64)
@@ -140,18 +153,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, doc_id: s
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.asarray(batch.column("toxic"))
+            kind = (np.asarray(batch.column("toxic")) > 0) * 2 + np.asarray(batch.column("half"))
             for block in text_blocks(batch.column("text")):
                 own, columns = present(features, block)
                 cuts = np.searchsorted(own, np.arange(block.rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(columns.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[block.first : block.first + block.rows]), lists], ["toxic", "columns"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[block.first : block.first + block.rows].astype(np.int32)), lists], ["kind", "columns"])
 
     # At most `most` rows (about) of numbers of features.
-    table = sample.mapInArrow(design, "toxic int, columns array<int>").toPandas()
-    grades, lengths = table["toxic"].to_numpy(), table["columns"].map(len).to_numpy()
+    table = sample.mapInArrow(design, "kind int, columns array<int>").toPandas()
+    kind, lengths = table["kind"].to_numpy(), table["columns"].map(len).to_numpy()
     columns = np.concatenate([np.asarray(c, np.int64) for c in table["columns"]])
     texts = np.repeat(np.arange(len(table)), lengths)
+    told_of = {h: ((rows[f"good{1 - h}"] == 0) & (rows[f"bad{1 - h}"] >= 2)).to_numpy() for h in (0, 1)}
+    grades = graded(kind // 2, kind % 2, np.stack([np.bincount(texts, told_of[h][columns], len(table)) for h in (0, 1)]))
     weights, thresholds = fit_cumulative(texts, columns, grades, len(features), int(grades.max()) + 1)
     return OrdinalModel(features, weights, thresholds)
 

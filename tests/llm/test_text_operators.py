@@ -148,12 +148,15 @@ def test_likelihood_by_brute_force():
     assert np.allclose(model.severity(np.array([-1.0, 0.3])), expected_grade)
 
 
-def test_grades_come_from_labels(spark):
-    docs = spark.createDataFrame([(k, ("vile word", "fine word", "vile slur")[k % 3]) for k in range(300)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 3 != 2), int(k % 3 != 1)) for k in range(300)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels)
+def test_grades_of_toxic_texts(spark):
+    toxic, half = np.array([1, 1, 1, 1, 0, 1]), np.array([0, 0, 1, 1, 0, 1])
+    marks = np.array([[3, 1, 9, 9, 5, 9], [9, 9, 0, 2, 9, 4]])
+    assert toxicity.graded(toxic, half, marks).tolist() == [2, 1, 1, 2, 0, 2]
+    assert toxicity.graded(toxic, half, np.zeros((2, 6), int)).tolist() == [1, 1, 1, 1, 0, 1]
+    docs = spark.createDataFrame([(k, ("vile word", "fine word", "vile grim slur", "vile grim slur")[k % 4]) for k in range(400)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 4 != 1)) for k in range(400)], "doc_id long, toxic int"))
     severity = {r["text"]: r["severity"] for r in toxicity.score(docs, model).collect()}
-    assert severity["vile slur"] > 1.5 > severity["vile word"] > toxicity.REJECT > severity["fine word"] and len(model.thresholds) == 2
+    assert severity["vile grim slur"] > 1.5 > severity["vile word"] > toxicity.REJECT > severity["fine word"] and len(model.thresholds) == 2
 
 
 def test_toxicity_on_held_out_labels(spark):

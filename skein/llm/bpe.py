@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from skein.llm.blocks import Block, SpanHasher, ragged, text_blocks
 
 SHORT = 48
 #: Each distinct word of so much text is merged once.
-WORD_BLOCK_BYTES = 2 << 20
+WORD_BLOCK_BYTES = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 #: Character classes.
@@ -43,7 +43,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 @lru_cache(1)
 def char_classes() -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
-    plain = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    plain = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])
     everything = plain.tobytes().decode("utf-32-le")
     for code, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         for m in regex.finditer(f"{pattern}+", everything):
@@ -234,9 +234,9 @@ class Pretokens:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         places = None  # the byte at which each character begins, if not every character is a byte
         if n != len(raw):
-            wide = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+            wide = np.uint8(1) + (chars > 0x7F).astype(np.uint8) + (chars > 0x7FF) + (chars > 0xFFFF)
             places = np.zeros(n + 1, np.int64)
-            np.cumsum(wide, out=places[1:])
+            np.cumsum(wide, dtype=np.int64, out=places[1:])
         to_char = (lambda x: np.searchsorted(places, x)) if places is not None else (lambda x: x)
         kind = char_classes()[chars]
         for s, e, _ in found:
@@ -290,11 +290,11 @@ def encode_pretokens(model: BpeModel, tokens: Pretokens) -> tuple[np.ndarray, np
     return flat, counts
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of each whole text as array<int>; no token is added before or after."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+Batches = Iterator[pa.RecordBatch]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(path: str, text: str, ids: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         model = load_bpe(path)
         for batch in batches:
             others = [n for n in batch.schema.names if n != ids]
@@ -304,15 +304,29 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in others), lists], [*others, ids])
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the text of each list of ids; special tokens are kept, and bytes that are no UTF-8 become U+FFFD.
-    Nulls among the ids and ids outside of the vocabulary have no text."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != text), T.StructField(text, T.StringType())])
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """df with the ids of each whole text as array<int>; no token is added before or after."""
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    return df.mapInArrow(_encoder(path, text, ids), schema)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """decode(encode(df)) without the column text, in one pass and one Python worker a task."""
+    kept = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+    encoder, decoder = _encoder(path, text, ids), _decoder(path, ids, decoded)
+
+    def run(batches: Batches) -> Batches:
+        return decoder(batch.select([*(f.name for f in kept), ids]) for batch in encoder(batches))
+
+    return df.mapInArrow(run, schema)
+
+
+def _decoder(path: str, ids: str, text: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         pieces = load_bpe(path).pieces
         table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         places = np.zeros(len(table) + 1, np.int64)
@@ -338,4 +352,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in others), pa.array(texts, pa.string())], [*others, text])
                 row = last
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """df with the text of each list of ids; special tokens are kept, and bytes that are no UTF-8 become U+FFFD.
+    Nulls among the ids and ids outside of the vocabulary have no text."""
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != text), T.StructField(text, T.StringType())])
+
+    return df.mapInArrow(_decoder(path, ids, text), schema)

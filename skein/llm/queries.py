@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 from skein.llm import licenses
-from skein.llm.bpe import decode, encode
+from skein.llm.bpe import encode_and_decode
 from skein.llm.chat import format_conversations, read_back
 from skein.llm.fingerprints import fingerprint_edits
 from skein.llm.hash_forest import nearest
@@ -31,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    back = decode(ids, path)
+    back = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -87,6 +87,8 @@ def test_encode_and_decode_rows(spark):
     rows = bpe.decode(bpe.encode(df, PATH), PATH).orderBy("doc_id").collect()
     assert [r["ids"] for r in rows] == [expected(t) for t in texts]
     assert [r["decoded"] for r in rows] == [LIBRARY.decode(expected(t), skip_special_tokens=False) for t in texts]
+    both = bpe.encode_and_decode(df, PATH).orderBy("doc_id")
+    assert both.columns == ["doc_id", "source", "n_tokens", "over_limit", "ids", "decoded"] and [(r["ids"], r["decoded"]) for r in both.collect()] == [(r["ids"], r["decoded"]) for r in rows]
     assert {r["source"] for r in rows} == {"own"} and {r["n_tokens"] for r in rows} == {7}
     assert bpe.decode(bpe.encode(df.limit(0), PATH), PATH).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [None, -5, 10**6, 64])], "doc_id long, ids array<int>")

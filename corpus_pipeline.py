@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm.bpe import decode, encode
+from skein.llm.bpe import encode_and_decode
 from skein.llm.jaccard_join import one_of_each_class
 from skein.llm.mixing import mix, take
 from skein.llm.shared import bounded_batches, written
@@ -36,7 +36,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and a digest of the text that they decode to."""
     bounded_batches(spark)
     path = public_tokenizers.path(TOKENIZER)
-    rows = decode(encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids"), path)
+    rows = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -18,6 +18,8 @@ _WHITE_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x16
 BLANK = r"[\t\n\f\r ]"
 # Patterns of references, links and control characters.
 REFERENCE = r"(?i)(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+|(?<=[A-Za-z0-9_])(?=[.-])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+|(?:issues|pull)/[0-9]+|#[0-9]{2,})"
+#: What every reference holds; far cheaper to look for.
+MAY_REFER = "[#/][0-9]"
 EARLY_BODY_BYTES = 240
 MARKDOWN_LINK = r"\[([^\]]+)\]\((https?://[^)\t\n\f\r ]+)\)"
 BARE_LINK = r"(^|[\t\n\f\r (<])(https?://[^\t\n\f\r <>)]+)"
@@ -75,7 +77,8 @@ def references(text: Column, own: Column) -> Column:
         ),
         lambda acc: acc["refs"],
     )
-    return F.filter(placed, lambda r: (r["number"] > 0) & (r["number"] != own))
+    kept = F.filter(placed, lambda r: (r["number"] > 0) & (r["number"] != own))
+    return F.when(text.rlike(MAY_REFER), kept).otherwise(F.array().cast("array<struct<number:bigint,at:int>>"))
 
 
 def reference_evidence(title: Column, body: Column, number: Column) -> Column:

@@ -78,5 +78,7 @@ def bounded_clusters(nodes: DataFrame, edges: DataFrame, max_size: int = 40) ->
 
     placed = labelled.select("component", "left_id", "right_id", "score").groupBy("component").applyInPandas(cut, "thread_id long, root long, degree long")
     rows = nodes.select("thread_id", "number").join(placed, "thread_id", "left").select("thread_id", "number", F.coalesce("root", "thread_id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    # Read twice below, and components are cut once.
+    rows = written(rows, "rooted")
     best = rows.groupBy("root").agg(F.min_by("thread_id", F.struct(-F.col("degree"), "number", "thread_id")).alias("representative"), F.count("*").alias("members"))
     return rows.join(best, "root").select("thread_id", "number", "representative", "members")

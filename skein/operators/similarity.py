@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.functions.text import overlap, reference_evidence, title_tokens
+from skein.sources.shared import Scratch
 
 #: Bytes of a block's vectors. All pairs of n rows take n * n / (rows of a block) row copies, so blocks are as large as a
 #: task can hold two of.
 BLOCK_BYTES = 32 << 20
+#: Pairs of blocks for each core, where blocks keep so many rows.
+PAIRS_A_CORE, BLOCK_ROWS = 4, 1024
+#: Products at once, and those of them that are scored at once.
+TILE, CHUNK = 1 << 20, 1 << 16
+EDGE = "left_id long, right_id long, score double"
 #: BLAS sums in another order than the exact score; pairs this close below the threshold are scored as well.
 MARGIN = 1e-9
 
@@ -34,26 +41,59 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "repo_id") ->
     """(left_id, right_id, score): pairs of (key, thread_id, vector) rows of equal key with cosine >= threshold, left <
     right. All pairs are compared, in blocks: a key's rows are dealt to blocks, as many as its rows need, each pair of blocks
     is one task's product of two matrices, and what may pass is scored in double precision from left to right."""
-    rows = vectors.select(F.col(key).alias("key"), "thread_id", "vector").where(F.size("vector") > 0)
-    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") * F.max(F.size("vector")) * 8 / F.lit(BLOCK_BYTES))).cast("int")
-    counts = rows.groupBy("key").agg(blocks.alias("blocks")).withColumnRenamed("key", "of")
-    dealt = rows.join(counts, F.col("key").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("thread_id"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(F.least(n, F.col("block")).alias("i"), F.greatest(n, F.col("block")).alias("j")))
-    dealt = dealt.select("key", F.explode(pair).alias("p"), "block", "thread_id", F.col("vector").cast("array<double>").alias("vector"))
-    dealt = dealt.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "thread_id", "vector")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = _dealt(vectors.select(F.col(key).alias("key"), "thread_id", "vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), part in _runs(batches, ("key", "i", "j")):
-            column = pa.concat_arrays([c.cast(pa.list_(pa.float64())) for c in part.column("vector").chunks])
-            lengths, flat = np.asarray(pc.list_value_length(column)), np.asarray(column.flatten())
-            begins = np.cumsum(lengths) - lengths
             ids, block = np.asarray(part.column("thread_id")), np.asarray(part.column("block"))
-            for size in np.unique(lengths).tolist():
-                same = np.flatnonzero(lengths == size)
-                yield from _block_pairs(ids[same], block[same], flat[begins[same][:, None] + np.arange(size)], i, j, threshold)
+            for same, x in _matrices(part):
+                yield from _block_pairs(ids[same], block[same], x, i, j, threshold)
+
+    return dealt.mapInArrow(run, EDGE)
 
-    return dealt.mapInArrow(run, "left_id long, right_id long, score double")
+
+def policy_pairs(vectors: DataFrame, policy: EdgePolicy) -> DataFrame:
+    """Of what filter_edges leaves of cosine_pairs, each block's fanout best edges of each end: all that best_edges can
+    take, also beside other edges. vectors: (repo_id, thread_id, kind, tokens, vector) rows. Pairs that are worse than the
+    best of both ends so far are neither scored nor is their policy looked up."""
+    dealt = _dealt(vectors.select(F.col("repo_id").alias("key"), "thread_id", "kind", "tokens", "vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), part in _runs(batches, ("key", "i", "j")):
+            best = _Best(np.asarray(part.column("thread_id")), policy.fanout)
+            allowed = _allowed(part, policy)
+            block = np.asarray(part.column("block"))
+            for same, x in _matrices(part):
+                _block_best(same, block[same], x, i, j, policy.threshold, best, allowed)
+            yield from best.batches()
+
+    return dealt.mapInArrow(run, EDGE)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, thread_id, vector, ..) for each pair of blocks (i, j) that needs them, with their own block. A key has as
+    many blocks as its rows need, or more if that gives every core a pair. Partitions are ranges, as hashes would put
+    several of the few pairs into one task."""
+    rows = rows.where(F.size("vector") > 0)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shared = F.least(F.lit(math.ceil((2 * PAIRS_A_CORE * cores) ** 0.5)), F.ceil(F.count("*") / BLOCK_ROWS))
+    needed = F.ceil(F.count("*") * F.max(F.size("vector")) * 8 / F.lit(BLOCK_BYTES))
+    counts = rows.groupBy("key").agg(F.greatest(F.lit(1), shared, needed).cast("int").alias("blocks")).withColumnRenamed("key", "of")
+    dealt = rows.join(counts, F.col("key").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("thread_id"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda n: F.struct(F.least(n, F.col("block")).alias("i"), F.greatest(n, F.col("block")).alias("j")))
+    dealt = dealt.select("*", F.explode(pair).alias("p")).select(F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", *rows.columns)
+    dealt = dealt.withColumn("vector", F.col("vector").cast("array<double>"))
+    return dealt.repartitionByRange(PAIRS_A_CORE * cores, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _matrices(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors its rows and their matrix."""
+    column = pa.concat_arrays([c.cast(pa.list_(pa.float64())) for c in part.column("vector").chunks])
+    lengths, flat = np.asarray(pc.list_value_length(column)), np.asarray(column.flatten())
+    begins = np.cumsum(lengths) - lengths
+    for size in np.unique(lengths).tolist():
+        same = np.flatnonzero(lengths == size)
+        yield same, flat.reshape(-1, size) if len(same) == len(lengths) else flat[begins[same][:, None] + np.arange(size)]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -93,6 +133,114 @@ def _block_pairs(ids: np.ndarray, blocks: np.ndarray, x: np.ndarray, i: int, j:
             yield pa.RecordBatch.from_arrays([pa.array(ids[p][hit]), pa.array(ids[q][hit]), pa.array(score[hit])], ["left_id", "right_id", "score"])
 
 
+class _Best:
+    """The most best edges of each of ids (score, then the smaller other end), of those added; of an edge that is added
+    several times, the highest score."""
+
+    def __init__(self, ids: np.ndarray, most: int):
+        self.ids, self.node = np.unique(ids, return_inverse=True)
+        self.most, self.held, self.fresh = most, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+        #: The last edge that counts, by its score and other end, of nodes that have so many.
+        self.score, self.other = np.full(len(self.ids), -np.inf), np.full(len(self.ids), len(self.ids))
+
+    def may_take(self, p: np.ndarray, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Whether rows p and q have an edge of this score that is among the best of either."""
+        a, b = self.node[p], self.node[q]
+        return (score > self.score[a]) | (score > self.score[b]) | (score == self.score[a]) & (b <= self.other[a]) | (score == self.score[b]) & (a <= self.other[b])
+
+    def add(self, p: np.ndarray, q: np.ndarray, score: np.ndarray) -> None:
+        a, b = self.node[p], self.node[q]
+        self.fresh.append((np.minimum(a, b), np.maximum(a, b), score))
+
+    def settle(self) -> None:
+        """Leaves only edges among the best of either end."""
+        if not self.fresh:
+            return
+        a, b, score = (np.concatenate(c) for c in zip(self.held, *self.fresh, strict=True))
+        self.fresh = []
+        order = np.lexsort((-score, b, a))
+        a, b, score = a[order], b[order], score[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, score = a[first], b[first], score[first]
+        node, other, twice = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+        order = np.lexsort((other, -twice, node))
+        begins = np.searchsorted(node[order], node[order])
+        nth = np.arange(len(order)) - begins
+        last = order[nth == self.most - 1]
+        self.score[node[last]], self.other[node[last]] = twice[last], other[last]
+        keep = np.zeros(len(a), bool)
+        keep[order[nth < self.most] % len(a)] = True
+        self.held = a[keep], b[keep], score[keep]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        a, b, score = self.held
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(self.ids[b]), pa.array(score)], ["left_id", "right_id", "score"])
+
+
+def _allowed(part: pa.Table, policy: EdgePolicy) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """filter_edges for rows of part: whether their edges of these scores stay."""
+    kinds = part.column("kind").combine_chunks().dictionary_encode()
+    kind = np.asarray(kinds.indices.fill_null(-1))
+    tokens = pa.concat_arrays([c.cast(pa.list_(pa.string())) for c in part.column("tokens").chunks])
+    count = np.asarray(pc.list_value_length(tokens)).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    code, width = np.asarray(coded.indices).astype(np.int64), max(1, len(coded.dictionary))
+    begin = np.cumsum(count) - count
+    #: A token of a row as one number.
+    owned = np.sort(np.repeat(np.arange(len(count)), count) * width + code)
+
+    def titled(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        pair = np.repeat(np.arange(len(p)), count[p])
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(count[p]) - count[p], count[p])
+        wanted = q[pair] * width + code[begin[p][pair] + nth]
+        at = np.minimum(np.searchsorted(owned, wanted), max(0, len(owned) - 1))
+        shared = np.bincount(pair[owned[at] == wanted], minlength=len(p)) if len(pair) else np.zeros(len(p))
+        least = np.minimum(count[p], count[q])
+        return np.divide(shared, least, out=np.zeros(len(p)), where=least > 0) >= policy.title_overlap
+
+    def allowed(p: np.ndarray, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        keep = (score >= policy.cross_kind) | (kind[p] == kind[q]) & (kind[p] >= 0)
+        unsure = np.flatnonzero(keep & (score < policy.confident))
+        keep[unsure] = titled(p[unsure], q[unsure])
+        return keep
+
+    return allowed
+
+
+def _block_best(rows: np.ndarray, blocks: np.ndarray, x: np.ndarray, i: int, j: int, threshold: float, best: _Best, allowed: Callable) -> None:
+    """Adds the allowed edges between blocks i and j to best, tile by tile. rows: what best and allowed call the rows of x."""
+    norms = np.sqrt(_summed(x, x))
+    unit = np.divide(x, norms[:, None], out=np.zeros_like(x), where=norms[:, None] > 0).astype(np.float32)
+    # What a sum of products of numbers up to 1 can lose in single precision, twice.
+    margin = (x.shape[1] + 4) * 2.0**-22
+    left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    tile = max(16, TILE // max(1, len(right)))
+    for part in range(0, len(left), tile):
+        a, b = left[part : part + tile], right[part:] if i == j else right
+        least = np.maximum(best.score[best.node[rows]], threshold) - margin
+        found = unit[a] @ unit[b].T
+        p, q = np.nonzero((found >= least[a][:, None].astype(np.float32)) | (found >= least[b][None, :].astype(np.float32)))
+        for some in range(0, len(p), CHUNK):
+            _score_best(a[p[some : some + CHUNK]], b[q[some : some + CHUNK]], rows, x, norms, threshold, best, allowed)
+            # To settle costs as much as all that is held.
+            if 2 * sum(len(c[2]) for c in best.fresh) >= len(best.held[2]):
+                best.settle()
+
+
+def _score_best(p: np.ndarray, q: np.ndarray, rows: np.ndarray, x: np.ndarray, norms: np.ndarray, threshold: float, best: _Best, allowed: Callable) -> None:
+    other = best.node[rows[p]] != best.node[rows[q]]
+    p, q = p[other], q[other]
+    both = norms[p] * norms[q]
+    score = np.divide(_summed(x[p], x[q]), both, out=np.zeros(len(p)), where=both > 0)
+    hit = (score >= threshold) & best.may_take(rows[p], rows[q], score)
+    p, q, score = rows[p[hit]], rows[q[hit]], score[hit]
+    hit = allowed(p, q, score)
+    best.add(p[hit], q[hit], score[hit])
+
+
 def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products, summed from left to right."""
     total = np.zeros(len(a))
@@ -101,30 +249,44 @@ def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def with_titles(pairs: DataFrame, threads: DataFrame) -> DataFrame:
-    """pairs with each side's kind and title tokens."""
-    side = threads.select("id", "kind", title_tokens(F.col("title")).alias("tokens"))
-    for name in ("left", "right"):
-        own = side.select(F.col("id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), F.col("tokens").alias(f"{name}_tokens"))
-        pairs = pairs.join(own, f"{name}_id")
-    return pairs
+def _titles(title: Column) -> Column:
+    return F.coalesce(title_tokens(title), F.array().cast("array<string>"))
+
+
+def _titles(title: Column) -> Column:
+    return F.coalesce(title_tokens(title), F.array().cast("array<string>"))
 
 
 def filter_edges(pairs: DataFrame, threads: DataFrame, policy: EdgePolicy) -> DataFrame:
     """Drops weak scores, middling ones whose titles share too little, and those between kinds below their own minimum."""
-    rows = with_titles(pairs.where(F.col("score") >= policy.threshold), threads)
+    return _allowed_pairs(pairs, threads.select("id", "kind", _titles(F.col("title")).alias("tokens")), policy)
+
+
+def _allowed_pairs(pairs: DataFrame, side: DataFrame, policy: EdgePolicy) -> DataFrame:
+    rows = pairs.where(F.col("score") >= policy.threshold)
+    for name in ("left", "right"):
+        rows = rows.join(side.select(F.col("id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), F.col("tokens").alias(f"{name}_tokens")), f"{name}_id")
     titled = overlap(F.col("left_tokens"), F.col("right_tokens")) >= policy.title_overlap
     same = F.col("left_kind") == F.col("right_kind")
     return rows.where(((F.col("score") >= policy.confident) | titled) & (same | (F.col("score") >= policy.cross_kind))).select("left_id", "right_id", "score")
 
 
+def facts(threads: DataFrame) -> DataFrame:
+    """What a thread brings to its edges: repo_id, id, number, kind, tokens of its title, refs of its title and body."""
+    return threads.select("repo_id", "id", "number", "kind", _titles(F.col("title")).alias("tokens"), reference_evidence(F.col("title"), F.coalesce("body", F.lit("")), F.col("number")).alias("refs"))
+
+
 def reference_edges(threads: DataFrame, policy: EdgePolicy) -> DataFrame:
     """Edges by explicit references between the threads given: in the title, early in the body, or anywhere if titles
     share enough."""
-    rows = threads.select("repo_id", "id", "number", "kind", "title", F.explode(reference_evidence(F.col("title"), F.coalesce("body", F.lit("")), F.col("number"))).alias("ref"))
-    to = threads.select(F.col("repo_id").alias("to_repo"), F.col("id").alias("to_id"), F.col("number").alias("to_number"), F.col("title").alias("to_title"))
+    return _reference_edges(facts(threads), policy)
+
+
+def _reference_edges(own: DataFrame, policy: EdgePolicy) -> DataFrame:
+    rows = own.select("repo_id", "id", "tokens", F.explode("refs").alias("ref"))
+    to = own.select(F.col("repo_id").alias("to_repo"), F.col("id").alias("to_id"), F.col("number").alias("to_number"), F.col("tokens").alias("to_tokens"))
     found = rows.join(to, (F.col("repo_id") == F.col("to_repo")) & (F.col("ref.number") == F.col("to_number")) & (F.col("id") != F.col("to_id")))
-    titled = overlap(title_tokens(F.col("title")), title_tokens(F.col("to_title"))) >= policy.title_overlap
+    titled = overlap(F.col("tokens"), F.col("to_tokens")) >= policy.title_overlap
     found = found.where(F.col("ref.in_title") | F.col("ref.early_body") | titled)
     return found.select(F.least("id", "to_id").alias("left_id"), F.greatest("id", "to_id").alias("right_id"), F.lit(policy.reference).alias("score")).distinct()
 
@@ -149,7 +311,15 @@ def best_edges(edges: DataFrame, fanout: int) -> DataFrame:
 
 
 def build_edges(threads: DataFrame, vectors: DataFrame, policy: EdgePolicy) -> DataFrame:
-    """All edges of threads that have a vector (repo_id, thread_id, vector)."""
-    nodes = threads.join(vectors.select(F.col("thread_id").alias("id")), "id", "left_semi")
-    similar = filter_edges(cosine_pairs(vectors, policy.threshold), nodes, policy)
-    return best_edges(merge_edges(similar, reference_edges(nodes, policy)), policy.fanout)
+    """All edges of threads that have a vector (repo_id, thread_id, vector), as a table of the shared folder: texts are
+    read and pairs compared once, however often the edges are read."""
+    with Scratch(threads.sparkSession) as scratch:
+        # Bodies end here, so that joins carry none.
+        own = scratch.written(facts(threads).join(vectors.select(F.col("thread_id").alias("id")), "id", "left_semi"), "nodes")
+        if policy.fanout > 0:
+            sides = vectors.select("repo_id", "thread_id", "vector").join(own.select(F.col("id").alias("thread_id"), "kind", "tokens"), "thread_id")
+            similar = policy_pairs(scratch.written(sides, "sides"), policy)
+        else:
+            similar = _allowed_pairs(cosine_pairs(vectors, policy.threshold), own, policy)
+        edges = scratch.written(best_edges(merge_edges(similar, _reference_edges(own, policy)), policy.fanout), "edges")
+        return scratch.release(edges)

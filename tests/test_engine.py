@@ -6,6 +6,8 @@ import sqlite3
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,11 @@ def test_chain_is_cut(spark):
     assert {r["thread_id"]: r["representative"] for r in rows} == {1: 2, 2: 2, 3: 2, 4: 5, 5: 5, 6: 5}
 
 
+def test_components_are_cut_once(spark):
+    rows = graph.bounded_clusters(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "thread_id long, number long"), spark.createDataFrame([(1, 2, 0.9)], "left_id long, right_id long, score double"))
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().toString() and {r["thread_id"]: r["members"] for r in rows.collect()} == {1: 2, 2: 2, 3: 1}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 9), (8, None), (7, 6), (7, 6)], "a long, b long")
     assert {r["node"]: r["component"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 9: 9}
@@ -172,6 +179,51 @@ def test_cosine_pairs_of_keys_and_lengths(spark, monkeypatch, size):
     assert sorted(got) == sorted(want)
 
 
+def test_cosine_pairs_are_shared_by_tasks(spark):
+    rng = random.Random(2)
+    rows = [(1, k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(3000)]
+    pairs = similarity.cosine_pairs(spark.createDataFrame(rows, "repo_id long, thread_id long, vector array<double>"), 0.99)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 3
+
+
+@pytest.mark.parametrize(("fanout", "title_overlap"), [(1, 0.4), (3, 0.4), (3, 0.0), (0, 0.4)])
+def test_edges_are_those_of_all_pairs_and_read_no_text_again(spark, monkeypatch, fanout, title_overlap):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    rng = random.Random(fanout)
+    words = ["alpha", "bravo", "carol", "delta", "eagle"]
+    own = threads(spark, *(thread(k, title=rng.choice((None, "", " ".join(rng.choices(words, k=4)))), kind=rng.choice(("issue", "pull_request", None)), body=f"#{rng.randrange(10, 199)}" if k % 9 == 0 else None) for k in range(10, 200)))
+    common = [1.0, 2.0, 2.0]
+    rows = [(1 + k % 2, k, common if k % 6 == 0 else [float(rng.randint(-2, 2)) for _ in range(rng.choice((3, 3, 2)))]) for k in [*range(10, 210), *range(10, 60)]]
+    vectors = spark.createDataFrame(rows, "repo_id long, thread_id long, vector array<double>")
+    policy = similarity.EdgePolicy(threshold=0.3, confident=0.9, title_overlap=title_overlap, cross_kind=0.8, reference=0.85, fanout=fanout)
+    nodes = own.join(vectors.select(F.col("thread_id").alias("id")), "id", "left_semi")
+    whole = similarity.merge_edges(similarity.filter_edges(similarity.cosine_pairs(vectors, policy.threshold), nodes, policy), similarity.reference_edges(nodes, policy))
+    made = similarity.build_edges(own, vectors, policy)
+    assert made.inputFiles() and {tuple(r) for r in made.collect()} == {tuple(r) for r in similarity.best_edges(whole, fanout).collect()}
+
+
+def test_best_of_many_tiles(monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 1)
+    monkeypatch.setattr(similarity, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (150, 4)).astype(float)
+    ids, blocks, policy = rng.permutation(150) + 7, np.arange(150) % 2, similarity.EdgePolicy(threshold=0.2, confident=0.9, title_overlap=0.5, cross_kind=0.8, fanout=3)
+    part = pa.table({"kind": [("issue", "pull_request")[k % 3 > 0] for k in range(150)], "tokens": [[("alpha", "bravo", "carol")[k % n] for n in (2, 3)] for k in range(150)]})
+    for i, j in ((0, 0), (0, 1)):
+        best = similarity._Best(ids, policy.fanout)
+        allowed = similarity._allowed(part, policy)
+        similarity._block_best(np.arange(150), blocks, x, i, j, policy.threshold, best, allowed)
+        got = {(r["left_id"], r["right_id"], r["score"]) for b in best.batches() for r in b.to_pylist()}
+        pairs = [r for b in similarity._block_pairs(ids, blocks, x, i, j, policy.threshold) for r in b.to_pylist()]
+        at = {n: np.array([k]) for k, n in enumerate(ids.tolist())}
+        pairs = [(r["left_id"], r["right_id"], r["score"]) for r in pairs if allowed(at[r["left_id"]], at[r["right_id"]], np.array([r["score"]]))[0]]
+        ends = defaultdict(list)
+        for a, b, score in pairs:
+            ends[a].append((-score, b, (a, b, score)))
+            ends[b].append((-score, a, (a, b, score)))
+        assert got == {e for of in ends.values() for _, _, e in sorted(of)[:3]} and len(got) < len(pairs)
+
+
 def test_best_edges_keep_either_end(spark):
     edges = spark.createDataFrame([(1, k, 0.9 - k / 100) for k in range(2, 6)] + [(5, 6, 0.99)], "left_id long, right_id long, score double")
     assert {(r[0], r[1]) for r in similarity.best_edges(edges, 1).collect()} == {(1, 2), (1, 3), (1, 4), (5, 6)}

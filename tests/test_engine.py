@@ -445,6 +445,11 @@ def test_cluster_inputs(spark):
     assert rows[1]["stable_slug"].startswith(rows[1]["title"].removeprefix("Cluster ")) and cluster_inputs(nodes, edges, 1, min_size=2).count() == 3
 
 
+def test_cluster_inputs_built_reads_its_tables_once(spark):
+    rows = entry_point.queries()["cluster_inputs_built"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in rows.inputFiles() if "/testdata/" in f] and rows.where("role = 'canonical'").count() == rows.select("stable_key").distinct().count() > 0
+
+
 def test_orders_runs_and_outputs(spark):
     rows = spark.createDataFrame([(3, 1, 2), (2, 9, 2), (7, 4, 5)], "representative long, number long, members long")
     assert [r["representative"] for r in ordered_clusters(rows).collect()] == [7, 2, 3]

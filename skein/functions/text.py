@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -17,7 +18,7 @@ _WHITE_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x16
 #: What a Perl \s matches.
 BLANK = r"[\t\n\f\r ]"
 # Patterns of references, links and control characters.
-REFERENCE = r"(?i)(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+|(?<=[A-Za-z0-9_])(?=[.-])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+|(?:issues|pull)/[0-9]+|#[0-9]{2,})"
+REFERENCE = r"(?i)(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])[A-Za-z0-9_.-]++/[A-Za-z0-9_.-]++#[0-9]+|(?<=[A-Za-z0-9_])(?=[.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_.-]++#[0-9]+|(?:issues|pull)/[0-9]+|#[0-9]{2,})"
 #: What every reference holds; far cheaper to look for.
 MAY_REFER = "[#/][0-9]"
 EARLY_BODY_BYTES = 240
@@ -65,34 +66,48 @@ def overlap(left: Column, right: Column) -> Column:
 def references(text: Column, own: Column) -> Column:
     """Referenced thread numbers with the byte at which each match begins: array of (number, at). Not the own number."""
     text = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), 0)
-    gaps = F.split(text, REFERENCE, -1)
-    step = F.zip_with(gaps, found, lambda gap, match: F.struct(match.alias("match"), F.octet_length(gap).alias("gap")))
-    placed = F.aggregate(
-        F.filter(step, lambda s: s["match"].isNotNull()),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<number:bigint,at:int>>").alias("refs")),
-        lambda acc, s: F.struct(
-            (acc["end"] + s["gap"] + F.octet_length(s["match"])).alias("end"),
-            F.concat(acc["refs"], F.array(F.struct(F.regexp_extract(s["match"], "[0-9]+$", 0).try_cast("bigint").alias("number"), (acc["end"] + s["gap"]).alias("at")))).alias("refs"),
-        ),
-        lambda acc: acc["refs"],
-    )
-    kept = F.filter(placed, lambda r: (r["number"] > 0) & (r["number"] != own))
-    return F.when(text.rlike(MAY_REFER), kept).otherwise(F.array().cast("array<struct<number:bigint,at:int>>"))
+    none = F.array().cast("array<struct<number:bigint,at:int>>")
+    # No match holds a space or looks beyond one, so only the runs between spaces that may refer are searched.
+    runs = F.transform(F.split(text, " ", -1), lambda run, k: F.when(run.contains("#") | run.contains("/"), F.struct(run.alias("run"), k.alias("nth"))))
+    runs = F.filter(runs, lambda r: r["run"].rlike(MAY_REFER))
+
+    def placed(r: Column, found: Column) -> Column:
+        begin = F.when(r["nth"] > 0, F.octet_length(F.call_function("substring_index", text, F.lit(" "), r["nth"])) + 1).otherwise(0)
+        step = F.zip_with(F.split(r["run"], REFERENCE, -1), found, lambda gap, match: F.struct(match.alias("match"), F.octet_length(gap).alias("gap")))
+        return F.aggregate(
+            F.filter(step, lambda s: s["match"].isNotNull()),
+            F.struct(begin.alias("end"), none.alias("refs")),
+            lambda acc, s: F.struct(
+                (acc["end"] + s["gap"] + F.octet_length(s["match"])).alias("end"),
+                F.concat(acc["refs"], F.array(F.struct(F.regexp_extract(s["match"], "[0-9]+$", 0).try_cast("bigint").alias("number"), (acc["end"] + s["gap"]).alias("at")))).alias("refs"),
+            ),
+            lambda acc: acc["refs"],
+        )
+
+    every = F.flatten(F.transform(runs, lambda r: _once(F.regexp_extract_all(r["run"], F.lit(REFERENCE), 0), lambda found: F.when(F.size(found) > 0, placed(r, found)).otherwise(none))))
+    return F.when(text.rlike(MAY_REFER), F.filter(every, lambda r: (r["number"] > 0) & (r["number"] != own))).otherwise(none)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def reference_evidence(title: Column, body: Column, number: Column) -> Column:
     """array of (number, in_title, early_body): one entry for each referenced number."""
-    in_title, in_body = references(title, number), references(body, number)
-    numbers = F.array_distinct(F.transform(F.concat(in_title, in_body), lambda r: r["number"]))
-    return F.transform(
-        numbers,
-        lambda n: F.struct(
-            n.alias("number"),
-            F.exists(in_title, lambda r: r["number"] == n).alias("in_title"),
-            F.exists(in_body, lambda r: (r["number"] == n) & (r["at"] <= EARLY_BODY_BYTES)).alias("early_body"),
-        ),
-    )
+
+    def evidence(both: Column) -> Column:
+        numbers = F.array_distinct(F.transform(F.concat(both["title"], both["body"]), lambda r: r["number"]))
+        return F.transform(
+            numbers,
+            lambda n: F.struct(
+                n.alias("number"),
+                F.exists(both["title"], lambda r: r["number"] == n).alias("in_title"),
+                F.exists(both["body"], lambda r: (r["number"] == n) & (r["at"] <= EARLY_BODY_BYTES)).alias("early_body"),
+            ),
+        )
+
+    return _once(F.struct(references(title, number).alias("title"), references(body, number).alias("body")), evidence)
 
 
 def snippet(text: Column, limit: int) -> Column:

@@ -22,6 +22,8 @@ BLOCK_BYTES = 32 << 20
 PAIRS_A_CORE, BLOCK_ROWS = 4, 1024
 #: Products at once, and those of them that are scored at once.
 TILE, CHUNK = 1 << 20, 1 << 16
+#: How many times the best edges of a row are looked at first; rows of a block that tell the score of so many.
+PER_ROW, SAMPLE = 8, 512
 EDGE = "left_id long, right_id long, score double"
 #: BLAS sums in another order than the exact score; pairs this close below the threshold are scored as well.
 MARGIN = 1e-9
@@ -211,28 +213,64 @@ def _allowed(part: pa.Table, policy: EdgePolicy) -> Callable[[np.ndarray, np.nda
 
 
 def _block_best(rows: np.ndarray, blocks: np.ndarray, x: np.ndarray, i: int, j: int, threshold: float, best: _Best, allowed: Callable) -> None:
-    """Adds the allowed edges between blocks i and j to best, tile by tile. rows: what best and allowed call the rows of x."""
+    """Adds the allowed edges between blocks i and j to best. rows: what best and allowed call the rows of x. High scores are
+    looked at first: after each floor only rows that may still take an edge below it are compared again."""
     norms = np.sqrt(_summed(x, x))
     unit = np.divide(x, norms[:, None], out=np.zeros_like(x), where=norms[:, None] > 0).astype(np.float32)
+    left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    if not len(left) or not len(right):
+        return
+    begun = False
+    for floor in _floors(unit[left], unit[right], threshold, best.most):
+        if not begun:
+            parts = ((left, right),)
+        else:
+            best.settle()
+            lacks = best.score[best.node[rows]] < last
+            # Within one block the pairs of b and a are those of a and b.
+            parts = ((left[lacks[left]], right),) if i == j else ((left[lacks[left]], right), (left[~lacks[left]], right[lacks[right]]))
+        for some, others in parts:
+            _tiles_best(some, others, i == j and not begun, rows, x, unit, norms, floor, threshold, best, allowed)
+        begun, last = True, floor
+
+
+def _floors(a: np.ndarray, b: np.ndarray, threshold: float, most: int) -> list[float]:
+    """Scores down to threshold: that of so many times the most edges of a row as PER_ROW says, then of PER_ROW times as many
+    each. By some rows of a and b; floors change how much is scored, not what is found."""
+    found = a[:: max(1, len(a) // SAMPLE)] @ b[:: max(1, len(b) // SAMPLE)].T
+    high = np.sort(found[found > threshold])
+    floors, count = [], PER_ROW * most
+    while (nth := int(found.size * count / len(b))) < len(high):
+        floors.append(float(high[-1 - nth]))
+        count *= PER_ROW
+    return [*floors, threshold]
+
+
+def _tiles_best(left: np.ndarray, right: np.ndarray, half: bool, rows: np.ndarray, x: np.ndarray, unit: np.ndarray, norms: np.ndarray, floor: float, threshold: float, best: _Best, allowed: Callable) -> None:
+    """Tile by tile, the pairs from floor on. half: left is right, and a pair counts once."""
     # What a sum of products of numbers up to 1 can lose in single precision, twice.
     margin = (x.shape[1] + 4) * 2.0**-22
-    left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
     tile = max(16, TILE // max(1, len(right)))
     for part in range(0, len(left), tile):
-        a, b = left[part : part + tile], right[part:] if i == j else right
-        least = np.maximum(best.score[best.node[rows]], threshold) - margin
+        a, b = left[part : part + tile], right[part:] if half else right
+        least = np.maximum(best.score[best.node[rows]], floor) - margin
         found = unit[a] @ unit[b].T
-        p, q = np.nonzero((found >= least[a][:, None].astype(np.float32)) | (found >= least[b][None, :].astype(np.float32)))
+        hits = np.flatnonzero((found >= least[a][:, None].astype(np.float32)) | (found >= least[b][None, :].astype(np.float32)))
+        near = found.ravel()[hits].astype(np.float64) + margin
+        p, q = a[hits // max(1, len(b))], b[hits % max(1, len(b))]
         for some in range(0, len(p), CHUNK):
-            _score_best(a[p[some : some + CHUNK]], b[q[some : some + CHUNK]], rows, x, norms, threshold, best, allowed)
+            _score_best(p[some : some + CHUNK], q[some : some + CHUNK], near[some : some + CHUNK], rows, x, norms, threshold, best, allowed)
             # To settle costs as much as all that is held.
             if 2 * sum(len(c[2]) for c in best.fresh) >= len(best.held[2]):
                 best.settle()
 
 
-def _score_best(p: np.ndarray, q: np.ndarray, rows: np.ndarray, x: np.ndarray, norms: np.ndarray, threshold: float, best: _Best, allowed: Callable) -> None:
-    other = best.node[rows[p]] != best.node[rows[q]]
-    p, q = p[other], q[other]
+def _score_best(p: np.ndarray, q: np.ndarray, near: np.ndarray, rows: np.ndarray, x: np.ndarray, norms: np.ndarray, threshold: float, best: _Best, allowed: Callable) -> None:
+    """near: what scores do not exceed. A pair that is not allowed with it isn't with a lower score."""
+    hit = best.node[rows[p]] != best.node[rows[q]]
+    p, q, near = p[hit], q[hit], near[hit]
+    hit = allowed(rows[p], rows[q], near)
+    p, q = p[hit], q[hit]
     both = norms[p] * norms[q]
     score = np.divide(_summed(x[p], x[q]), both, out=np.zeros(len(p)), where=both > 0)
     hit = (score >= threshold) & best.may_take(rows[p], rows[q], score)

@@ -224,6 +224,32 @@ def test_best_of_many_tiles(monkeypatch):
         assert got == {e for of in ends.values() for _, _, e in sorted(of)[:3]} and len(got) < len(pairs)
 
 
+def test_best_edges_score_few_of_many_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[7], x[8], x[9] = np.nan, np.inf, 0
+    ids, blocks, policy = rng.permutation(1200), np.arange(1200) % 2, similarity.EdgePolicy(threshold=0.2, confident=0.6, title_overlap=0.5, cross_kind=0.7, fanout=2)
+    part = pa.table({"kind": [("issue", "pull_request")[k % 3 > 0] for k in range(1200)], "tokens": [["alpha", f"t{k % 4}"] if k % 50 else [f"own{k}"] for k in range(1200)]})
+    scored, exact = [], similarity._summed
+    for i, j in ((0, 0), (0, 1)):
+        best, allowed = similarity._Best(ids, policy.fanout), similarity._allowed(part, policy)
+        monkeypatch.setattr(similarity, "_summed", lambda a, b: scored.append(len(a)) or exact(a, b))
+        similarity._block_best(np.arange(1200), blocks, x, i, j, policy.threshold, best, allowed)
+        monkeypatch.setattr(similarity, "_summed", exact)
+        got = {(r["left_id"], r["right_id"], r["score"]) for b in best.batches() for r in b.to_pylist()}
+        found = pa.Table.from_batches(list(similarity._block_pairs(ids, blocks, x, i, j, policy.threshold)))
+        place = np.argsort(ids)
+        p, q, score = place[found["left_id"].to_numpy()], place[found["right_id"].to_numpy()], found["score"].to_numpy()
+        stays = allowed(p, q, score)
+        ends = defaultdict(list)
+        for a, b, s in zip(ids[p[stays]].tolist(), ids[q[stays]].tolist(), score[stays].tolist(), strict=True):
+            ends[a].append((-s, b, (a, b, s)))
+            ends[b].append((-s, a, (a, b, s)))
+        assert got == {e for of in ends.values() for _, _, e in sorted(of)[:2]}
+        assert sum(scored) - 1200 < len(found) / 3
+        scored.clear()
+
+
 def test_best_edges_keep_either_end(spark):
     edges = spark.createDataFrame([(1, k, 0.9 - k / 100) for k in range(2, 6)] + [(5, 6, 0.99)], "left_id long, right_id long, score double")
     assert {(r[0], r[1]) for r in similarity.best_edges(edges, 1).collect()} == {(1, 2), (1, 3), (1, 4), (5, 6)}

@@ -52,6 +52,15 @@ def test_references(spark, body, want):
     assert [(r["number"], r["at"]) for r in value(spark, tx.references(lit(body), F.lit(100)))] == want
 
 
+def test_references_search_a_text_once_and_runs_that_may_refer_only(spark):
+    body = "é " * 20 + "plain words\ta/b#31 (#32) pull/33/x/y#34#35  #36"
+    refs = value(spark, tx.references(lit(body), F.lit(36)))
+    assert [(r["number"], r["at"] - len(body[: body.index(f"{r['number']}")].encode())) for r in refs] == [(31, -4), (32, -1), (33, -5), (34, -4), (35, -1)]
+    found = spark.createDataFrame([("#11 b", body)], "title string, body string").select(tx.reference_evidence(F.col("title"), F.col("body"), F.lit(36)).alias("r"))
+    assert [tuple(r) for r in found.first()["r"]] == [(n, n == 11, n != 11) for n in (11, 31, 32, 33, 34, 35)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("issues|pull") <= 4
+
+
 def test_reference_evidence(spark):
     body = "x" * 300 + " #21 #22"
     rows = value(spark, tx.reference_evidence(lit("about #22"), lit(body), F.lit(1)))
